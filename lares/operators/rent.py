@@ -42,19 +42,21 @@ def _signatures(rows: DataFrame) -> DataFrame:
     """One row per exact (zone, type, size, price) with furnished and clean counts.
 
     A plain aggregation instead of a window: copies of one listing may be a third of the
-    table, and partial aggregation reduces them before the shuffle.
+    table, and partial aggregation reduces them before the shuffle. Units of a multifamily
+    building are exempt from collapsing, so their own id joins the key.
     """
     furnished = (
         (F.col("reason") == "furnished") & F.col("zone").isNotNull() & F.col("typ").isNotNull()
         & _truthy(F.col("m2")) & (F.col("rent_uf").isNotNull() | F.col("rent_clp").isNotNull()))
     furnished = F.coalesce(furnished, F.lit(False))
-    clean = F.col("reason").isNull() & ~F.coalesce(F.col("multifamily"), F.lit(False))
+    clean = F.col("reason").isNull()
+    solo = F.when(clean & F.coalesce(F.col("multifamily"), F.lit(False)), F.col("comp_id"))
     best = F.struct(F.coalesce(F.col("seen").cast("timestamp"), F.lit("0001-01-01").cast("timestamp")).alias("at"),
-                    "comp_id", "rent", "seen", "url")
+                    "comp_id", "rent", "seen")
     return (
         rows.where(furnished | clean)
-        .withColumn("_clean", clean)
-        .groupBy(*SIGNATURE)
+        .withColumn("_clean", clean).withColumn("solo", solo)
+        .groupBy(*SIGNATURE, "solo")
         .agg(F.count_if(~F.col("_clean")).alias("n_furnished"),
              F.count_if("_clean").alias("n_clean"),
              F.max(F.when(F.col("_clean"), best)).alias("best"))
@@ -65,43 +67,34 @@ def comparables(rents: DataFrame, rates: DataFrame, now=None, p: Params = DEFAUL
     """Clean comparables: comp_id, zone, typ, m2, rent, listings, seen.
 
     Order: row filters, rate conversion, removal of twins of furnished listings, collapse of
-    relistings to their latest sighting. Units of a multifamily building are exempt.
+    relistings to their latest sighting.
     """
     rows = row_reasons(rents, rates, now, p)
-    multi = rows.where(F.col("reason").isNull() & F.coalesce(F.col("multifamily"), F.lit(False))).select(
-        "comp_id", "zone", "typ", "m2", "rent", F.lit(1).cast("bigint").alias("listings"), "seen")
-    sig = _signatures(rows).where((F.col("n_clean") > 0) & (F.col("n_furnished") == 0))
+    sig = _signatures(rows)
     if collapse:
-        single = sig.select("best.comp_id", "zone", "typ", "m2", "best.rent", F.col("n_clean").alias("listings"), "best.seen")
-        return multi.unionByName(single)
-    twins = _signatures(rows).where((F.col("n_clean") > 0) & (F.col("n_furnished") > 0)).select(*SIGNATURE)
-    plain = rows.where(F.col("reason").isNull() & ~F.coalesce(F.col("multifamily"), F.lit(False)))
+        return sig.where((F.col("n_clean") > 0) & (F.col("n_furnished") == 0)).select(
+            "best.comp_id", "zone", "typ", "m2", "best.rent", F.col("n_clean").alias("listings"), "best.seen")
+    twins = sig.where((F.col("n_clean") > 0) & (F.col("n_furnished") > 0)).select(*SIGNATURE)
+    plain = rows.where(F.col("reason").isNull())
     cond = [plain[c].eqNullSafe(twins[c]) for c in SIGNATURE]
-    kept = plain.join(twins, cond, "left_anti").select(
+    cond.append(~F.coalesce(plain["multifamily"], F.lit(False)))
+    return plain.join(twins, cond, "left_anti").select(
         "comp_id", "zone", "typ", "m2", "rent", F.lit(1).cast("bigint").alias("listings"), "seen")
-    return multi.unionByName(kept)
 
 
 def discard_counts(rents: DataFrame, rates: DataFrame, now=None, p: Params = DEFAULT) -> DataFrame:
     """reason, n: every input listing is counted exactly once, kept rows under ``kept``."""
     rows = row_reasons(rents, rates, now, p)
     direct = rows.where(F.col("reason").isNotNull()).groupBy("reason").agg(F.count("*").alias("n"))
-    multi = rows.where(F.col("reason").isNull() & F.coalesce(F.col("multifamily"), F.lit(False))).agg(
-        F.lit("kept").alias("reason"), F.count("*").alias("n"))
+    twin = F.col("n_furnished") > 0
     sig = (
         _signatures(rows).where(F.col("n_clean") > 0)
         .select(F.explode(F.array(
-            F.struct(F.lit("furnished_twin").alias("reason"),
-                     F.when(F.col("n_furnished") > 0, F.col("n_clean")).otherwise(0).alias("n")),
-            F.struct(F.lit("relisting").alias("reason"),
-                     F.when(F.col("n_furnished") > 0, 0).otherwise(F.col("n_clean") - 1).alias("n")),
-            F.struct(F.lit("kept").alias("reason"),
-                     F.when(F.col("n_furnished") > 0, 0).otherwise(1).alias("n")))).alias("x"))
+            F.struct(F.lit("furnished_twin").alias("reason"), F.when(twin, F.col("n_clean")).otherwise(0).alias("n")),
+            F.struct(F.lit("relisting").alias("reason"), F.when(twin, 0).otherwise(F.col("n_clean") - 1).alias("n")),
+            F.struct(F.lit("kept").alias("reason"), F.when(twin, 0).otherwise(1).alias("n")))).alias("x"))
         .select("x.*"))
-    return (
-        direct.unionByName(multi).unionByName(sig)
-        .groupBy("reason").agg(F.sum("n").cast("bigint").alias("n")).where("n > 0")
-    )
+    return direct.unionByName(sig).groupBy("reason").agg(F.sum("n").cast("bigint").alias("n")).where("n > 0")
 
 
 def furnished_sizes(rents: DataFrame, now=None, p: Params = DEFAULT) -> DataFrame:

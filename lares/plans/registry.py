@@ -31,4 +31,4 @@ def query(key: str, sql: str | None = None):
 
 def sql_with(*ctes: str, final: str, recursive: bool = False) -> str:
     head = "WITH RECURSIVE " if recursive else "WITH "
-    return head + ",\n".join(c.strip() for c in ctes) + "\n" + final.strip()
+    return head + ",\n".join(c.strip() for c in ctes if c.strip()) + "\n" + final.strip()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,20 +23,25 @@ def build_session(master: str | None = None, app: str = "lares", partitions: int
     return b.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names, else a scratch folder (single-machine runs)."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None and not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder before running iterative jobs")
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return sc.getCheckpointDir()
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names; a scratch folder only where none is set (one machine)."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if configured:
+        return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder before running multi-pass jobs")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: lineage ends at files that survive the loss of an executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write an intermediate table to the shared folder and read it back.
+
+    Used where a reduced table feeds several later steps or an iteration: it is computed
+    once, its lineage survives the loss of executors, and its real size is known to the
+    optimizer, which then decides on broadcasts from facts.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/lares-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
