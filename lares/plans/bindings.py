@@ -157,7 +157,7 @@ part_dims AS (
          'c'||(CAST(substr(p_brand,7) AS BIGINT) % 5)||'/b'||CAST(substr(p_brand,7) AS BIGINT) AS zone
   FROM part)"""
 
-RENTS_SQL = PART_SQL + f""",
+RENTS_ONLY_SQL = f"""
 rents0 AS (
   SELECT *, (floor(l_extendedprice * sqrt(l_quantity) / 10000) + 1) / 8.0::DOUBLE AS v,
          CAST(DATE '{NOW}' - CAST(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) % 30 AS INTEGER) AS DATE) AS sd,
@@ -183,6 +183,8 @@ rents AS (
          regexp_matches(lower(CASE WHEN furn THEN 'amoblado' ELSE '' END), 'amoblad') AS furnished
   FROM rents0)"""
 
+RENTS_SQL = PART_SQL.rstrip() + "," + RENTS_ONLY_SQL
+
 RATES_SQL = """
 rates AS (
   SELECT CAST(o_orderdate AS DATE) AS day, sum(CAST(round(o_totalprice * 100) AS BIGINT))::DOUBLE / count(*) / 100 AS rate FROM orders
