@@ -232,7 +232,7 @@ def rankable(units, rates, comps, furnished, now=None, scope=None, risk: DataFra
     Zones without a measured risk or catalyst take the defaults 0.5 and 0; ``risk_measured``
     and ``catalyst_measured`` say which.
     """
-    cand = candidates_of(units, rates, now, scope, p)
+    cand = cut(candidates_of(units, rates, now, scope, p))
     kept = collapse_duplicates(match_units(cand, decisions(cand, comps, furnished, p), p))
     out = kept.join(zone_medians(cand), "zone", "left").withColumn(
         "zone_discount",

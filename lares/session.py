@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str | None = None, app: str = "lares", partitions: int | None = None) -> SparkSession:
@@ -45,3 +46,14 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/lares-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Fix computed columns as values, so later expressions read them instead of repeating them.
+
+    Projections and filters are normally merged by substituting definitions; with deep
+    formulas used many times over (a fold of sixty steps, say) that repeats the work. A
+    one-element ``inline`` is a row-local boundary the optimizer does not substitute through.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.select(F.inline(F.array(row)))
