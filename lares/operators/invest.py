@@ -334,3 +334,35 @@ def zone_summary(scored: DataFrame) -> DataFrame:
     agg = scored.groupBy("zone").agg(F.count("*").alias("n"), F.min("breakeven_down").alias("best_down"))
     med = grouped_quantiles(scored, ["zone"], F.col("price") / F.col("m2"), {"price_m2": upper_median()}).drop("n_values")
     return agg.join(med, "zone").orderBy(F.asc_nulls_last("best_down"), "zone")
+
+
+def new_supply_units(supply: DataFrame, cells: DataFrame, bands) -> DataFrame:
+    """Projects at their "from" price joined to the rent cell of their located zone, with a reason.
+
+    ``supply``: p_partkey, district, zone, typ, typology, price, m2. Never falls back to the
+    district: no zone, size, type or cell means no rent.
+    """
+    from lares.functions.exprs import size_band
+    c = F.col
+    j = supply.withColumn("band", size_band(c("m2"), bands)).join(
+        cells.where("sufficient").select("zone", c("typ").alias("typology"), "band", c("rent_median").alias("rent"), c("n").alias("n_comps")),
+        ["zone", "typology", "band"], "left")
+    reason = (F.when(c("zone").isNull(), "no_geo").when(c("m2").isNull(), "no_m2").when(c("typology").isNull(), "no_typ")
+              .when(c("rent").isNull(), "no_cell"))
+    return j.withColumn("reason", reason)
+
+
+def new_supply_summary(supply: DataFrame, cells: DataFrame, bands, scenarios: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """Discards by reason plus evaluated and excluded counts with the mean score."""
+    rows = cut(new_supply_units(supply, cells, bands))
+    units = rows.where("reason is null").select(
+        F.concat(F.lit("u"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("unit_key"), "zone", "district", "typ", "m2", "price",
+        "rent", "n_comps", F.lit(None).cast("boolean").alias("tax_regime"), F.lit(True).alias("is_new"),
+        F.lit(None).cast("int").alias("age_years"), F.lit("V").alias("price_evidence"), F.lit(False).alias("is_saturated"),
+        F.lit(0.5).alias("risk"), F.lit(0.0).alias("catalyst"), F.lit(0.0).alias("zone_discount"))
+    ev = cut(evaluate(units, scenarios, p))
+    no_score = F.lit(None).cast("double")
+    parts = rows.where("reason is not null").select("reason", no_score.alias("score"))
+    parts = parts.unionByName(ev.where("exclusion is not null").select(F.lit("excluded").alias("reason"), no_score.alias("score")))
+    parts = parts.unionByName(score(live_of(ev), p).select(F.lit("evaluated").alias("reason"), "score"))
+    return parts.groupBy("reason").agg(F.count("*").alias("n"), (F.round(F.avg("score"), 6) + F.lit(0.0)).alias("avg_score"))
