@@ -99,10 +99,14 @@ def evidence_worst(*levels: Column) -> Column:
 # ----------------------------------------------------------------- text normalisation
 
 
+# Latin supplement and extensions, letter-like symbols and ligatures
+_FOLD_RANGES = ((0xA0, 0x250), (0x1E00, 0x1F00), (0x2000, 0x2190), (0xFB00, 0xFB07))
+
+
 def _accent_rules():
     """Single-letter folds and multi-letter folds of accented Latin letters, by Unicode rule."""
     one_from, one_to, many = [], [], []
-    for code in range(0xC0, 0x250):
+    for code in [c for lo, hi in _FOLD_RANGES for c in range(lo, hi)]:
         ch = chr(code)
         folded = unicodedata.normalize("NFKD", ch).encode("ascii", "ignore").decode()
         if len(folded) == 1:
@@ -117,10 +121,12 @@ _ACC_FROM, _ACC_TO, _ACC_MANY = _accent_rules()
 
 
 def strip_accents(text: Column) -> Column:
-    folded = F.translate(text, _ACC_FROM, _ACC_TO)
+    single = F.translate(text, _ACC_FROM, _ACC_TO)
+    many = single
     for ch, rep in _ACC_MANY:
-        folded = F.replace(folded, F.lit(ch), F.lit(rep))
-    folded = F.regexp_replace(folded, r"[^\x00-\x7F]", "")
+        many = F.replace(many, F.lit(ch), F.lit(rep))
+    rare = "[" + "".join(ch for ch, _ in _ACC_MANY) + "]"
+    folded = F.regexp_replace(F.when(text.rlike(rare), many).otherwise(single), r"[^\x00-\x7F]", "")
     return F.when(text.rlike(r"[^\x00-\x7F]"), folded).otherwise(text)
 
 
@@ -184,10 +190,10 @@ def parse_date_strict(text: Column) -> Column:
 
 def publish_bounds(captured_utc: Column, label: Column) -> tuple[Column, Column]:
     """(exact date, earliest date) from a relative label, on the local calendar."""
-    local_day = F.from_utc_timestamp(captured_utc, "America/Santiago").cast("date")
+    local = F.convert_timezone(F.lit("UTC"), F.lit("America/Santiago"), captured_utc.cast("timestamp_ntz"))
+    local_day = local.cast("date")
     plain = F.upper(F.trim(label))
     exact = F.when(plain == "PUBLICADO HOY", local_day)
-    since = exact
     since = F.when(plain == "PUBLICADO HOY", local_day).when(
         plain == "PUBLICADO ESTA SEMANA", F.date_sub(local_day, 7))
     return exact, since
@@ -195,7 +201,7 @@ def publish_bounds(captured_utc: Column, label: Column) -> tuple[Column, Column]
 
 def location_split(text: Column, url_place: Column) -> tuple[Column, Column]:
     """(municipality, neighbourhood): the search filter in the URL anchors the municipality."""
-    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     written = F.get(F.filter(parts, lambda x: slugify(x) == url_place), F.lit(0))
     others = F.filter(parts, lambda x: slugify(x) != url_place)
     anchored_place = F.coalesce(written, F.initcap(F.replace(url_place, F.lit("-"), F.lit(" "))))

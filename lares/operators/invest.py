@@ -281,8 +281,9 @@ def live_of(evaluated: DataFrame) -> DataFrame:
 
 def top_n(scored: DataFrame, n: int, by: str = "score") -> DataFrame:
     """The n best rows with their position; only n rows per task reach the final ordering."""
-    best = scored.orderBy(F.desc(by), "unit_key").limit(n)
-    return best.withColumn("position", F.row_number().over(Window.orderBy(F.desc(by), "unit_key")))
+    key = F.round(by, 9).desc()
+    best = scored.orderBy(key, "unit_key").limit(n)
+    return best.withColumn("position", F.row_number().over(Window.orderBy(key, "unit_key")))
 
 
 def global_position(scored: DataFrame, by: str = "score", buckets_per_unit: float = 1000.0) -> DataFrame:
@@ -291,11 +292,12 @@ def global_position(scored: DataFrame, by: str = "score", buckets_per_unit: floa
     Rows are numbered inside score buckets; the offset of a bucket is the count above it.
     A score lies in [0, 100], so there are at most 100 001 buckets.
     """
-    b = scored.withColumn("_b", F.floor(F.col(by) * buckets_per_unit))
+    key = F.round(by, 9)
+    b = scored.withColumn("_b", F.floor(key * buckets_per_unit))
     counts = b.groupBy("_b").agg(F.count("*").alias("_n"))
     above = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_above", F.coalesce(F.sum("_n").over(above), F.lit(0))).drop("_n")
-    inside = Window.partitionBy("_b").orderBy(F.desc(by), "unit_key")
+    inside = Window.partitionBy("_b").orderBy(key.desc(), "unit_key")
     return (
         b.withColumn("_r", F.row_number().over(inside)).join(offsets, "_b")
         .withColumn("position", F.col("_above") + F.col("_r")).drop("_b", "_r", "_above"))

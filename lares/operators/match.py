@@ -227,14 +227,14 @@ def collapse_duplicates(matched: DataFrame) -> DataFrame:
 
 
 def rankable(units, rates, comps, furnished, now=None, scope=None, risk: DataFrame | None = None, p: Params = DEFAULT) -> DataFrame:
-    """Units ready for evaluation: matched rent, zone discount, zone risk and catalyst.
-
-    Zones without a measured risk or catalyst take the defaults 0.5 and 0; ``risk_measured``
-    and ``catalyst_measured`` say which.
-    """
+    """Units ready for evaluation: matched rent, zone discount, zone risk and catalyst."""
     cand = cut(candidates_of(units, rates, now, scope, p))
-    kept = collapse_duplicates(match_units(cand, decisions(cand, comps, furnished, p), p))
-    out = kept.join(zone_medians(cand), "zone", "left").withColumn(
+    return rankable_from(cand, match_units(cand, decisions(cand, comps, furnished, p), p), risk)
+
+
+def rankable_from(candidates: DataFrame, matched: DataFrame, risk: DataFrame | None = None) -> DataFrame:
+    """Zones without a measured risk or catalyst take the defaults 0.5 and 0; two flags say which."""
+    out = collapse_duplicates(matched).join(zone_medians(candidates), "zone", "left").withColumn(
         "zone_discount",
         F.when(F.coalesce(F.col("zone_median"), F.lit(0.0)) != 0,
                (F.col("zone_median") - F.col("price") / F.col("m2")) / F.col("zone_median")).otherwise(0.0))

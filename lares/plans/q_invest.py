@@ -273,6 +273,10 @@ def ranked_units(t):
     return u.withColumn("is_saturated", F.lit(False))
 
 
+def ranked_units_from(t, cand, matched):
+    return M.rankable_from(cand, matched).withColumn("is_saturated", F.lit(False))
+
+
 RANKED = (*MATCHED, RUNITS_SQL, BASE_SQL, eval_sql(src="runits"), irr_sql(), score_sql())
 
 
