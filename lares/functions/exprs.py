@@ -222,10 +222,12 @@ def location_split(text: Column, url_place: Column) -> tuple[Column, Column]:
 
 def pii_redact(text: Column) -> tuple[Column, Column]:
     """(clean text, number of removals) applying each pattern to the previous result."""
-    clean, total = text, F.lit(0)
-    for _, pattern, replacement in P.REDACTION_PATTERNS:
-        total = total + F.regexp_count(clean, F.lit(pattern))
-        clean = F.regexp_replace(clean, pattern, replacement)
+    clean, total = text, F.when(text.isNotNull(), 0)
+    for _, pattern, replacement, needles in P.REDACTION_PATTERNS:
+        # a plain substring test first: most texts hold no candidate and skip the pattern
+        may = reduce(lambda a, b: a | b, [F.contains(clean, F.lit(n)) for n in needles])
+        total = total + F.when(may, F.regexp_count(clean, F.lit(pattern))).otherwise(0)
+        clean = F.when(may, F.regexp_replace(clean, pattern, replacement)).otherwise(clean)
     return clean, total
 
 
@@ -237,7 +239,7 @@ def safe_short_text(text: Column) -> Column:
 def url_sanitize(url: Column, listing_id: Column, base: Column | str) -> Column:
     """Cut the URL to its canonical form when its slug carries contact data."""
     dirty = reduce(lambda a, b: a | b,
-                   [url.rlike(pat) for _, pat, _ in P.REDACTION_PATTERNS] + [url.rlike(P.LOOSE_PHONE_PATTERN)])
+                   [url.rlike(pat) for _, pat, _, _ in P.REDACTION_PATTERNS] + [url.rlike(P.LOOSE_PHONE_PATTERN)])
     return F.when(dirty & listing_id.isNotNull(), F.concat(lit_or(base), F.lit("/"), listing_id)).otherwise(url)
 
 

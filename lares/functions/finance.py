@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,25 +71,40 @@ def sign_changes(capital, yearly, final_extra, years: int) -> Column:
     return flips(first, mid_eff) + flips(before_last, last)
 
 
-def irr_level(capital, yearly, final_extra, years: int, bounds=(-0.9999, 10.0), steps: int = 60) -> Column:
-    """Internal rate of return of the level series; NULL unless it exists, is unique and lies in bounds.
+def irr_levels(capital, yearly, extras: dict[int, Column], bounds=(-0.9999, 10.0), steps: int = 60) -> Column:
+    """Struct irr_<n> per horizon; NULL unless the rate exists, is unique and lies in bounds.
 
     With one sign change the root is unique, so halving the interval always converges. The
-    halving is a fold over a fixed sequence: no Python, no data-dependent loop.
+    sixty halvings run on whole Arrow batches for all horizons in one Python pass: as a
+    built-in fold they are interpreted node by node and measured some forty times slower.
     """
-    lo, hi = bounds
-    value = lambda r: npv_level(capital, yearly, final_extra, years, r)
-    v_lo, v_hi = value(F.lit(lo)), value(F.lit(hi))
-    init = F.struct(F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"))
-
-    def halve(acc, _):
-        mid = (acc["lo"] + acc["hi"]) / 2.0
-        left = (value(mid) < 0) == (v_lo > 0)  # root in the lower half
-        return F.struct(F.when(left, acc["lo"]).otherwise(mid).alias("lo"), F.when(left, mid).otherwise(acc["hi"]).alias("hi"))
-
-    root = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, halve, lambda a: (a["lo"] + a["hi"]) / 2.0)
-    ok = (sign_changes(capital, yearly, final_extra, years) == 1) & (v_lo * v_hi <= 0)
-    return F.when(ok, root)
+    horizons = sorted(extras)
+    lo0, hi0 = bounds
+
+    @F.pandas_udf(", ".join(f"irr_{n} double" for n in horizons))
+    def solve(cap: pd.Series, year: pd.Series, *last: pd.Series) -> pd.DataFrame:
+        c, a = cap.to_numpy(dtype=float), year.to_numpy(dtype=float)
+        out = {}
+        for n, x in zip(horizons, last):
+            e = x.to_numpy(dtype=float)
+
+            def value(r, e=e, n=n):
+                v = (1.0 + r) ** -float(n)
+                safe = np.where(np.abs(r) < 1e-9, 1.0, r)
+                return -c + a * np.where(np.abs(r) < 1e-9, float(n), (1.0 - v) / safe) + e * v
+
+            lo, hi = np.full(len(c), lo0), np.full(len(c), hi0)
+            up, ends = value(lo) > 0, value(lo) * value(hi)
+            for _ in range(steps):
+                mid = (lo + hi) / 2.0
+                left = (value(mid) < 0) == up
+                lo, hi = np.where(left, lo, mid), np.where(left, mid, hi)
+            out[f"irr_{n}"] = np.where(ends <= 0, (lo + hi) / 2.0, np.nan)
+        return pd.DataFrame(out)
+
+    root = solve(_c(capital), _c(yearly), *[_c(extras[n]) for n in horizons])
+    one = {n: sign_changes(capital, yearly, extras[n], n) == 1 for n in horizons}
+    return F.struct(*[F.when(one[n], F.nanvl(root[f"irr_{n}"], F.lit(None))).alias(f"irr_{n}") for n in horizons])
 
 
 # ----------------------------------------------------------------- searches with a closed form

@@ -166,8 +166,8 @@ def with_returns(df: DataFrame, p: Params = DEFAULT) -> DataFrame:
     c = F.col
     yearly = c("cash_flow_year")
     df = settle(df.withColumns({f"exit_{n}": _exit_value(n, p) for n in p.irr_horizons}).withColumn("cash_flow_year", c("cash_flow") * 12.0))
-    df = df.withColumns({
-        f"irr_{n}": fin.irr_level(c("capital"), yearly, c(f"exit_{n}"), n, p.irr_bounds) for n in p.irr_horizons})
+    df = df.select("*", fin.irr_levels(c("capital"), yearly, {n: c(f"exit_{n}") for n in p.irr_horizons}, p.irr_bounds).alias("_irr"))
+    df = df.select("*", "_irr.*").drop("_irr")
     missing = F.concat_ws(",", *[F.when(c(f"irr_{n}").isNull(), F.lit(str(n))) for n in p.irr_horizons])
     return df.withColumn("npv_10", fin.npv_level(c("capital"), yearly, c("exit_10"), 10, F.lit(p.discount_rate))).withColumn(
         "irr_missing", F.when(missing != "", missing))

@@ -298,8 +298,9 @@ def knn_rent(sizes: DataFrame, comps: DataFrame, k: int = 8) -> DataFrame:
     keeping the k cheapest of each size loses nothing.
     """
     from pyspark.sql import Window
-    per_size = Window.partitionBy("zone", "typ", "m2").orderBy("rent", "comp_id")
-    head = comps.withColumn("_r", F.row_number().over(per_size)).where(F.col("_r") <= k).select("zone", "typ", "m2", "rent", "comp_id")
+    comps = cut(comps.select("zone", "typ", "m2", "rent"))
+    per_size = Window.partitionBy("zone", "typ", "m2").orderBy("rent")
+    head = comps.withColumn("_r", F.row_number().over(per_size)).where(F.col("_r") <= k).select("zone", "typ", "m2", "rent")
     counts = comps.groupBy("zone", "typ", "m2").agg(F.count("*").alias("n"))
     key = ["zone", "typ", "m2u"]
     pairs = sizes.join(counts, ["zone", "typ"]).withColumn("d", F.abs(F.col("m2") - F.col("m2u")))
@@ -308,7 +309,7 @@ def knn_rent(sizes: DataFrame, comps: DataFrame, k: int = 8) -> DataFrame:
         Window.partitionBy(*key).orderBy("d").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
     limit = cum.where(F.col("_before") < k).groupBy(*key).agg(F.max("d").alias("reach"))
     near = pairs.join(limit, key).where("d <= reach").join(head, ["zone", "typ", "m2"])
-    ranked = near.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy("d", "rent", "comp_id"))).where(F.col("_k") <= k)
+    ranked = near.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy("d", "rent"))).where(F.col("_k") <= k)
     return ranked.groupBy(*key).agg(
         F.count("*").alias("k"), F.percentile("rent", F.lit(0.5)).alias("knn_rent"), F.max("d").alias("reach"),
     ).where(F.col("k") == k)
@@ -317,6 +318,7 @@ def knn_rent(sizes: DataFrame, comps: DataFrame, k: int = 8) -> DataFrame:
 def seasonal_share(sizes: DataFrame, comps: DataFrame, furnished: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Furnished and clean counts in the narrow window of each distinct size."""
     f = p.window_factors[0]
+    sizes = cut(sizes)
     cells = comps.groupBy("zone", "typ", "m2").agg(F.count("*").alias("n"))
     key = ["zone", "typ", "m2u"]
     a = size_pairs(sizes, cells, f, p).groupBy(*key).agg(F.sum("n").alias("n_clean"))

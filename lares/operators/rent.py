@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from lares.functions.exprs import (freshness_reason, lit_or, micro_band, size_band, text_doubtful,
                                    text_not_comparable)
 from lares.operators.asof import with_rate
-from lares.operators.quantiles import grouped_quantiles, upper_median
+from lares.operators.quantiles import grouped_quantiles
 from lares.params import DEFAULT, Params
+from lares.session import cut
 
 SIGNATURE = ["zone", "typ", "m2", "rent_uf", "rent_clp"]
 
@@ -38,12 +39,13 @@ def row_reasons(rents: DataFrame, rates: DataFrame, now=None, p: Params = DEFAUL
     return base.withColumn("rent", rent).withColumn("reason", reason)
 
 
-def _signatures(rows: DataFrame) -> DataFrame:
+def _signatures(rows: DataFrame, ids: bool = False) -> DataFrame:
     """One row per exact (zone, type, size, price) with furnished and clean counts.
 
     A plain aggregation instead of a window: copies of one listing may be a third of the
     table, and partial aggregation reduces them before the shuffle. Units of a multifamily
-    building are exempt from collapsing, so their own id joins the key.
+    building are exempt from collapsing, so their own id joins the key. Without ``ids`` all
+    aggregation buffers are fixed-width, which keeps the hash aggregate.
     """
     furnished = (
         (F.col("reason") == "furnished") & F.col("zone").isNotNull() & F.col("typ").isNotNull()
@@ -51,35 +53,39 @@ def _signatures(rows: DataFrame) -> DataFrame:
     furnished = F.coalesce(furnished, F.lit(False))
     clean = F.col("reason").isNull()
     solo = F.when(clean & F.coalesce(F.col("multifamily"), F.lit(False)), F.col("comp_id"))
-    best = F.struct(F.coalesce(F.col("seen").cast("timestamp"), F.lit("0001-01-01").cast("timestamp")).alias("at"),
-                    "comp_id", "rent", "seen")
-    return (
-        rows.where(furnished | clean)
-        .withColumn("_clean", clean).withColumn("solo", solo)
-        .groupBy(*SIGNATURE, "solo")
-        .agg(F.count_if(~F.col("_clean")).alias("n_furnished"),
-             F.count_if("_clean").alias("n_clean"),
-             F.max(F.when(F.col("_clean"), best)).alias("best"))
-    )
+    aggs = [F.count_if(~F.col("_clean")).alias("n_furnished"), F.count_if("_clean").alias("n_clean"),
+            F.max(F.when(F.col("_clean"), F.col("seen"))).alias("seen")]
+    if ids:
+        aggs.append(F.max(F.when(F.col("_clean"), F.struct("seen", "comp_id"))).alias("_best"))
+    out = rows.where(furnished | clean).withColumn("_clean", clean).withColumn("solo", solo).groupBy(*SIGNATURE, "solo").agg(*aggs)
+    return out.withColumn("comp_id", F.col("_best.comp_id")).drop("_best") if ids else out
 
 
-def comparables(rents: DataFrame, rates: DataFrame, now=None, p: Params = DEFAULT, collapse: bool = True) -> DataFrame:
-    """Clean comparables: comp_id, zone, typ, m2, rent, listings, seen.
+def comparables(rents: DataFrame, rates: DataFrame, now=None, p: Params = DEFAULT, collapse: bool = True, ids: bool = False) -> DataFrame:
+    """Clean comparables: zone, typ, m2, rent, listings, seen (and comp_id with ``ids``).
 
     Order: row filters, rate conversion, removal of twins of furnished listings, collapse of
-    relistings to their latest sighting.
+    relistings to their latest sighting. The rent of a collapsed group is its price at the
+    rate of that latest day, so the rate is looked up again once per group.
     """
     rows = row_reasons(rents, rates, now, p)
-    sig = _signatures(rows)
+    sig = _signatures(rows, ids)
+    id_cols = ["comp_id"] if ids else []
     if collapse:
-        return sig.where((F.col("n_clean") > 0) & (F.col("n_furnished") == 0)).select(
-            "best.comp_id", "zone", "typ", "m2", "best.rent", F.col("n_clean").alias("listings"), "best.seen")
+        kept = with_rate(sig.where((F.col("n_clean") > 0) & (F.col("n_furnished") == 0)), rates, "seen", p)
+        return kept.select(*id_cols, "zone", "typ", "m2", F.coalesce("rent_uf", F.col("rent_clp") / F.col("rate")).alias("rent"),
+                           F.col("n_clean").alias("listings"), "seen")
     twins = sig.where((F.col("n_clean") > 0) & (F.col("n_furnished") > 0)).select(*SIGNATURE)
     plain = rows.where(F.col("reason").isNull())
     cond = [plain[c].eqNullSafe(twins[c]) for c in SIGNATURE]
     cond.append(~F.coalesce(plain["multifamily"], F.lit(False)))
     return plain.join(twins, cond, "left_anti").select(
-        "comp_id", "zone", "typ", "m2", "rent", F.lit(1).cast("bigint").alias("listings"), "seen")
+        *id_cols, "zone", "typ", "m2", "rent", F.lit(1).cast("bigint").alias("listings"), "seen")
+
+
+def counted(comps: DataFrame) -> DataFrame:
+    """Comparables as zone, typ, m2, rent, n, listings: the reduced table every later step reads."""
+    return comps.groupBy("zone", "typ", "m2", "rent").agg(F.count("*").alias("n"), F.sum("listings").cast("bigint").alias("listings"))
 
 
 def discard_counts(rents: DataFrame, rates: DataFrame, now=None, p: Params = DEFAULT) -> DataFrame:
@@ -119,17 +125,13 @@ def furnished_sizes(rents: DataFrame, now=None, p: Params = DEFAULT) -> DataFram
 def cells(comps: DataFrame, bands=DEFAULT.bands, keys=("zone", "typ"), p: Params = DEFAULT) -> DataFrame:
     """Rent per (zone, type, size band): counts, quartiles, price per m2, typical size."""
     keys = [*keys, "band"]
-    banded = comps.withColumn("band", size_band(F.col("m2"), bands)).where(F.col("band").isNotNull())
-    return cell_stats(banded, keys, p)
-
-
-def cell_stats(banded: DataFrame, keys: list[str], p: Params = DEFAULT) -> DataFrame:
-    counts = banded.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("listings").cast("bigint").alias("listings"))
-    measures = banded.select(*keys, F.explode(F.array(
+    banded = cut(counted(comps)).withColumn("band", size_band(F.col("m2"), bands)).where(F.col("band").isNotNull())
+    counts = banded.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("listings").alias("listings"))
+    measures = banded.select(*keys, "n", F.explode(F.array(
         F.struct(F.lit("rent").alias("what"), F.col("rent").alias("v")),
         F.struct(F.lit("per_m2").alias("what"), (F.col("rent") / F.col("m2")).alias("v")),
-        F.struct(F.lit("m2").alias("what"), F.col("m2").alias("v")))).alias("x")).select(*keys, "x.what", "x.v")
-    q = grouped_quantiles(measures, [*keys, "what"], F.col("v"), {"p25": 0.25, "median": 0.5, "p75": 0.75})
+        F.struct(F.lit("m2").alias("what"), F.col("m2").alias("v")))).alias("x")).select(*keys, "n", "x.what", "x.v")
+    q = grouped_quantiles(measures, [*keys, "what"], F.col("v"), {"p25": 0.25, "median": 0.5, "p75": 0.75}, F.col("n"))
     pick = lambda what, col: F.max(F.when(F.col("what") == what, F.col(col)))
     wide = q.groupBy(*keys).agg(
         pick("rent", "p25").alias("rent_p25"), pick("rent", "median").alias("rent_median"),
@@ -225,6 +227,7 @@ def microunit_sale(versions: DataFrame, first_before, recent_after) -> DataFrame
 
 def band_simulation(comps: DataFrame, units: DataFrame, current, proposed, p: Params = DEFAULT) -> DataFrame:
     """What changing the size bands does: usable cells, and units lost, gained, well matched."""
+    comps = cut(comps.select("zone", "typ", "m2", "rent", "listings"))
     a = cells(comps, current, p=p).where("sufficient").select("zone", "typ", F.col("band").alias("band_a"), F.lit(True).alias("in_a"))
     b = cells(comps, proposed, p=p).where("sufficient").select(
         "zone", "typ", F.col("band").alias("band_b"), F.lit(True).alias("in_b"), F.col("m2_median").alias("typical"))

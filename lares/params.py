@@ -28,11 +28,12 @@ DOUBTFUL_PATTERN = r"equipad|gc[\s-]incl|gastos[\s-]comunes[\s-]inclu"
 NUMBER_PATTERN = r"\d[\d.]*(?:,\d+)?"
 
 # --- fixed values: personal-data patterns used for redaction, in order of application
+# (name, pattern, replacement, literals of which every match contains at least one)
 REDACTION_PATTERNS = (
-    ("mail", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[correo-removido]"),
-    ("chat", r"(?:wa\.me|api\.whatsapp\.com)[^\"'>\s]*", "[whatsapp-removido]"),
-    ("tel", r"tel:[^\"'>\s]*", "tel:[removido]"),
-    ("phone", r"\+\s?56[\s.\-]?9?[\s.\-]?\d[\d\s.\-]{5,10}\d", "[fono-removido]"),
+    ("mail", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[correo-removido]", ("@",)),
+    ("chat", r"(?:wa\.me|api\.whatsapp\.com)[^\"'>\s]*", "[whatsapp-removido]", ("wa.me", "api.whatsapp.com")),
+    ("tel", r"tel:[^\"'>\s]*", "tel:[removido]", ("tel:",)),
+    ("phone", r"\+\s?56[\s.\-]?9?[\s.\-]?\d[\d\s.\-]{5,10}\d", "[fono-removido]", ("+",)),
 )
 LOOSE_PHONE_PATTERN = r"(?<!\d)(?<!MLC-)9\d{8}(?!\d)"
 PII_SCAN_PATTERNS = (

@@ -88,7 +88,7 @@ def uf_asof_q(t):
 SELECT comp_id, zone, typ, m2, round(rent, 6) + 0.0 AS rent, CAST(listings AS BIGINT) AS listings, CAST(seen AS VARCHAR) AS seen FROM comps"""))
 def comparables_q(t):
     """Clean comparables: filters, conversion, twin removal, relisting collapse."""
-    return comps_of(t).select("comp_id", "zone", "typ", "m2", rnd(F.col("rent")).alias("rent"), "listings", F.col("seen").cast("string").alias("seen"))
+    return comps_of(t, ids=True).select("comp_id", "zone", "typ", "m2", rnd(F.col("rent")).alias("rent"), "listings", F.col("seen").cast("string").alias("seen"))
 
 
 @query("comparable_discards", sql_with(*COMPS, final="""
@@ -116,8 +116,8 @@ def twin_q(t):
 SELECT comp_id, CAST(copies AS BIGINT) AS listings, CAST(seen AS VARCHAR) AS seen FROM ranked WHERE rn = 1 AND copies > 1"""))
 def relisting_q(t):
     """Groups of relistings: representative (latest sighting) and number of listings."""
-    sig = R._signatures(R.row_reasons(t.rents, t.rates, t.now)).where("n_clean > 1 and n_furnished = 0")
-    return sig.select("best.comp_id", F.col("n_clean").alias("listings"), F.col("best.seen").cast("string").alias("seen"))
+    sig = R._signatures(R.row_reasons(t.rents, t.rates, t.now), ids=True).where("n_clean > 1 and n_furnished = 0")
+    return sig.select("comp_id", F.col("n_clean").alias("listings"), F.col("seen").cast("string").alias("seen"))
 
 
 @query("furnished_pool", sql_with(*COMPS, final="SELECT zone, typ, m2, n FROM fsizes"))

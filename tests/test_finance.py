@@ -11,7 +11,8 @@ from lares.params import DEFAULT, Params
 
 
 def val(spark, c):
-    return spark.range(1).select(c.alias("x")).first().x
+    df = spark if hasattr(spark, "columns") else spark.range(1)
+    return df.select(c.alias("x")).first().x
 
 
 def test_debt_factor_anchors(spark):
@@ -23,7 +24,7 @@ def test_debt_factor_anchors(spark):
 
 
 def test_irr_anchors_and_undefined_cases(spark):
-    irr = lambda c, a, e, n: val(spark, fin.irr_level(F.lit(float(c)), F.lit(float(a)), F.lit(float(e)), n))
+    irr = lambda c, a, e, n: val(spark.range(1).select(F.lit(float(c)).alias("c"), F.lit(float(a)).alias("a"), F.lit(float(e)).alias("e")), fin.irr_levels(F.col("c"), F.col("a"), {n: F.col("e")})[f"irr_{n}"])
     assert abs(irr(100, 0, 121, 2) - 0.1) < 1e-9
     assert abs(irr(100, 10, 100, 5) - 0.10) < 1e-9
     assert irr(100, -1, -5, 10) is None  # never positive

@@ -29,7 +29,7 @@ def rates(spark, days=((NOW, 40000.0),)):
 def run(spark, rows, **kw):
     df = spark.createDataFrame(rows, RENT_SCHEMA)
     now = F.lit(NOW)
-    comps = R.comparables(df, rates(spark), now, **kw).collect()
+    comps = R.comparables(df, rates(spark), now, ids=True, **kw).collect()
     counts = {r.reason: r.n for r in R.discard_counts(df, rates(spark), now).collect()}
     return comps, counts
 
