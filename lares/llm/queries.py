@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lares.llm import chat, packing, quality, secrets, sigtree, trie_bpe
+from lares.llm import chat, langid, lbl_lm, packing, quality, secrets, sigtree, trie_bpe
 from lares.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,7 +102,15 @@ def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_bpe.encoded(table(spark, sf_dir, "documents"))
 
 
-for _fn in (op1_best_fit_packing, op4_bpe_encoding):
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predicted(table(spark, sf_dir, "documents"))
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lbl_lm.scored(table(spark, sf_dir, "documents"))
+
+
+for _fn in (op1_best_fit_packing, op4_bpe_encoding, op5_language_id, op6_lm_scoring):
     query(_fn)
 
 
