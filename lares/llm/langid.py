@@ -30,7 +30,7 @@ FOLDS, HELD_OUT = 4, 2
 #: Bound of the training sample per language; hashed dimensions; centroids per language.
 PER_LANGUAGE, DIMS, CENTROIDS = 400, 1 << 14, 4
 #: A text is rejected when its cosine is below this share of the low percentile of training texts of its length.
-LENIENCE, LOW = 0.5, 0.01
+LENIENCE, LOW = 0.25, 0.01
 UND = "und"
 
 _LETTER = regex.compile(r"\p{L}")

@@ -36,7 +36,9 @@ from lares.llm.common import bounded_batches
 from lares.llm.tokens import default_vocabulary, word_encoder
 from lares.session import cut
 
-SIZE, CLOSING, SALTS = 2048, 0, 64
+SIZE, CLOSING = 2048, 0
+#: Pieces of one length that are ranked by one task.
+PER_SALT = 200_000
 #: Lengths over ``SIZE // SMALL`` are large; they form ``GROUPS`` groups.
 SMALL, GROUPS = 8, 24
 
@@ -54,8 +56,8 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, size: int = SIZE, clo
         encoder = word_encoder(path)
         for b in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = encoder.encode(text or "") + end
+            for doc_id, ids in zip(b.column(0).to_pylist(), encoder.encode_all([t or "" for t in b.column(1).to_pylist()]), strict=True):
+                ids += end
                 for i, start in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[start : start + 4 * size]
                     out.append((doc_id, i, start // 4, len(part) // 4, zlib.crc32(part)))
@@ -232,8 +234,10 @@ def plan(histogram: dict[int, int], size: int = SIZE, groups: int = GROUPS, smal
 def pack(cut_pieces: DataFrame, size: int = SIZE) -> DataFrame:
     """The pieces with sequence_id and offset. ``cut_pieces`` is read more than once: give a written table."""
     spark = cut_pieces.sparkSession
-    salted = cut_pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    counts = salted.groupBy("length", "_salt").count().collect()  # at most size x SALTS rows
+    total = cut_pieces.groupBy("length").count()  # at most ``size`` rows
+    salts = F.ceil(F.col("count") / PER_SALT).cast("int")
+    salted = cut_pieces.join(F.broadcast(total.select("length", salts.alias("_salts"))), "length").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("_salts")).cast("int"))
+    counts = salted.groupBy("length", "_salt").count().collect()  # ``size`` rows, and one for every PER_SALT pieces
     histogram: Counter[int] = Counter()
     before = []
     for r in sorted(counts, key=lambda r: (r["length"], r["_salt"])):
@@ -242,7 +246,7 @@ def pack(cut_pieces: DataFrame, size: int = SIZE) -> DataFrame:
     rows, _ = plan(dict(histogram), size)
     offsets = spark.createDataFrame(before, "length long, _salt int, _before long")
     w = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
-    # both tables have at most a few rows per length and salt, whatever the number of pieces
+    # few rows: of counted offsets, and of the plan
     ranked = salted.withColumn("_row", F.row_number().over(w)).join(F.broadcast(offsets), ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_row") - 1)
     p = F.broadcast(spark.createDataFrame(rows, PLAN).withColumnRenamed("length", "_length"))
     there = ranked.join(p, (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("r0")) & (F.col("_rank") < F.col("r1")))

@@ -25,7 +25,7 @@ from lares.session import cut
 MIN_WORDS, WINDOW, REPEAT_PER_CENT = 10, 5, 20
 #: Measures with a fence: expression over the measured row, and the least spread taken as normal.
 MEASURES = {
-    "symbols": ("n_symbols * 1000L div n_words", 10),
+    "symbols": ("n_symbols * 1000L div n_words", 40),
     "word_length": ("word_chars * 100L div n_words", 40),
     "dup_lines": ("n_dup_lines * 1000L div n_lines", 50),
     "repeats": ("n_repeat_words * 1000L div n_words", 20),

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lares.llm import chat, langid, lbl_lm, packing, quality, secrets, sigtree, trie_bpe
+from lares.llm import chat, langid, lbl_lm, packing, permindex, quality, secrets, shards, sigtree, trie_bpe
 from lares.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,22 +111,15 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lbl_lm.scored(table(spark, sf_dir, "documents"))
 
 
-for _fn in (op1_best_fit_packing, op4_bpe_encoding, op5_language_id, op6_lm_scoring):
-    query(_fn)
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permindex.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
-def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sigtree.joined(table(spark, sf_dir, "documents"))
+def op3_training_order_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shards.new_folder(spark)
+    shards.write(table(spark, sf_dir, "documents"), folder)
+    return shards.listed(spark, folder)
 
 
-query(op8_ngram_jaccard_join, r"""
-WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, v FROM (
-        SELECT doc_id, array_to_string(w[p:p + 4], ' ') AS v FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM t WHERE len(w) >= 5)
-        UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM t WHERE len(w) BETWEEN 1 AND 4)),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.v = b.v AND a.doc_id <> b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
-      GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 75 * (na.n + nb.n - count(*))),
-r AS (SELECT doc_id AS a, doc_id AS b FROM t UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
-SELECT t.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS component_id FROM t JOIN r ON r.a = t.doc_id LEFT JOIN n ON n.doc_id = t.doc_id GROUP BY t.doc_id
-""")
+for _fn in (op1_best_fit_packing, op2_nearest_neighbours, op3_training_order_shards, op4_bpe_encoding, op5_language_id, op6_lm_scoring):
+    query(_fn)

@@ -91,6 +91,18 @@ def findings(versions: DataFrame, ledger: str, key: str = "doc_id") -> DataFrame
     return named.select(key, "blob").join(spans, "blob", "left").select(key, "blob", F.coalesce("spans", F.expr("CAST(array() AS array<struct<s:int,o:int,e:int>>)")).alias("spans"))
 
 
+def without_secrets(docs: DataFrame, ledger: str) -> DataFrame:
+    """``docs`` (text, n_chars and other columns) with every secret replaced by a mark."""
+    spark = docs.sparkSession
+    blob = F.sha2(text_or_empty(), 256)
+    findings(docs, ledger)
+    spans = _read_ledger(spark, ledger).where((F.col("rules") == RULES_VERSION) & (F.size("spans") > 0)).groupBy("blob").agg(F.first("spans").alias("_spans"))
+    marked = docs.withColumn("_blob", blob).join(spans.withColumnRenamed("blob", "_blob"), "_blob", "left")
+    clean = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("_spans")))
+    fixed = {"text": clean, "n_chars": F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length(clean).cast("long"))}
+    return marked.select(*[fixed.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
 def _read_ledger(spark, ledger: str) -> DataFrame | None:
     path = spark._jvm.org.apache.hadoop.fs.Path(ledger)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):

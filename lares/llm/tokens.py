@@ -2,7 +2,7 @@
 
 The library splits a normalised text into pieces and encodes each on its own, so the ids of a
 text are the ids of its pieces, joined. Each distinct piece is encoded once by the library and
-remembered (bounded, see ``CACHE``). Texts outside plain Latin letters, where normalisation may
+remembered, and so are the words that pieces make up (bounded, see ``CACHE``). Texts outside plain Latin letters, where normalisation may
 join characters, are given to the library whole.
 """
 
@@ -12,7 +12,7 @@ import os
 import re
 from array import array
 
-#: Pieces remembered per worker; the memory is emptied when it is full.
+#: Pieces and words remembered per worker; a memory is emptied when it is full.
 CACHE = 600_000
 #: New pieces given to the library in one call.
 JOINED = 4096
@@ -41,6 +41,7 @@ class WordEncoder:
         self._special = [t.content for t in self._library.get_added_tokens_decoder().values()]
         self._ends = {i for t, i in self._library.get_vocab(False).items() if t.endswith("</w>")}
         self._known: dict[str, bytes] = {}
+        self._words: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return array("I", self._library.encode(text, add_special_tokens=False).ids).tobytes()
@@ -56,19 +57,34 @@ class WordEncoder:
             out = [array("I", e.ids).tobytes() for e in self._library.encode_batch(pieces, add_special_tokens=False)]
         self._known.update(zip(pieces, out, strict=True))
 
-    def encode(self, text: str) -> bytes:
-        if not PLAIN.fullmatch(text) or any(s in text for s in self._special):
-            return self._whole(text)
-        pieces = PIECE.findall(text.lower())
+    def _split(self, words: list[str]) -> None:
+        """Encode new words by their pieces."""
+        if len(self._words) + len(words) > CACHE:
+            self._words.clear()
+        pieces = [PIECE.findall(w) for w in words]
+        new = list({p for ps in pieces for p in ps if p not in self._known})
+        if len(self._known) + len(new) > CACHE:
+            self._known.clear()
+            new = list({p for ps in pieces for p in ps})
+        for i in range(0, len(new), JOINED):
+            self._learn(new[i : i + JOINED])
         known = self._known
-        new = [p for p in set(pieces) if p not in known]
+        self._words.update((w, b"".join([known[p] for p in ps])) for w, ps in zip(words, pieces, strict=True))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """No piece holds white space, so the ids of a plain text are those of its words."""
+        words: list[list[str] | None] = [t.lower().split() if PLAIN.fullmatch(t) and not any(s in t for s in self._special) else None for t in texts]
+        known = self._words
+        new = {w for ws in words if ws for w in ws if w not in known}
+        if len(known) + len(new) > CACHE:
+            known.clear()
+            new = {w for ws in words if ws for w in ws}
         if new:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(set(pieces))
-            for i in range(0, len(new), JOINED):
-                self._learn(new[i : i + JOINED])
-        return b"".join(map(known.__getitem__, pieces))
+            self._split(list(new))
+        return [self._whole(t) if ws is None else b"".join(map(known.__getitem__, ws)) for t, ws in zip(texts, words, strict=True)]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
