@@ -98,9 +98,9 @@ def without_secrets(docs: DataFrame, ledger: str) -> DataFrame:
     findings(docs, ledger)
     spans = _read_ledger(spark, ledger).where((F.col("rules") == RULES_VERSION) & (F.size("spans") > 0)).groupBy("blob").agg(F.first("spans").alias("_spans"))
     marked = docs.withColumn("_blob", blob).join(spans.withColumnRenamed("blob", "_blob"), "_blob", "left")
-    clean = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("_spans")))
-    fixed = {"text": clean, "n_chars": F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length(clean).cast("long"))}
-    return marked.select(*[fixed.get(c, F.col(c)).alias(c) for c in docs.columns])
+    clean = marked.withColumn("_clean", F.when(F.col("_spans").isNotNull(), redacted(F.col("text"), F.col("_spans"))))
+    fixed = {"text": F.coalesce("_clean", "text"), "n_chars": F.coalesce(F.length("_clean").cast("long"), "n_chars")}
+    return clean.select(*[fixed.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 def _read_ledger(spark, ledger: str) -> DataFrame | None:
