@@ -6,8 +6,9 @@ exact: pruning only removes pairs that can't reach the similarity.
 
 1. *Which documents can have a partner.* Linked sets of sizes a and b share at least three quarters
    of the larger one. So in the shingles' hash order, the first quarter plus an eighth of a set
-   holds at least 3/32 of the set that some other such head holds too. Heads are counted by
-   shingle; documents below that share are out. Only heads are shuffled.
+   holds at least 3/32 of the set that some other such head holds too. Documents below that share
+   are out. Only heads are shuffled, as packed postings by shingle; what meets inside a task is
+   settled there and sent on as one mark.
 2. *Few meetings.* The sets of the others are ordered by rising document frequency; two linked
    sets share a shingle within their first quarter plus one (prefix filter). Frequent shingles come
    last, so passages that many documents share bring only documents together that consist of them.
@@ -47,6 +48,8 @@ WORDS, PER_CENT = 5, 75
 BITS, FANOUT, BLOCK = 2048, 8, 2048
 #: Bits of the filter that spares documents without partner a second computation; the exact join follows.
 FILTER_BITS = 1 << 24
+#: Head shingles that a task gathers before it hands them on; documents among them are numbered in 16 bits.
+HELD_TOKENS, MARK = 2_000_000, 0xFFFF
 #: Word hashes remembered per worker.
 CACHE = 500_000
 
@@ -90,51 +93,129 @@ def _head(n: int) -> int:
     return min(n, n - (PER_CENT * n + 99) // 100 + (n + 7) // 8)
 
 
-def heads(docs: DataFrame) -> DataFrame:
-    """doc_id, n (size of the set), digest of the set, its first 8 bytes as key, and the head of the set."""
-    bounded_batches(docs.sparkSession)
-
-    def run(batches):
-        for b in batches:
-            sets = [shingles(t) for t in b.column(1).to_pylist()]
-            digests = [_digest(s) for s in sets]
-            parts = [s[: _head(len(s))] for s in sets]
-            offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
-            values = np.concatenate(parts) if parts else np.empty(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
-                 pa.array(np.frombuffer(b"".join(d[:8] for d in digests), dtype=np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
-                names=["doc_id", "n", "digest", "key", "head"])
+def _packed_heads(first_row: int, n_docs: int, sets: list[np.ndarray], buckets: int) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
+    """Hits of each document within these documents, and the postings for each bucket of tokens.
+
+    A token that several of the documents hold needs no posting of any of them, only one mark that
+    it is here, so a token that most documents share is one posting, not thousands.
+    """
+    tokens = np.concatenate(sets)
+    if not len(tokens):
+        return np.zeros(n_docs, dtype=np.int64), []
+    owner = np.repeat(np.arange(n_docs), [len(s) for s in sets])
+    order = np.argsort(tokens)
+    tokens, owner = tokens[order], owner[order]
+    start = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+    times = np.diff(np.append(start, len(tokens)))
+    several = np.repeat(times > 1, times)
+    hits = np.bincount(owner[several], minlength=n_docs)
+    tokens, owner = tokens[start], np.where(times > 1, MARK, owner[start]).astype(np.uint16)
+    which = tokens % buckets
+    order = np.argsort(which, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    edges = np.searchsorted(which[order], np.arange(buckets + 1))
+    head = np.int64(first_row).tobytes()
+    return hits, [(b, head + tokens[i:j].tobytes() + owner[i:j].tobytes()) for b, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if j > i]
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, digest binary, key long, head array<long>")
 
+def heads(docs: DataFrame) -> DataFrame:
+    """doc_id, n, digest, hits of every row of ``docs``: how many shingles of the head of its set are in the head of another row."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * parts
+    # rows of two kinds: documents (with a digest), and packed postings or hits of a run of documents that begins at ``base``
+    names = ["blob", "base", "row", "doc_id", "n", "digest", "hits"]
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+    schema = "blob binary, base long, row long, doc_id long, n long, digest binary, hits long"
+
+    def cut_up(batches):
+        from pyspark import TaskContext
+
+        row, held = TaskContext.get().partitionId() << 40, []
+
+        def out():
+            sets = [s for _, s in held]
+            n = len(held)
+            hits, blobs = _packed_heads(row, n, [s[: _head(len(s))] for s in sets], buckets)
+            null = [None] * len(blobs)
+            cols = [[x for _, x in blobs] + [None] * n, [row] * (len(blobs) + n), null + list(range(row, row + n)), null + [d for d, _ in held], null + [len(s) for s in sets],
+                    null + [_digest(s) for s in sets], null + hits.tolist()]
+            bucket = [b for b, _ in blobs] + [(row + i) % buckets for i in range(n)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["bucket", *names])
+
+        size = 0
+        for b in batches:
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                held.append((doc_id, shingles(text)))
+                size += _head(len(held[-1][1]))
+                if size > HELD_TOKENS or len(held) == MARK:
+                    yield out()
+                    row, held, size = row + len(held), [], 0
+        if held:
+            yield out()
+
+    def meet(batches):
+        """Hits of the tokens of some buckets: one packed row per run of documents."""
+        tokens, owners, first = [], [], []
+        for b in batches:
+            whole = b.filter(b.column(6).is_valid())
+            yield pa.RecordBatch.from_arrays(whole.columns[1:], names=names)
+            for blob in b.column(1).drop_null():
+                data = blob.as_buffer()
+                n = (len(data) - 8) // 10
+                first.append(np.frombuffer(data, dtype=np.int64, count=1)[0])
+                tokens.append(np.frombuffer(data, dtype=np.int64, count=n, offset=8).copy())
+                owners.append(np.frombuffer(data, dtype=np.uint16, count=n, offset=8 + 8 * n).copy())
+        if tokens:
+            sizes = [len(t) for t in tokens]
+            t, o, base = np.concatenate(tokens), np.concatenate(owners), np.repeat(np.array(first), sizes)
+            order = np.argsort(t)
+            t = t[order]
+            new = np.concatenate(([True], t[1:] != t[:-1], [True]))
+            hit = order[~(new[:-1] & new[1:])]
+            hit = hit[o[hit] != MARK]
+            order = np.argsort(base[hit], kind="stable")
+            runs, at = np.unique(base[hit][order], return_index=True)
+            packed = [x.tobytes() for x in np.split(o[hit][order], at[1:])] if len(runs) else []
+            none = [pa.nulls(len(runs), k) for k in kinds[2:]]
+            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), pa.array(runs, pa.int64()), *none], names=names)
+
+    def total(batches):
+        """All hits of the documents of some runs."""
+        hits, docs_of = {}, []
+        for b in batches:
+            for blob, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if blob is not None:
+                    hits[base] = hits.get(base, 0) + np.bincount(np.frombuffer(blob, dtype=np.uint16), minlength=MARK)
+            docs_of.append(b.filter(b.column(5).is_valid()))
+        for b in docs_of:
+            more = [int(hits[base][row - base]) if base in hits else 0 for base, row in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(3), b.column(4), b.column(5), pa.array(np.array(more, dtype=np.int64) + b.column(6).to_numpy())], names=["doc_id", "n", "digest", "hits"])
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """The rows whose token occurs in two rows or more, with df. Counted first with map-side sums, then joined."""
-    df = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    return rows.join(df, "token")
+    sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut_up, "bucket int, " + schema)
+    met = sent.repartition(parts, "bucket").mapInArrow(meet, schema)
+    return met.repartition(parts, "base").mapInArrow(total, "doc_id long, n long, digest binary, hits long")
 
 
 def candidates(found: DataFrame) -> DataFrame:
-    """key of the sets that may have a partner (equal sets count as partners)."""
-    rows = found.where("n > 0").select("key", "n", F.explode("head").alias("token"))
-    hits = _shared(rows).groupBy("key", "n").agg(F.count("*").alias("hits"))
-    return hits.where(100 * 8 * F.col("hits") >= PER_CENT * F.col("n")).select("key").distinct()
+    """digest of the sets that may have a partner (equal sets count as partners)."""
+    return found.where((F.col("hits") > 0) & (100 * 8 * F.col("hits") >= PER_CENT * F.col("n"))).select("digest").distinct()
 
 
-def _filter_words(keys: DataFrame) -> np.ndarray:
-    """A bit array of fixed size in which the bit of every key is set."""
-    bit = keys.select(F.pmod("key", F.lit(FILTER_BITS)).cast("int").alias("_bit"))
+def _filter_words(digests: DataFrame) -> np.ndarray:
+    """A bit array of fixed size in which a bit of every digest is set."""
+    bit = digests.select(F.pmod(F.conv(F.substring(F.hex("digest"), 1, 8), 16, 10).cast("long"), F.lit(FILTER_BITS)).cast("int").alias("_bit"))
     words = bit.groupBy(F.shiftright("_bit", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, _bit % 32))").alias("b")).toArrow()
     out = np.zeros(FILTER_BITS // 32, dtype=np.int64)
     out[words.column("w").to_numpy()] = words.column("b").to_numpy()
     return out
 
 
-def sets_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """digest, n, tokens, sig of every distinct set whose key is in ``keys``."""
+def sets_of(docs: DataFrame, digests: DataFrame) -> DataFrame:
+    """node, digest, n, tokens, sig of every distinct set whose digest is in ``digests``. To be written: nodes are numbered as they come."""
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(_filter_words(keys))  # FILTER_BITS / 4 bytes, whatever the input
+    bits = spark.sparkContext.broadcast(_filter_words(digests))  # FILTER_BITS / 4 bytes, whatever the input
 
     def run(batches):
         for b in batches:
@@ -143,49 +224,49 @@ def sets_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
                 s = shingles(t)
                 if len(s):
                     d = _digest(s)
-                    key = int.from_bytes(d[:8], "little", signed=True)
-                    at = key % FILTER_BITS
+                    at = int.from_bytes(d[:4], "big") % FILTER_BITS
                     if bits.value[at >> 5] >> (at & 31) & 1:
-                        out.append((d, key, s))
-            packed = [np.packbits(np.bincount(s % BITS, minlength=BITS) > 0, bitorder="little").tobytes() for _, _, s in out]
+                        out.append((d, s))
+            packed = [np.packbits(np.bincount(s % BITS, minlength=BITS) > 0, bitorder="little").tobytes() for _, s in out]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([d for d, _, _ in out], pa.binary()), pa.array([k for _, k, _ in out], pa.int64()), pa.array([len(s) for _, _, s in out], pa.int64()),
-                 pa.array([s for _, _, s in out], pa.list_(pa.int64())), pa.array(packed, pa.binary())],
-                names=["digest", "key", "n", "tokens", "sig"])
+                [pa.array([d for d, _ in out], pa.binary()), pa.array([len(s) for _, s in out], pa.int64()), pa.array([s for _, s in out], pa.list_(pa.int64())), pa.array(packed, pa.binary())],
+                names=["digest", "n", "tokens", "sig"])
 
-    some = docs.select("text").mapInArrow(run, "digest binary, key long, n long, tokens array<long>, sig binary")
-    return some.join(keys, "key", "left_semi").drop("key").dropDuplicates(["digest"])
+    some = docs.select("text").mapInArrow(run, "digest binary, n long, tokens array<long>, sig binary")
+    one = some.dropDuplicates(["digest"]).join(digests, "digest", "left_semi")
+    return one.withColumn("node", F.monotonically_increasing_id())
 
 
 def groups(sets: DataFrame) -> DataFrame:
-    """token, digest, n, low, high, any: prefix postings of the groups with two sets or more, and three leaders of each."""
-    rows = sets.select("digest", "n", F.explode("tokens").alias("token"))
-    by_set = _shared(rows).groupBy("digest", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("_t"))
+    """token, node, n, low, high, any: prefix postings of the groups with two sets or more, and three leaders of each."""
+    rows = sets.select("node", F.explode("tokens").alias("token"))
+    df = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    by_set = rows.join(df, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("_t")).join(sets.select("node", "n"), "node")
     room = F.expr(f"n - ({PER_CENT} * n + 99) div 100 + 1 - (n - size(_t))")  # shingles of one document come first
-    posted = by_set.where(room > 0).select("digest", "n", F.explode(F.slice("_t", F.lit(1), room.cast("int"))).alias("_p"))
-    posted = cut(posted.select("digest", "n", F.col("_p.token").alias("token")))
+    posted = by_set.where(room > 0).select("node", "n", F.explode(F.slice("_t", F.lit(1), room.cast("int"))).alias("_p"))
+    posted = cut(posted.select("node", "n", F.col("_p.token").alias("token")))
     seen = posted.groupBy("token").agg(
-        F.count("*").alias("_c"), F.min("digest").alias("low"), F.max("digest").alias("high"), F.min_by("digest", F.xxhash64("digest")).alias("any"),
-        F.bit_xor(F.xxhash64("digest")).alias("_x"), F.bit_xor(F.xxhash64("digest", F.lit(1))).alias("_y")).where("_c > 1")
+        F.count("*").alias("_c"), F.min("node").alias("low"), F.max("node").alias("high"), F.min_by("node", F.xxhash64("node")).alias("any"),
+        F.bit_xor(F.xxhash64("node")).alias("_x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("_y")).where("_c > 1")
     one = seen.groupBy("_c", "low", "high", "any", "_x", "_y").agg(F.min("token").alias("token")).select("token", "low", "high", "any")
     return posted.join(one, "token")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity."""
-    whole = sets.select("digest", "n", "tokens")
-    j = pairs.join(whole.select(F.col("digest").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")), "a")
-    j = j.join(whole.select(F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")), "b")
+    """The pairs (a, b) of nodes whose whole sets reach the similarity."""
+    whole = sets.select("node", "n", "tokens")
+    j = pairs.join(whole.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")), "a")
+    j = j.join(whole.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")), "b")
     both = F.size(F.array_intersect("ta", "tb")).cast("long")
     return j.select("a", "b", (100 * both >= PER_CENT * (F.col("na") + F.col("nb") - both)).alias("_ok")).where("_ok").select("a", "b")
 
 
 def leader_pairs(posted: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b) distinct: every set with the leaders of its groups, where sizes allow a link."""
-    pairs = posted.select("digest", "n", F.explode(F.array("low", "high", "any")).alias("b")).where("digest <> b")
-    pairs = pairs.groupBy(F.greatest("digest", "b").alias("a"), F.least("digest", "b").alias("b")).agg(F.lit(1).alias("_1"))
-    sizes = sets.select("digest", "n")
-    pairs = pairs.join(sizes.select(F.col("digest").alias("a"), F.col("n").alias("_na")), "a").join(sizes.select(F.col("digest").alias("b"), F.col("n").alias("_nb")), "b")
+    pairs = posted.select("node", "n", F.explode(F.array("low", "high", "any")).alias("b")).where("node <> b")
+    pairs = pairs.groupBy(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).agg(F.lit(1).alias("_1"))
+    sizes = sets.select("node", "n")
+    pairs = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("_na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("_nb")), "b")
     return pairs.where((100 * F.least("_na", "_nb")) >= (PER_CENT * F.greatest("_na", "_nb"))).select("a", "b")
 
 
@@ -248,21 +329,21 @@ def traverse(x: Tree, y: Tree, same: bool, chunk: int = 1 << 14):
 
 def tree_pairs(posted: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b) distinct: pairs of sets of different classes in a group that the trees can't rule out."""
-    rows = posted.select("token", "digest", "n").join(classes.select(F.col("node").alias("digest"), F.col("component").alias("cls")), "digest")
+    rows = posted.select("token", "node", "n").join(classes.withColumnRenamed("component", "cls"), "node")
     mixed = rows.groupBy("token").agg(F.min("cls").alias("_a"), F.max("cls").alias("_b")).where("_a <> _b").select("token")
     rows = rows.join(mixed, "token", "left_semi").withColumn("c", F.floor(F.log("n") / F.log(F.lit(100 / PER_CENT)) + 1e-9).cast("int"))
     # linked sets are of one size class or of two neighbours; classes of a group are cut into salted blocks
     blocks = rows.groupBy("token", "c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("b"))
     near = lambda d, name: blocks.select("token", (F.col("c") + d).alias("c"), F.col("b").alias(name))
     size = blocks.join(near(-1, "up"), ["token", "c"], "left").join(near(1, "down"), ["token", "c"], "left").na.fill(0, ["up", "down"])
-    placed = rows.join(size, ["token", "c"]).withColumn("k", F.pmod(F.xxhash64("digest"), F.col("b")).cast("int"))
+    placed = rows.join(size, ["token", "c"]).withColumn("k", F.pmod(F.xxhash64("node"), F.col("b")).cast("int"))
     cells = F.expr("""concat(
         transform(sequence(0, b - 1), x -> struct(c AS c1, least(k, x) AS k1, c AS c2, greatest(k, x) AS k2)),
         CASE WHEN up > 0 THEN transform(sequence(0, up - 1), x -> struct(c AS c1, k AS k1, c + 1 AS c2, x AS k2)) ELSE array() END,
         CASE WHEN down > 0 THEN transform(sequence(0, down - 1), x -> struct(c - 1 AS c1, x AS k1, c AS c2, k AS k2)) ELSE array() END)""")
-    spread = placed.withColumn("_cell", F.explode(cells)).join(sets.select("digest", "sig"), "digest")
+    spread = placed.withColumn("_cell", F.explode(cells)).join(sets.select("node", "sig"), "node")
     member = F.struct(((F.col("c") == F.col("_cell.c1")) & (F.col("k") == F.col("_cell.k1"))).alias("l"), ((F.col("c") == F.col("_cell.c2")) & (F.col("k") == F.col("_cell.k2"))).alias("r"),
-                      "n", "cls", "digest", "sig")
+                      "n", "cls", "node", "sig")
     # at most two blocks of leaves in a cell
     cell = spread.groupBy("token", "_cell").agg(F.collect_list(member).alias("m")).where("size(m) > 1").select("m")
 
@@ -271,9 +352,9 @@ def tree_pairs(posted: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFr
             lefts, rights = [], []
             for m in b.column(0):
                 v = m.values
-                n, cls = v.field("n").to_numpy(), np.unique(np.array(v.field("cls").to_pylist()), return_inverse=True)[1]
+                n, cls = v.field("n").to_numpy(), np.unique(v.field("cls").to_numpy(), return_inverse=True)[1]
                 sig = np.frombuffer(b"".join(v.field("sig").to_pylist()), dtype=np.uint64).reshape(len(n), -1)
-                names = np.array(v.field("digest").to_pylist(), dtype=object)
+                names = v.field("node").to_numpy()
                 order = np.lexsort((n, cls))
                 n, cls, sig, names = n[order], cls[order], sig[order], names[order]
                 l, r = v.field("l").to_numpy(zero_copy_only=False)[order], v.field("r").to_numpy(zero_copy_only=False)[order]
@@ -285,23 +366,22 @@ def tree_pairs(posted: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFr
                 for i, j in traverse(x, y, same):
                     lefts += names[l][i].tolist()
                     rights += names[r][j].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(lefts, pa.binary()), pa.array(rights, pa.binary())], names=["p", "q"])
+            yield pa.RecordBatch.from_arrays([pa.array(lefts, pa.int64()), pa.array(rights, pa.int64())], names=["p", "q"])
 
-    found = cell.mapInArrow(run, "p binary, q binary")
+    found = cell.mapInArrow(run, "p long, q long")
     return found.groupBy(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).agg(F.lit(1).alias("_1")).select("a", "b")
 
 
 def links(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes (node, component) of the sets that can have partners, and the verified links used to join them."""
-    keys = cut(candidates(found))
-    sets = cut(sets_of(docs, keys))
+    """Classes (digest, component: a node) of the sets that can have partners, and the verified links between nodes."""
+    sets = cut(sets_of(docs, cut(candidates(found))))
     posted = cut(groups(sets))
-    nodes = posted.select(F.col("digest").alias("node")).distinct()
+    nodes = posted.select("node").distinct()
     first = cut(verified(leader_pairs(posted, sets), sets))
     classes = cut(components(nodes, first))
     second = cut(verified(tree_pairs(posted, classes, sets), sets))
     edges = first.unionByName(second)
-    return components(nodes, edges), edges
+    return components(nodes, edges).join(sets.select("node", "digest"), "node").select("digest", "component"), edges
 
 
 def joined(docs: DataFrame) -> DataFrame:
@@ -309,6 +389,7 @@ def joined(docs: DataFrame) -> DataFrame:
     found = cut(heads(docs))
     classes, _ = links(docs, found)
     small = found.select("doc_id", "n", "digest")
-    named = cut(small.join(classes.withColumnRenamed("node", "digest"), "digest", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "digest")).alias("_g")))
+    group = F.struct(F.col("component").alias("c"), F.when(F.col("component").isNull(), F.col("digest")).alias("d"))
+    named = cut(small.join(classes, "digest", "left").select("doc_id", "n", F.when(F.col("n") > 0, group).alias("_g")))
     least = named.where(F.col("_g").isNotNull()).groupBy("_g").agg(F.min("doc_id").alias("_m"))
     return named.join(least, "_g", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_m", "doc_id").alias("component_id"))
