@@ -36,7 +36,7 @@ from lares.session import cut
 
 FOLDS, HELD_OUT = 7, 2
 #: Classes (class 0: all other words), width of the vectors, commonest words whose counts are broadcast.
-CLASSES, WIDTH, FREQUENT = 1024, 32, 1 << 18
+CLASSES, WIDTH, FREQUENT = 1024, 32, 1 << 16
 #: Training: workers, rounds of averaging, draws per worker and round, draws per step, noise classes per step, step size.
 TRAINERS, ROUNDS, DRAWS, STEP, NOISE, RATE = 32, 4, 1 << 18, 1024, 128, 0.15
 #: The end token has a name that no word can have.
@@ -254,7 +254,8 @@ def scored(docs: DataFrame, classes: int = CLASSES, frequent: int = FREQUENT) ->
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_all, v_all = total["n"], total["v"]
     numbers = class_words(counts, classes)
-    common = {r["word"].encode(): r["c"] for r in counts.orderBy(F.desc("c"), "word").limit(frequent).collect()}
+    top = counts.orderBy(F.desc("c"), "word").limit(frequent).toArrow()
+    common = dict(zip(top.column("word").cast(pa.binary()).to_pylist(), top.column("c").to_pylist(), strict=True))
     of_class = np.zeros(classes)
     for w, i in numbers.items():
         of_class[i] = common.get(w, 0)
