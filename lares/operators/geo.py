@@ -2,29 +2,36 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lares.functions.exprs import distance_capped_m, distance_m
 from lares.params import DEFAULT, Params
 
-_MAX_LAT = 60.0  # grid columns are wide enough up to this latitude
+_POLE = 89.9  # columns are sized by their row's latitude up to here
 
 
-def _cell(lat: Column, lon: Column, reach_m: float) -> tuple[Column, Column]:
+def _row(lat: Column, reach_m: float) -> Column:
+    return F.floor(lat / (reach_m / 110_000.0)).cast("bigint")
+
+
+def _column(lon: Column, row: Column, reach_m: float) -> Column:
+    """Column of a longitude in a row of cells; a row's columns are ``reach_m`` wide where the row is narrowest."""
     dy = reach_m / 110_000.0
-    dx = reach_m / (110_000.0 * math.cos(math.radians(_MAX_LAT)))
-    return F.floor(lat / dy).cast("bigint"), F.floor(lon / dx).cast("bigint")
+    edge = F.least(F.greatest(F.abs(row * dy), F.abs((row + 1) * dy)), F.lit(_POLE))
+    return F.floor(lon / (reach_m / (110_000.0 * F.cos(F.radians(edge))))).cast("bigint")
+
+
+def _cell(lat: Column, lon: Column, reach_m: float) -> tuple[Column, Column]:
+    row = _row(lat, reach_m)
+    return row, _column(lon, row, reach_m)
 
 
 def _index(centres: DataFrame, group: list[str], reach_m: float, name: str, attrs: list[str]) -> DataFrame:
     """Centres of each grid cell and its eight neighbours, as one array per (group, cell)."""
-    cy, cx = _cell(F.col("clat"), F.col("clon"), reach_m)
-    near = (
-        centres.withColumn("_y", F.explode(F.array(*[cy + d for d in (-1, 0, 1)])))
-        .withColumn("_x", F.explode(F.array(*[cx + d for d in (-1, 0, 1)]))))
+    rows = centres.withColumn("_y", F.explode(F.array(*[_row(F.col("clat"), reach_m) + d for d in (-1, 0, 1)])))
+    # a neighbouring row has columns of its own width
+    near = rows.withColumn("_x", F.explode(F.array(*[_column(F.col("clon"), F.col("_y"), reach_m) + d for d in (-1, 0, 1)])))
     return near.groupBy(*group, F.col("_y").alias(f"_y{name}"), F.col("_x").alias(f"_x{name}")).agg(
         F.collect_list(F.struct("clat", "clon", *attrs)).alias(f"_c{name}"))
 

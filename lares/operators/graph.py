@@ -24,8 +24,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return j.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """node, component (its smallest node). Nodes without an edge are their own component."""
+def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """node, component (its smallest node). Nodes without an edge are their own component.
+
+    Rounds grow with the logarithm of the component size; more than ``max_rounds`` is an error, never a partial result.
+    """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = cut(e)
     seen = None
@@ -35,5 +38,7 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
         if mark == seen:
             break
         seen = mark
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return nodes.select("node").distinct().join(e.select(F.col("u").alias("node"), F.col("v").alias("_c")), "node", "left").select(
         "node", F.coalesce("_c", "node").alias("component"))

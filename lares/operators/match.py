@@ -110,7 +110,7 @@ def window_stats(sizes: DataFrame, comps: DataFrame, furnished: DataFrame, p: Pa
     inside = lambda f: dist <= F.greatest(F.lit(p.window_floor_m2), F.col("m2u") * f) + _TOL
     first = F.coalesce(*[F.when(inside(f), F.lit(i)) for i, f in enumerate(p.window_factors)])
     k = len(p.window_factors)
-    windows = pairs.withColumn("w", F.explode(F.sequence(first, F.lit(k - 1))))
+    windows = cut(pairs.withColumn("w", F.explode(F.sequence(first, F.lit(k - 1)))))
 
     counts = windows.groupBy(*key).pivot("w", list(range(k))).agg(F.sum("n").alias("n"))
     counts = counts.select(*key, *[F.coalesce(F.col(str(i)), F.lit(0)).alias(f"n_{i}") for i in range(k)])

@@ -75,7 +75,7 @@ def promo_clusters(values: DataFrame, p: Params = DEFAULT) -> DataFrame:
 
 def suspicious_rents(rents: DataFrame, rates: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """key, why: promotional clusters first, then the fence over what remains."""
-    values = rent_values(rents, rates, p)
+    values = cut(rent_values(rents, rates, p))
     promo = cut(promo_clusters(values, p).where("flagged").select("zone", "rent_clp"))
     flagged = values.join(promo, ["zone", "rent_clp"]).select("key", F.lit("promo").alias("why"))
     rest = values.join(promo, ["zone", "rent_clp"], "left_anti")

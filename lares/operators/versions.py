@@ -13,6 +13,7 @@ from lares.functions.exprs import lit_or
 from lares.operators.asof import rate_by_day
 from lares.operators.ordered import with_neighbour
 from lares.params import DEFAULT, Params
+from lares.session import cut as written
 
 PRICE = ["price_uf", "price_clp"]
 
@@ -34,6 +35,7 @@ def versions(captures: DataFrame, extra: list[str] | None = None) -> DataFrame:
     to its last sighting. The open version has a NULL ``valid_to``.
     """
     extra = extra or []
+    captures = written(captures.select("unit_key", "captured", *PRICE, *extra))  # feeds every lookup below
     day = F.to_date("captured")
     c = with_neighbour(captures.select("unit_key", "captured", *PRICE, *extra), ["unit_key"], day, "captured",
                        F.struct("captured", *PRICE), "_prev")
@@ -49,21 +51,20 @@ def versions(captures: DataFrame, extra: list[str] | None = None) -> DataFrame:
         F.coalesce("_next.last_before", "_last").alias("fetched_at"), *extra)
 
 
-def merge_late(existing: DataFrame, late: DataFrame) -> DataFrame:
-    """Existing versions plus out-of-order captures, recomputed for the touched units only.
+def merge_late(existing: DataFrame, known: DataFrame, late: DataFrame) -> DataFrame:
+    """Existing versions plus captures that arrived late, recomputed for the touched units only.
 
-    A version is replayed as its two edges (first and last sighting), so the raw captures
-    behind it are not needed. A capture that falls inside a version is already covered.
+    ``known`` are the captures behind ``existing``. A late capture may fall before, after or
+    inside a version; it splits the version where its price differs, so the result is the same
+    as if all captures had been there at once.
     """
     touched = late.select("unit_key").distinct()
-    old = existing.join(touched, "unit_key", "left_semi")
-    edges = old.select("unit_key", F.explode(F.array_distinct(F.array("valid_from", "fetched_at"))).alias("captured"), *PRICE)
-    bounds = old.groupBy("unit_key").agg(F.min("valid_from").alias("_lo"), F.max("fetched_at").alias("_hi"))
-    outside = late.join(bounds, "unit_key", "left").where(
-        F.col("_lo").isNull() | (F.col("captured") < F.col("_lo")) | (F.col("captured") > F.col("_hi")))
-    merged = versions(edges.unionByName(outside.select("unit_key", "captured", *PRICE)))
-    cols = ["unit_key", *PRICE, "valid_from", "valid_to", "fetched_at"]
-    return existing.join(touched, "unit_key", "left_anti").select(*cols).unionByName(merged.select(*cols))
+    cols = ["unit_key", "captured", *PRICE, *[c for c in ("event_id",) if c in late.columns]]
+    every = known.join(touched, "unit_key", "left_semi").select(*cols).unionByName(late.select(*cols))
+    once = one_per_instant(every) if "event_id" in cols else every.dropDuplicates(cols)
+    merged = versions(once)
+    out = ["unit_key", *PRICE, "valid_from", "valid_to", "fetched_at"]
+    return existing.join(touched, "unit_key", "left_anti").select(*out).unionByName(merged.select(*out))
 
 
 def canonical_versions(captures: DataFrame, canonical: str = "card") -> DataFrame:
@@ -133,7 +134,7 @@ def new_units(v: DataFrame, cut) -> DataFrame:
 
 def market_delta(v: DataFrame, rates: DataFrame, cut, p: Params = DEFAULT) -> DataFrame:
     """One row of counters before and after the cut, inside the re-visited zones only."""
-    cut = lit_or(cut)
+    v, cut = written(v), lit_or(cut)  # read eight times below
     zones = v.where((F.col("fetched_at") >= cut) & F.col("zone").isNotNull()).select("zone").distinct().withColumn("_in", F.lit(True))
     cur = v.where("valid_to is null").join(zones, "zone", "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
     old, seen = F.col("valid_from") < cut, F.col("fetched_at") >= cut

@@ -54,10 +54,10 @@ def scd2_build_q(t):
 
 @query("scd2_late", sql_with(*VERS, final=f"SELECT {VER_COLS_SQL} FROM vers"))
 def scd2_late_q(t):
-    """Versions of the late half of the captures, then the early half merged afterwards."""
-    c = V.one_per_instant(t.captures)
-    recent = F.col("captured") >= F.lit("2024-01-16").cast("timestamp_ntz")
-    return show(V.merge_late(V.versions(c.where(recent)), c.where(~recent)))
+    """Versions of the odd captures, then the even ones merged late: before, between and after the known ones."""
+    c = t.captures.select("unit_key", "captured", "event_id", "price_uf", "price_clp")
+    known, late = c.where("event_id % 2 = 1"), c.where("event_id % 2 = 0")
+    return show(V.merge_late(V.versions(V.one_per_instant(known)), known, late))
 
 
 @query("scd2_surface", sql_with(CAPTURES_SQL, """

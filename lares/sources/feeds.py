@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,29 +150,22 @@ def collapse_stations(stations: DataFrame, degrees: float = 0.003) -> DataFrame:
 # ----------------------------------------------------------------- crawl permission rules
 
 
-def rule_extractor(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """host, text of a rules file -> host, group_no, agent, allow, pattern (agent rows carry no pattern)."""
-    for pdf in batches:
-        rows = []
-        for host, text in zip(pdf["host"], pdf["text"]):
-            group, naming = 0, False
-            for line in (text or "").splitlines():
-                field, sep, value = line.split("#", 1)[0].strip().partition(":")
-                if not sep:
-                    continue  # malformed line: grants nothing, forbids nothing
-                field, value = field.strip().lower(), value.strip()
-                if field == "user-agent":
-                    group += 0 if naming else 1
-                    naming = True
-                    rows.append((host, group, value.lower(), None, None))
-                    continue
-                naming = False
-                if field in ("allow", "disallow") and group and not (field == "disallow" and not value):
-                    rows.append((host, group, None, field == "allow", value))
-        yield pd.DataFrame(rows, columns=["host", "group_no", "agent", "allow", "pattern"])
+_LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
+
 
+def rule_lines(files: DataFrame) -> DataFrame:
+    """host, block, field, value: the ``field: value`` lines of every rules file, comments removed.
 
-RULE_SCHEMA = "host string, group_no int, agent string, allow boolean, pattern string"
+    Lines that name agents directly after one another open one block together; lines before
+    the first agent are in block 0, which nobody's rules come from.
+    """
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    lines = files.select("host", F.posexplode(F.split("text", _LINE_END)).alias("at", "line"))
+    bare = lines.select("host", "at", F.regexp_replace("line", "#.*$", "").alias("line")).where(F.contains("line", F.lit(":")))
+    pairs = bare.select("host", "at", F.lower(strip(F.substring_index("line", ":", 1))).alias("field"), strip(F.regexp_replace("line", "^[^:]*:", "")).alias("value"))
+    in_file = Window.partitionBy("host").orderBy("at")
+    opens = (F.col("field") == "user-agent") & ~F.lag(F.col("field") == "user-agent", 1, False).over(in_file)
+    return pairs.withColumn("_opens", opens.cast("int")).select("host", F.sum("_opens").over(in_file).cast("int").alias("block"), "field", "value")
 
 
 def pattern_regex(pattern: Column) -> Column:
@@ -190,11 +180,14 @@ def rules_for_agent(files: DataFrame, agent: str) -> DataFrame:
 
     One array per host: a rules file is a small document.
     """
-    r = files.mapInPandas(rule_extractor, RULE_SCHEMA)
-    ua = agent.lower()
-    named = r.where("agent is not null").withColumn("_len", F.when(F.col("agent") == "*", 0).when(F.contains(F.lit(ua), F.col("agent")), F.length("agent")))
-    best = named.where("_len is not null").groupBy("host").agg(F.max_by("group_no", F.struct("_len", -F.col("group_no"))).alias("group_no"))
-    rules = r.where("pattern is not null").join(best, ["host", "group_no"])
+    lines = rule_lines(files)
+    name = F.lower("value")
+    fit = F.when(name == "*", 0).when(F.contains(F.lit(agent.lower()), name), F.length("value"))
+    named = lines.where("field = 'user-agent'").select("host", "block", fit.alias("_fit")).where("_fit is not null")
+    best = named.groupBy("host").agg(F.max_by("block", F.struct("_fit", -F.col("block"))).alias("block"))
+    # an empty "disallow" forbids nothing
+    paths = lines.where("field = 'allow' or (field = 'disallow' and value <> '')").select("host", "block", (F.col("field") == "allow").alias("allow"), F.col("value").alias("pattern"))
+    rules = paths.join(best, ["host", "block"])
     one = F.struct(F.length("pattern").alias("len"), F.col("allow"), F.col("pattern"), pattern_regex(F.col("pattern")).alias("regex"))
     return rules.groupBy("host").agg(F.collect_list(one).alias("rules"))
 

@@ -95,13 +95,16 @@ def test_streamed_versions_equal_the_batch_build(spark, tmp_path):
     rng = random.Random(8)
     rows = [(f"u{rng.randint(0, 9)}", dt.datetime(2026, 1, 1) + dt.timedelta(hours=6 * i), float(rng.randint(1, 2)), None, i, "card") for i in range(240)]
     src, out = str(tmp_path / "in"), str(tmp_path / "versions")
-    for k in (1, 0, 2):  # the middle third arrives first, then an older and a newer one
-        spark.createDataFrame(rows[80 * k:80 * k + 80], CAP).coalesce(1).write.mode("append").parquet(src)
+    for k in (1, 0, 2):  # every third capture at a time, so later batches fall between known captures
+        spark.createDataFrame(rows[k::3], CAP).coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema(CAP).parquet(src)
-        S.keep_versions(stream, out, str(tmp_path / "ckpt"), buckets=4).awaitTermination()
+        S.keep_versions(stream, out, str(tmp_path / "ckpt")).awaitTermination()
     cols = ["unit_key", "price_uf", "price_clp", "valid_from", "valid_to", "fetched_at"]
     show = lambda d: sorted(tuple(str(x) for x in r) for r in d.select(*cols).collect())
-    assert show(spark.read.parquet(out)) == show(V.versions(spark.createDataFrame(rows, CAP)))
+    want = show(V.versions(spark.createDataFrame(rows, CAP)))
+    assert show(S.current_versions(spark, out)) == want
+    S.compact(spark, out, str(tmp_path / "compacted"))
+    assert show(S.current_versions(spark, str(tmp_path / "compacted"))) == want
 
 
 def test_stream_inventory_and_dedup(spark, tmp_path):

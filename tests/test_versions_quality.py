@@ -37,12 +37,19 @@ def test_currency_change_is_a_change_and_nulls_are_equal(spark):
 def test_late_captures_give_the_same_table(spark):
     rng = random.Random(3)
     rows = [(f"u{rng.randint(0, 5)}", d, float(rng.randint(1, 2)), None, "card") for d in range(0, 60)]
-    early, late = [r for r in rows if r[1] < 30], [r for r in rows if r[1] >= 30]
     full = table(V.versions(V.one_per_instant(caps(spark, rows))))
-    assert table(V.merge_late(V.versions(caps(spark, late)), caps(spark, early))) == full
-    assert table(V.merge_late(V.versions(caps(spark, early)), caps(spark, late))) == full
-    again = V.merge_late(V.versions(caps(spark, rows)), caps(spark, early))
-    assert table(again) == full  # replaying covered captures changes nothing
+    shuffled = list(rows)
+    rng.shuffle(shuffled)
+    early, newer = [r for r in rows if r[1] < 30], [r for r in rows if r[1] >= 30]
+    odd, even = [r for r in rows if r[1] % 2], [r for r in rows if not r[1] % 2]  # late captures fall inside known versions
+    for known, late in ((newer, early), (early, newer), (odd, even), (shuffled[:20], shuffled[20:]), (rows, early)):
+        assert table(V.merge_late(V.versions(caps(spark, known)), caps(spark, known), caps(spark, late))) == full
+
+
+def test_interior_late_capture_splits_its_version(spark):
+    known = [("u", 0, 100.0, None, "card"), ("u", 3, 100.0, None, "card"), ("u", 7, 100.0, None, "card"), ("u", 10, 90.0, None, "card")]
+    got = table(V.merge_late(V.versions(caps(spark, known)), caps(spark, known), caps(spark, [("u", 5, 95.0, None, "card")])))
+    assert got == [("u", 0, 5, 3, 100.0, None), ("u", 5, 7, 5, 95.0, None), ("u", 7, 10, 7, 100.0, None), ("u", 10, None, 10, 90.0, None)]
 
 
 def test_other_surface_never_opens_a_version(spark):
