@@ -9,12 +9,8 @@ from pyspark.sql import functions as F
 from lares.functions import finance as fin
 from lares.functions.exprs import evidence_worst, rnd
 from lares.operators import invest as I
-from lares.operators import match as M
-from lares.operators import rent as R
 from lares.params import DEFAULT, Params
 from lares.plans.bindings import PART_SQL
-from lares.plans.q_match import MATCHED, P as MP, scope_of
-from lares.plans.q_rent import comps_of
 from lares.plans.registry import query, sql_with
 
 D = DEFAULT
@@ -263,32 +259,6 @@ def score_inert_q(t):
     return s.join(I.inert_components(live), "scenario_id").select("inert", rnd(F.col("inert_weight")).alias("inert_weight"), "n", "avg_score", "max_score")
 
 
-RUNITS_SQL = """
-runits AS (SELECT unit_key, zone, k.district, typ, m2, price, rent, n_comps, tax_regime, is_new, age_years, CASE WHEN price_clp IS NOT NULL THEN 'D' ELSE 'V' END AS price_evidence, FALSE AS is_saturated,
-  0.5::DOUBLE AS risk, 0.0::DOUBLE AS catalyst, CASE WHEN zone_median <> 0 THEN (zone_median - price/m2)/zone_median ELSE 0 END AS zone_discount FROM kept k LEFT JOIN zmed USING (zone) WHERE dup = 1)"""
-
-
-def ranked_units(t):
-    u = M.rankable(t.units, t.rates, comps_of(t), R.furnished_sizes(t.rents, t.now), t.now, scope_of(t), None, MP)
-    return u.withColumn("is_saturated", F.lit(False))
-
-
-def ranked_units_from(t, cand, matched):
-    return M.rankable_from(cand, matched).withColumn("is_saturated", F.lit(False))
-
-
-RANKED = (*MATCHED, RUNITS_SQL, BASE_SQL, eval_sql(src="runits"), irr_sql(), score_sql())
-
-
-@query("ranking", sql_with(*RANKED, final=f"""
-SELECT row_number() OVER (ORDER BY score DESC, unit_key) AS position, unit_key, zone, {rs(['score', 'price', 'rent', 'cash_flow', 'breakeven_down', 'irr_10'])} FROM ev_scored ORDER BY ev_scored.score DESC, unit_key LIMIT 50""", recursive=True))
-def ranking_q(t):
-    """Flagship: comparables to match to evaluation to score; the fifty best units."""
-    s = I.score(I.live_of(I.evaluate(ranked_units(t), I.base_scenario(t.spark))))
-    top = I.top_n(s, 50)
-    return top.select(F.col("position").cast("bigint").alias("position"), "unit_key", "zone", *rd(["score", "price", "rent", "cash_flow", "breakeven_down", "irr_10"]))
-
-
 @query("ranking_filter", sql_with(*EVS, final=f"""
 SELECT unit_key, {rs(['score', 'breakeven_down'])} FROM ev_scored WHERE district = 'c1' AND m2 >= 30 AND m2 <= 110 AND price >= 1000 AND price <= 5500 AND breakeven_down <= 0.9 ORDER BY ev_scored.score DESC, unit_key LIMIT 20""", recursive=True))
 def ranking_filter_q(t):
