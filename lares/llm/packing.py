@@ -40,7 +40,7 @@ SIZE, CLOSING = 2048, 0
 #: Pieces of one length that are ranked by one task.
 PER_SALT = 200_000
 #: Lengths over ``SIZE // SMALL`` are large; they form ``GROUPS`` groups.
-SMALL, GROUPS = 8, 24
+SMALL, GROUPS = 8, 96
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLAN = "length long, r0 long, r1 long, bin0 long, per_bin long, at long"
