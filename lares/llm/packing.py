@@ -39,8 +39,8 @@ from lares.session import cut
 SIZE, CLOSING = 2048, 0
 #: Pieces of one length that are ranked by one task.
 PER_SALT = 200_000
-#: Lengths over ``SIZE // SMALL`` are large; they form ``GROUPS`` groups.
-SMALL, GROUPS = 8, 96
+#: Lengths over ``SIZE // SMALL`` are large; they form one of ``GROUPS`` many groups, whichever gives the fewest sequences.
+SMALL, GROUPS = 8, (12, 24, 48, 96)
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLAN = "length long, r0 long, r1 long, bin0 long, per_bin long, at long"
@@ -177,8 +177,12 @@ class _Runs:
         return first, n, room
 
 
-def plan(histogram: dict[int, int], size: int = SIZE, groups: int = GROUPS, small: int = SMALL) -> tuple[list[tuple[int, ...]], int]:
-    """Plan rows (see PLAN) and the number of sequences for a histogram of lengths."""
+def plan(histogram: dict[int, int], size: int = SIZE, groups: tuple[int, ...] = GROUPS, small: int = SMALL) -> tuple[list[tuple[int, ...]], int]:
+    """Plan rows (see PLAN) and the number of sequences for a histogram of lengths: the best over the numbers of groups."""
+    return min((grouped_plan(histogram, size, g, small) for g in groups), key=lambda p: p[1])
+
+
+def grouped_plan(histogram: dict[int, int], size: int, groups: int, small: int) -> tuple[list[tuple[int, ...]], int]:
     runs = _Runs(size)
     for length, count in list(histogram.items()):
         if length == size:

@@ -14,7 +14,8 @@ Tokens are found twice, once to count and once to write, instead of keeping a co
 Both passes must see the same partitions: ``docs`` has to be a table that is read, not a plan
 with a shuffle. A partition that differs between the passes ends the job with an error.
 
-Defined results: null text is the empty text (one sequence: the closing id); null doc_id is
+Defined results: null text is the empty text (one sequence: the closing id); a special token's string
+inside a text is ordinary text; null doc_id is
 written as the least long; repeated rows are written as often; an empty table writes no shard;
 other columns are ignored. The vocabulary must have at most 65,536 ids.
 """
@@ -30,10 +31,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lares.llm.common import bounded_batches
-from lares.llm.tokens import default_vocabulary, word_encoder
+from lares.llm.tokens import default_vocabulary, rank_encoder
 from lares.session import shared_dir
 
-SEQUENCE, CLOSING, HEADER = 256, 0, 16
+SEQUENCE, CLOSING, HEADER = 256, 50_256, 16
 STRIDE = HEADER + 2 * SEQUENCE + 1
 #: Sequences of a shard; rounds of the permutation.
 SHARD, ROUNDS = 16_384, 4
@@ -82,7 +83,7 @@ def write(docs: DataFrame, folder: str, key: int = 1, vocabulary: str | None = N
     """Write the shards under ``folder``; the number of sequences."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    path = vocabulary or default_vocabulary("word_bpe_49k.json")
+    path = vocabulary or default_vocabulary("byte_bpe_50k.tiktoken")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def texts(b):
@@ -91,9 +92,9 @@ def write(docs: DataFrame, folder: str, key: int = 1, vocabulary: str | None = N
     def count(batches):
         from pyspark import TaskContext
 
-        encoder, n = word_encoder(path), 0
+        encode, n = rank_encoder(path).encode_ordinary, 0
         for b in batches:
-            n += sum(_sequences(len(i) // 4 + 1) for i in encoder.encode_all(texts(b)))
+            n += sum(_sequences(len(encode(t)) + 1) for t in texts(b))
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n])], names=["part", "n"])
 
     counted = sorted((r["part"], r["n"]) for r in rows.mapInArrow(count, "part long, n long").collect())  # one row per partition
@@ -108,14 +109,14 @@ def write(docs: DataFrame, folder: str, key: int = 1, vocabulary: str | None = N
     def records(batches):
         from pyspark import TaskContext
 
-        encoder = word_encoder(path)
+        encode = rank_encoder(path).encode_ordinary
         part = TaskContext.get().partitionId()
         number, due = first[part]
         due += number
         for b in batches:
             out = []
-            for doc_id, ids in zip(b.column(0).to_pylist(), encoder.encode_all(texts(b)), strict=True):
-                short = np.append(np.frombuffer(ids, dtype="<u4"), CLOSING).astype("<u2")
+            for doc_id, text in zip(b.column(0).to_pylist(), texts(b), strict=True):
+                short = np.array([*encode(text), CLOSING], dtype="<u2")
                 head = np.int64(NO_ID if doc_id is None else doc_id).tobytes()
                 for piece, start in enumerate(range(0, len(short), SEQUENCE)):
                     s = short[start : start + SEQUENCE]

@@ -2,18 +2,19 @@
 
 The library splits a normalised text into pieces and encodes each on its own, so the ids of a
 text are the ids of its pieces, joined. Each distinct piece is encoded once by the library and
-remembered, and so are the words that pieces make up (bounded, see ``CACHE``). Texts outside plain Latin letters, where normalisation may
+remembered, and so are the words that pieces make up (bounded, see ``Recent``). Texts outside plain Latin letters, where normalisation may
 join characters, are given to the library whole.
 """
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 from array import array
 
-#: Pieces and words remembered per worker; a memory is emptied when it is full.
-CACHE = 600_000
+#: Entries of one generation of a worker's memory of words or pieces.
+CACHE = 200_000
 #: New pieces given to the library in one call.
 JOINED = 4096
 
@@ -28,6 +29,28 @@ def default_vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Recent:
+    """A bounded memory of results by word: two generations, so that what is in use is kept and the rest forgotten."""
+
+    def __init__(self, limit: int | None = None):
+        self.limit = limit or CACHE
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def unknown(self, words: set[str]) -> list[str]:
+        """Brings known ``words`` into the present generation; returns the others. Begins a new generation when one is full."""
+        if len(self.now) > self.limit:
+            self.now, self.before = {}, self.now
+        out = []
+        for w in words.difference(self.now):
+            old = self.before.get(w)
+            if old is None:
+                out.append(w)
+            else:
+                self.now[w] = old
+        return out
+
+
 class WordEncoder:
     """Little-endian unsigned 32-bit ids of texts."""
 
@@ -40,8 +63,7 @@ class WordEncoder:
         self._library.no_padding()
         self._special = [t.content for t in self._library.get_added_tokens_decoder().values()]
         self._ends = {i for t, i in self._library.get_vocab(False).items() if t.endswith("</w>")}
-        self._known: dict[str, bytes] = {}
-        self._words: dict[str, bytes] = {}
+        self._pieces, self._words = Recent(), Recent()
 
     def _whole(self, text: str) -> bytes:
         return array("I", self._library.encode(text, add_special_tokens=False).ids).tobytes()
@@ -55,39 +77,31 @@ class WordEncoder:
                 at = i
         if len(out) != len(pieces) or at != len(ids):
             out = [array("I", e.ids).tobytes() for e in self._library.encode_batch(pieces, add_special_tokens=False)]
-        self._known.update(zip(pieces, out, strict=True))
+        self._pieces.now.update(zip(pieces, out, strict=True))
 
     def _split(self, words: list[str]) -> None:
         """Encode new words by their pieces."""
-        if len(self._words) + len(words) > CACHE:
-            self._words.clear()
         pieces = [PIECE.findall(w) for w in words]
-        new = list({p for ps in pieces for p in ps if p not in self._known})
-        if len(self._known) + len(new) > CACHE:
-            self._known.clear()
-            new = list({p for ps in pieces for p in ps})
+        new = self._pieces.unknown({p for ps in pieces for p in ps})
         for i in range(0, len(new), JOINED):
             self._learn(new[i : i + JOINED])
-        known = self._known
-        self._words.update((w, b"".join([known[p] for p in ps])) for w, ps in zip(words, pieces, strict=True))
+        known = self._pieces.now
+        self._words.now.update((w, b"".join([known[p] for p in ps])) for w, ps in zip(words, pieces, strict=True))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """No piece holds white space, so the ids of a plain text are those of its words."""
         words: list[list[str] | None] = [t.lower().split() if PLAIN.fullmatch(t) and not any(s in t for s in self._special) else None for t in texts]
-        known = self._words
-        new = {w for ws in words if ws for w in ws if w not in known}
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = {w for ws in words if ws for w in ws}
+        new = self._words.unknown({w for ws in words if ws for w in ws})
         if new:
-            self._split(list(new))
+            self._split(new)
+        known = self._words.now
         return [self._whole(t) if ws is None else b"".join(map(known.__getitem__, ws)) for t, ws in zip(texts, words, strict=True)]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict = {}
 
 
 def word_encoder(path: str) -> WordEncoder:
@@ -95,3 +109,15 @@ def word_encoder(path: str) -> WordEncoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
+
+
+def rank_encoder(path: str):
+    """A tiktoken encoder of a rank file without special tokens, one per worker process."""
+    if path not in _ENCODERS:
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        _ENCODERS[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _ENCODERS[path]

@@ -11,7 +11,7 @@ the states down, and a prefix shared by many words is worked out once. A word's
 its node by stepping back over last tokens. Decoding goes from ids to token bytes to text.
 
 Each batch of documents is independent: no shuffle, and nothing is lost with an executor but its
-memory of words, which is bounded (``CACHE``) and emptied when full.
+memory of words, which is bounded.
 
 Defined results: null text is the empty text (no ids, empty decoding); the special token's string
 inside a text becomes its id, as in the library; ids of documents are passed through, null or
@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lares.llm.common import bounded_batches
-from lares.llm.tokens import default_vocabulary
+from lares.llm.tokens import Recent, default_vocabulary
 
-#: Words remembered per worker, and the most pairs of tokens whose seam is remembered.
-CACHE, SEAMS = 600_000, 2_000_000
+#: The most pairs of tokens whose seam is remembered.
+SEAMS = 2_000_000
 
 BYTES = [bytes((i,)) for i in range(256)]
 
@@ -81,7 +81,7 @@ class TrieEncoder:
         self.packed_id = {t: t.to_bytes(4, "little") for t in self.id_of.values()}
         #: every suffix of a token: the token it is, or -1
         self.ends: dict[bytes, int] = {b[k:]: -1 for b in self.id_of for k in range(1, len(b))} | self.id_of
-        self.known: dict[str, bytes] = {}
+        self.known = Recent()
 
     def _seam(self, left: int, right: int, limit: int = 1 << 60) -> bool:
         """May ``left`` be followed by ``right``: does no merge across the seam come before ``limit`` or before a merge inside that it would break?
@@ -112,7 +112,7 @@ class TrieEncoder:
                     child = node[byte] = {}
                 node = child
             node[-1] = w
-        ends, seams, packed_id = self.ends, self.seams, self.packed_id
+        ends, seams, packed_id, known = self.ends, self.seams, self.packed_id, self.known.now
         if len(seams) > SEAMS:
             seams.clear()
         last, packed = [-1], [b""]  # states of the nodes on the present path
@@ -142,13 +142,13 @@ class TrieEncoder:
                 break
             for byte, child in node.items():
                 if byte == -1:
-                    self.known[child] = packed[depth]
+                    known[child] = packed[depth]
                 else:
                     stack.append((prefix + BYTES[byte], child))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text."""
-        known, marks = self.known, self.special
+        marks = self.special
         pieces: list[list[str]] = []
         for text in texts:
             if any(m in text for m in marks):
@@ -156,15 +156,12 @@ class TrieEncoder:
                 pieces.append([w for part in split for w in ([part] if part in marks else WORDS.findall(part))])
             else:
                 pieces.append(WORDS.findall(text))
-        new = {w for p in pieces for w in p if w not in known}
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = {w for p in pieces for w in p}
+        new = self.known.unknown({w for p in pieces for w in p}.difference(marks))
+        known = self.known.now
         for m, i in marks.items():
             known[m] = i.to_bytes(4, "little")
-        new.difference_update(marks)
         if new:
-            self._learn(list(new))
+            self._learn(new)
         return [b"".join(map(known.__getitem__, p)) for p in pieces]
 
     def decode(self, ids: bytes) -> str:

@@ -9,7 +9,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from lares.llm import packing, shards, trie_bpe
+from lares.llm import packing, shards, tokens, trie_bpe
 from lares.llm.tokens import WordEncoder, default_vocabulary
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -35,10 +35,13 @@ def test_trie_encoding_equals_library():
 
 
 def test_trie_memory_is_bounded(monkeypatch):
-    monkeypatch.setattr(trie_bpe, "CACHE", 50)
+    monkeypatch.setattr(tokens, "CACHE", 50)
     lib, ours, texts = _library("byte_bpe_50k.json"), trie_bpe.TrieEncoder(default_vocabulary("byte_bpe_50k.json")), _texts(60)
+    word_lib, word_ours = _library("word_bpe_49k.json"), WordEncoder(default_vocabulary("word_bpe_49k.json"))
     for text in texts:
         assert list(array("I", ours.encode([text])[0])) == lib.encode(text, add_special_tokens=False).ids
+        assert list(array("I", word_ours.encode(text))) == word_lib.encode(text, add_special_tokens=False).ids
+        assert len(ours.known.now) + len(ours.known.before) < 300
 
 
 def test_word_encoding_equals_library():
@@ -130,7 +133,8 @@ def test_feistel_is_a_keyed_bijection(n):
 
 
 def test_shards_round_trip_and_resume(spark, odd_docs, no_docs, tmp_path, monkeypatch):
-    lib = _library("word_bpe_49k.json")
+    lib = _library("byte_bpe_50k.json")
+    lib.encode_special_tokens = True
     table = str(tmp_path / "docs")
     odd_docs.write.parquet(table)
     docs = spark.read.parquet(table)
@@ -138,7 +142,7 @@ def test_shards_round_trip_and_resume(spark, odd_docs, no_docs, tmp_path, monkey
     got = shards.read_from(spark, str(tmp_path / "out")).collect()
     assert sorted(r["slot"] for r in got) == list(range(total))
     want = sorted((d if d is not None else -1, p, ids[s : s + 256].tobytes()) for d, ids in
-                  ((r["doc_id"], np.array([*lib.encode(r["text"] or "", add_special_tokens=False).ids, 0], dtype="<u2")) for r in docs.collect()) for p, s in enumerate(range(0, len(ids), 256)))
+                  ((r["doc_id"], np.array([*lib.encode(r["text"] or "", add_special_tokens=False).ids, 50256], dtype="<u2")) for r in docs.collect()) for p, s in enumerate(range(0, len(ids), 256)))
     assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["piece"], bytes(r["ids"])) for r in got) == want
     later = shards.read_from(spark, str(tmp_path / "out"), slot=5).collect()
     assert sorted(later) == sorted(r for r in got if r["slot"] >= 5)
