@@ -13,7 +13,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def kept(spark, corpus):
     from lares.session import cut
 
-    out, docs = {"documents": corpus}, corpus
+    # prose in the corpus' own words, with a secret in the middle
+    words = sorted({w for r in corpus.where("lang = 'en'").limit(40).collect() for w in r["text"].split() if w.isalpha()})
+    rows = []
+    for i in range(3):
+        text = " ".join(words[i::7][:60]) + ' token = "0123456789abcdef0123456789abcdef" ' + " ".join(words[i + 3 :: 7][:60])
+        rows.append((100_000 + i, text, "en", "src0", len(text)))
+    docs = cut(corpus.unionByName(spark.createDataFrame(rows, corpus.schema)))
+    out = {"documents": docs}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = out[name] = cut(stage(spark, docs, ""))
         assert docs.columns == COLUMNS
@@ -35,7 +42,7 @@ def test_decisions_take_effect(spark, kept):
     assert _ids(kept["ngram_jaccard_join"]) == sorted(d for d, _, c in _brute(rows) if d == c)
     before = {r["doc_id"]: r["text"] for r in kept["ngram_jaccard_join"].collect()}
     after = {r["doc_id"]: (r["text"], r["n_chars"]) for r in kept["secret_scans"].collect()}
-    assert set(before) == set(after) and any("[SECRET]" in t for t, _ in after.values())
+    assert set(before) == set(after) and all("[SECRET]" in after[100_000 + i][0] and "0123456789abcdef" not in after[100_000 + i][0] for i in range(3))
     assert all(t == before[d] or "[SECRET]" in t for d, (t, _) in after.items()) and all(len(t) == n for t, n in after.values())
 
 
