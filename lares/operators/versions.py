@@ -223,7 +223,10 @@ def source_discrepancies(primary: DataFrame, fallback: DataFrame, key: list[str]
 
 
 def insert_absent(existing: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
-    new = incoming.dropDuplicates(key).join(existing.select(*key), key, "left_anti")
+    """Existing rows plus one incoming row per absent key: the smallest of its rows, column by column."""
+    rest = [c for c in incoming.columns if c not in key]
+    one = incoming.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_r")).select(*key, "_r.*") if rest else incoming.distinct()
+    new = one.join(existing.select(*key), key, "left_anti")
     return existing.unionByName(new)
 
 

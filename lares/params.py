@@ -51,37 +51,6 @@ PRICE_RANGES = (
     ("rent", "UF", 1.0, 150.0),
 )
 
-# --- fixed values: published sale reference, UF per m2 of new flats by municipality
-SALE_REFERENCE_UF_M2 = {
-    "vitacura": 133.0,
-    "las-condes": 110.7,
-    "nunoa": 88.4,
-    "santiago": 80.9,
-    "la-florida": 75.0,
-    "macul": 72.9,
-    "recoleta": 71.0,
-    "san-miguel": 71.0,
-    "estacion-central": 67.1,
-    "la-cisterna": 66.1,
-    "independencia": 67.5,
-    "cerrillos": 64.3,
-    "maipu": 61.5,
-}
-# --- fixed values: published monthly rent reference, UF per m2 by municipality
-RENT_REFERENCE_UF_M2 = {
-    "las-condes": 0.35,
-    "providencia": 0.31,
-    "nunoa": 0.30,
-    "la-florida": 0.25,
-    "santiago": 0.24,
-    "san-miguel": 0.24,
-    "la-cisterna": 0.22,
-    "estacion-central": 0.20,
-    "concepcion": 0.30,
-    "la-serena": 0.31,
-    "antofagasta": 0.39,
-}
-
 # --- fixed values: building fees in CLP per m2 and month
 FEES_BY_MUNICIPALITY = {
     "santiago": 2200.0,
@@ -146,7 +115,6 @@ class Params:
     fence_min: int = 3
     # gates
     coverage_min: float = 0.80
-    anchor_sale_max: float = 0.20
     anchor_rent_max: float = 0.25
     dedup_days: int = 30
     drop_trigger: float = 0.30

@@ -66,15 +66,21 @@ def suspicious_sale_q(t):
 
 
 EMAIL = r"[\w.+-]+@[\w-]+\.[\w.]{2,}"
-PHONE_HIT = r"(?:^|[^\d])(?:\+?56[\s.-]?)?9[\s.-]?\d{4}[\s.-]?\d{4}(?:[^\d]|$)"
+
+
+#: Without look-around: the character before and after a hit is part of it. A phone hit may not follow a listing code.
+PHONE_HIT = r"(^|[^\d])(\+?56[\s.-]?)?9[\s.-]?\d{4}[\s.-]?\d{4}([^\d]|$)"
+TAX_HIT = r"(^|[^\d])(\d{1,2}\.?\d{3}\.?\d{3})[-‐][\dkK]([^\w-]|$)"
 
 
 @query("pii_scan", f"""
-SELECT doc_id, "column", 'email' AS kind FROM (SELECT doc_id, unnest([struct_pack("column" := 'text', value := text), struct_pack("column" := 'lang', value := lang), struct_pack("column" := 'source', value := source)], recursive := true) FROM documents)
-WHERE regexp_matches(value, '{EMAIL}')""")
+WITH cells AS (SELECT doc_id, unnest([struct_pack("column" := 'text', value := text), struct_pack("column" := 'lang', value := lang), struct_pack("column" := 'source', value := source)], recursive := true) FROM documents)
+SELECT doc_id, "column", 'email' AS kind FROM cells WHERE regexp_matches(value, '{EMAIL}')
+UNION ALL SELECT doc_id, "column", 'phone' FROM cells WHERE regexp_matches(replace(value, 'MLC-', 'MLC-0'), '{PHONE_HIT}')
+UNION ALL SELECT doc_id, "column", 'tax_id' FROM cells WHERE coalesce(TRY_CAST(regexp_replace(nullif(regexp_extract(value, '{TAX_HIT}', 2), ''), '[^0-9]', '', 'g') AS BIGINT) < 60000000, FALSE)""")
 def pii_scan_q(t):
     """Rows, columns and kinds of personal data over all string columns; whole texts are read."""
-    return Q.pii_rows(t("documents"), "doc_id").where("kind = 'email'")
+    return Q.pii_rows(t("documents"), "doc_id")
 
 
 @query("provenance_check", """

@@ -16,7 +16,7 @@ def landing_q(t):
     """Documents with content hash, size and a file name free of secrets; whole contents are hashed."""
     d = t("documents").select("doc_id", F.col("source").alias("source_id"), F.concat(F.lit("https://api.example/item?"), F.col("doc_id").cast("string"), F.lit("&apikey=s3cr3t")).alias("source_url"),
                               F.lit(NOW).cast("timestamp").alias("fetched_at"), F.col("text").alias("content"))
-    return landing.landed(d).select("doc_id", "sha", F.col("bytes").cast("bigint").alias("bytes"), F.regexp_replace("name", r"_(\d+)_", "_$1_").alias("name"))
+    return landing.landed(d).select("doc_id", "sha", F.col("bytes").cast("bigint").alias("bytes"), "name")
 
 
 @query("bronze_orphans", """
@@ -142,8 +142,8 @@ def listing_pages(t):
         F.when(k % 5 == 0, '<span class="poly-component__float-highlight">PUBLICADO HOY</span>').otherwise(""), F.lit("</div>"))
     twice = F.when(k % 13 == 0, F.concat(card, card)).otherwise(card)
     g = t.part_dims.groupBy("district", F.floor(k / 240).alias("block")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), twice.alias("h")))), lambda x: x["h"]), "").alias("cards"))
-    # derived pages are few but costly to parse: one partition per core instead of one for all
-    return g.repartition(t.spark.sparkContext.defaultParallelism, "district", "block").select(F.concat_ws("-", "district", F.col("block").cast("string")).alias("page_id"),
+    # derived pages are costly to parse: dealt by page instead of all in one task
+    return g.repartition("district", "block").select(F.concat_ws("-", "district", F.col("block").cast("string")).alias("page_id"),
                     F.concat(F.lit("https://x.example/venta/departamento/propiedades-usadas/"), "district", F.lit("-metropolitana_Desde_1")).alias("url"),
                     F.concat(F.lit("<html><body><section>"), "cards", F.lit("</section></body></html>")).alias("html"))
 
@@ -190,15 +190,14 @@ def detail_pages(t):
         crumb(op), crumb(F.lit("Departamentos")), crumb(F.lit("Propiedades usadas")), crumb(F.concat(F.lit("Comuna "), "district")), crumb(F.concat(F.lit("Barrio "), F.col("brand").cast("string"))), F.lit("</ol>"), money,
         F.lit('<table class="andes-table">'), row("Superficie útil", F.concat((F.col("p_size") + 14).cast("string"), F.lit(" m²"))), row("Dormitorios", F.when(k % 8 == 0, F.lit("1 a 2")).otherwise((k % 4).cast("string"))),
         row("Baños", F.lit("2")), row("Antiguedad", F.concat((k % 40).cast("string"), F.lit(" años"))), F.lit("</table></body></html>"))
-    parts = t.part_dims.repartition(t.spark.sparkContext.defaultParallelism, "p_partkey")
+    parts = t.part_dims.repartition("p_partkey")
     return parts.select(k.cast("string").alias("page_id"), F.concat(F.lit("https://x.example/MLC-"), k.cast("string"), F.lit("-x")).alias("url"), html.alias("html"))
 
 
 @query("page_detail_extract", sql_with(PART_SQL, final="""
 SELECT CAST(p_partkey AS VARCHAR) AS page_id, CASE WHEN p_partkey % 2 = 0 THEN 'rent' ELSE 'sale' END AS operation, CASE WHEN p_partkey % 2 = 0 THEN 'CLP' ELSE 'UF' END AS currency,
  CASE WHEN p_partkey % 2 = 0 THEN (400 + p_partkey % 300)*1000.0::DOUBLE ELSE 2000.5 + p_partkey % 900 END AS amount, 'comuna-'||district||'/barrio-'||brand AS zone, CAST(p_size+14 AS DOUBLE) AS m2,
- CASE WHEN p_partkey % 8 <> 0 THEN CASE WHEN p_partkey % 4 = 0 THEN 'studio' ELSE (p_partkey%4)||'D2B' END END AS typ, p_partkey % 40 AS age_years, FALSE AS is_new, p_partkey % 9 = 0 AS is_project FROM part_dims
- WHERE p_partkey % 9 = 0 OR TRUE"""))
+ CASE WHEN p_partkey % 8 <> 0 THEN CASE WHEN p_partkey % 4 = 0 THEN 'studio' ELSE (p_partkey%4)||'D2B' END END AS typ, p_partkey % 40 AS age_years, FALSE AS is_new, p_partkey % 9 = 0 AS is_project FROM part_dims"""))
 def detail_q(t):
     """Detail pages: operation, price, place, specification table, project flag."""
     d = pages.parse_details(pages.run_extractor(detail_pages(t), pages.detail_extractor, pages.DETAIL_SCHEMA), min_length=200)

@@ -104,12 +104,19 @@ def price_drop_q(t):
     return d.select("unit_key", "before", "after", ts("valid_to").alias("valid_to"), rnd(F.col("change")).alias("change"))
 
 
-@query("new_units_antijoin", sql_with(*VERS, final=f"""
+FEW_SQL = """
+lasts AS (SELECT unit_key, max(captured) AS _m FROM captures GROUP BY 1),
+few AS (SELECT captures.* FROM captures JOIN lasts USING (unit_key) WHERE CAST(substr(unit_key, 2) AS BIGINT) % 3 <> 0 OR captured = _m)"""
+
+
+@query("new_units_antijoin", sql_with(CAPTURES_SQL, CAPT_RATES_SQL, FEW_SQL, islands("few", "vers"), final=f"""
 SELECT unit_key, {ts_sql('valid_from')} AS valid_from FROM vers v WHERE valid_to IS NULL AND valid_from >= TIMESTAMP '2024-01-01' AND fetched_at >= TIMESTAMP '2024-01-01'
 AND NOT EXISTS (SELECT 1 FROM vers h WHERE h.unit_key = v.unit_key AND h.valid_to IS NOT NULL)"""))
 def new_units_q(t):
-    """Units without history."""
-    v = V.new_units(versions_of(t), F.lit("2024-01-01").cast("timestamp_ntz"))
+    """Units without history; of every third unit only the last capture is known here, so there are some."""
+    last = t.captures.groupBy("unit_key").agg(F.max("captured").alias("_m"))
+    few = t.captures.join(last, "unit_key").where((F.substring("unit_key", 2, 18).cast("bigint") % 3 != 0) | (F.col("captured") == F.col("_m"))).drop("_m")
+    v = V.new_units(V.versions(V.one_per_instant(few), ["zone"]), F.lit("2024-01-01").cast("timestamp_ntz"))
     return v.select("unit_key", ts("valid_from").alias("valid_from"))
 
 
