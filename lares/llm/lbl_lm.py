@@ -8,8 +8,9 @@ words share class 0. Within class 0 a word has its smoothed share of that class'
 
 What training needs from the corpus is gathered from all training texts: the count of every word,
 and the count of every class triple. Triples are trained on by noise-contrastive estimation in
-numpy: ``TRAINERS`` workers each draw from their part of the triples by count, and their
-parameters are averaged after each round. The class probabilities are then normalised exactly:
+numpy: in each round every trainer passes over its whole part of the triples, so that each triple
+takes part with its whole count, and the trainers' parameters are averaged. The trainers grow with
+the triples. The class probabilities are then normalised exactly:
 batched matrix products over all pairs of context classes give a table of log normalisers, so a
 token's log probability is four table look-ups.
 
@@ -37,8 +38,10 @@ from lares.session import cut
 FOLDS, HELD_OUT = 7, 2
 #: Classes (class 0: all other words), width of the vectors, commonest words whose counts are broadcast.
 CLASSES, WIDTH, FREQUENT = 1024, 32, 1 << 16
-#: Training: workers, rounds of averaging, draws per worker and round, draws per step, noise classes per step, step size.
-TRAINERS, ROUNDS, DRAWS, STEP, NOISE, RATE = 32, 4, 1 << 18, 1024, 128, 0.15
+#: Training: least workers, rounds of averaging, examples per step, noise classes per step, step size.
+TRAINERS, ROUNDS, STEP, NOISE, RATE = 32, 4, 1024, 128, 0.15
+#: Triples that a trainer passes over at a time; counts up to which every token is an example of its own.
+PART, SINGLY = 1 << 21, 1 << 18
 #: The end token has a name that no word can have.
 END = ""
 #: Distinct entries gathered in a worker before they are handed on.
@@ -155,29 +158,46 @@ def _add_rows(target: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     target[r[first]] += np.add.reduceat(values[order], first, axis=0)
 
 
-def train_part(p: Parameters, codes: np.ndarray, n: np.ndarray, unigram: np.ndarray, seed: int, rate: float, draws: int = DRAWS) -> None:
-    """Noise-contrastive estimation on triples drawn by count; changes ``p``."""
+def examples(n: np.ndarray, r: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """A pass over all triples in random order: their places, and weights that add up to each triple's count.
+
+    A triple with a great count is repeated, so that no example outweighs a step; there are at
+    most about twice as many examples as triples (or as tokens, where these are few).
+    """
+    times = np.ceil(n / max(1.0, n.sum() / max(len(n), SINGLY))).astype(np.int64)
+    order = r.permutation(np.repeat(np.arange(len(n), dtype=np.int32), times))
+    return order, (n / times).astype(np.float32)[order]
+
+
+def fresh_sums(p: Parameters) -> dict[str, np.ndarray]:
+    """Sums of squared gradients before the first step."""
+    return {k: np.full_like(getattr(p, k), 1e-2) for k in Parameters.NAMES}
+
+
+def train_part(p: Parameters, codes: np.ndarray, n: np.ndarray, unigram: np.ndarray, seed: int, rate: float, sums: dict[str, np.ndarray] | None = None) -> None:
+    """Noise-contrastive estimation in one pass over all triples, weighted by count; changes ``p`` and ``sums``."""
     size, r = len(unigram), np.random.default_rng(seed)
-    upto = np.cumsum(n)
+    order, weights = examples(n, r)
+    share = weights / np.float32(weights.mean(dtype=np.float64) * min(STEP, len(order)))
     cdf = np.cumsum(unigram)
-    log_noise = np.log(NOISE * unigram)
-    sums = {k: np.full_like(getattr(p, k), 1e-2) for k in Parameters.NAMES}
+    log_noise = np.log(NOISE * unigram).astype(np.float32)
+    sums = fresh_sums(p) if sums is None else sums
 
     def step(k: str, g: np.ndarray) -> None:
         sums[k] += g * g
         v = getattr(p, k)
         v -= rate * g / np.sqrt(sums[k])
 
-    for _ in range(max(1, min(draws, int(upto[-1])) // STEP)):
-        code = codes[np.searchsorted(upto, r.integers(0, upto[-1], STEP), side="right")]
+    for start in range(0, len(order), STEP):
+        code, part = codes[order[start : start + STEP]], share[start : start + STEP, None]
         c1, c2, w = code // (size * size), code // size % size, code % size
         noise = np.minimum(np.searchsorted(cdf, r.random(NOISE) * cdf[-1], side="right"), size - 1)
         e1, e2 = p.base[c1], p.base[c2]
         q = e1 * p.w1 + e2 * p.w2
         real = np.einsum("ij,ij->i", q, p.out[w]) + p.bias[w] - log_noise[w]
         fake = q @ p.out[noise].T + p.bias[noise] - log_noise[noise]
-        g_real = (1 / (1 + np.exp(-real)) - 1)[:, None] / STEP
-        g_fake = 1 / (1 + np.exp(-fake)) / STEP
+        g_real = (1 / (1 + np.exp(-real)) - 1)[:, None] * part
+        g_fake = 1 / (1 + np.exp(-fake)) * part
         g_q = g_real * p.out[w] + g_fake @ p.out[noise]
         g_out, g_bias, g_base = np.zeros_like(p.out), np.zeros_like(p.bias), np.zeros_like(p.base)
         _add_rows(g_out, np.concatenate((w, noise)), np.concatenate((g_real * q, g_fake.T @ q)))
@@ -187,20 +207,32 @@ def train_part(p: Parameters, codes: np.ndarray, n: np.ndarray, unigram: np.ndar
             step(k, g.astype(np.float32))
 
 
-def fitted(spark: SparkSession, table: DataFrame, unigram: np.ndarray) -> Parameters:
-    """Parameters after ROUNDS of training on parts of ``table`` (code, n) and averaging."""
+def fitted(spark: SparkSession, table: DataFrame, unigram: np.ndarray, most: int) -> Parameters:
+    """Parameters after ROUNDS of training on all parts of ``table`` (code, n; at most ``most`` rows) and averaging."""
     p = Parameters(unigram)
-    parts = cut(table.repartition(TRAINERS, "code").select("code", "n"))
+    parts = cut(table.repartition(max(TRAINERS, -(-most // PART)), "code").select("code", "n"))
 
     def rounds(now: bytes, number: int):
         def run(batches):
-            held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-            if sum(len(c) for c, _ in held):
-                mine = Parameters(unigram)
-                mine.unpack(np.frombuffer(now, dtype=np.float32))
+            mine = Parameters(unigram)
+            mine.unpack(np.frombuffer(now, dtype=np.float32))
+            sums, held, rows, seen = fresh_sums(mine), [], 0, 0
+
+            def train():
                 codes, n = (np.concatenate(x) for x in zip(*held, strict=True))
-                train_part(mine, codes, n, unigram, seed=int(codes[0]) + number, rate=RATE / (1 + number))
-                yield pa.RecordBatch.from_arrays([pa.array([int(n.sum())]), pa.array([mine.packed()], pa.binary())], names=["n", "p"])
+                train_part(mine, codes, n, unigram, seed=int(codes[0]) + number, rate=RATE / (1 + number), sums=sums)
+                return int(n.sum())
+
+            for b in batches:
+                held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+                rows += b.num_rows
+                if rows >= PART:
+                    seen += train()
+                    held, rows = [], 0
+            if rows:
+                seen += train()
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([mine.packed()], pa.binary())], names=["n", "p"])
 
         return run
 
@@ -262,7 +294,7 @@ def scored(docs: DataFrame, classes: int = CLASSES, frequent: int = FREQUENT) ->
     n_rest, v_rest = n_all - int(of_class.sum()), v_all - int((of_class > 0).sum())
     of_class[0] = n_rest
     unigram = (of_class + 1) / (of_class + 1).sum()
-    p = fitted(spark, triples(train, numbers, classes), unigram)
+    p = fitted(spark, triples(train, numbers, classes), unigram, min(n_all, classes**3))
     tables = Tables(p, normalisers(spark, p))
     sent = spark.sparkContext.broadcast((numbers, {w: float(np.log10(c + 1)) for w, c in common.items()}, tables))
     base_each, rest_each = float(np.log10(n_all + v_all + 1)), float(np.log10(n_rest + v_rest + 1))

@@ -92,6 +92,20 @@ def test_training_learns_from_context():
     assert logp.mean() > np.log(unigram[s[2:]]).mean() + 1.0
 
 
+def test_training_passes_over_every_triple():
+    """Contexts that occur once beside one very common triple are trained on, and each triple has its whole count."""
+    size = 500
+    code = lambda a, b, c: (a * size + b) * size + c
+    codes = np.array([0] + [code(c, c, 1) for c in range(2, size)])
+    n = np.array([1 << 26] + [1] * (size - 2))
+    p = lbl_lm.Parameters(np.full(size, 1 / size))
+    before = p.base.copy()
+    lbl_lm.train_part(p, codes, n, np.full(size, 1 / size), seed=1, rate=lbl_lm.RATE)
+    assert (p.base[2:] != before[2:]).any(axis=1).all()
+    order, weights = lbl_lm.examples(n, np.random.default_rng(1))
+    assert np.allclose(np.bincount(order, weights=weights), n)
+
+
 def _vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, v string, s string")
 
