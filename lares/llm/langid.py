@@ -80,12 +80,14 @@ class Centroids:
             near.append((_size_class(sizes), (v @ c.T).max(axis=1)))
         self.centres, self.owner = np.concatenate(centres), np.array(owner)
         classes, best = (np.concatenate(p) for p in zip(*near, strict=True))
-        # shorter texts have lower cosines, so a class takes over the floor of a longer one if it is lower
+        # shorter texts have lower cosines, so a class takes over the floor of a longer one if it is lower;
+        # classes above the longest populated one have that one's floor (without any populated class nothing is rejected)
         self.floor, last = np.zeros(32, dtype=np.float32), np.inf
         for c in range(31, -1, -1):
             own = best[classes == c]
             last = min(last, float(np.quantile(own, LOW))) if len(own) >= 20 else last * (0.7 if np.isfinite(last) and c < classes.min() + 1 else 1)
-            self.floor[c] = LENIENCE * last if np.isfinite(last) else 0
+            if np.isfinite(last):
+                self.floor[c if self.floor.any() else slice(c, None)] = LENIENCE * last
 
     def weighted(self, x: np.ndarray) -> np.ndarray:
         return _unit(np.log1p(x) * self.idf)

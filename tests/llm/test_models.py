@@ -39,6 +39,15 @@ def test_language_id_odd_rows(spark, odd_docs, no_docs, corpus):
     assert langid.predicted(docs).where(f"doc_id = {10**6}").first()["rejected"]
 
 
+def test_long_texts_can_be_rejected(spark, corpus):
+    """A foreign script is rejected at every length, also above the longest training texts; long prose of the corpus stays."""
+    prose = " ".join(r["text"] for r in corpus.where("lang = 'en'").orderBy("doc_id").collect())
+    rows = [(10**6 + i, "漢字仮名交文" * n, None) for i, n in enumerate((60, 3_000, 40_000))] + [(10**6 + 3, prose * (1 + 200_000 // len(prose)), None)]
+    docs = corpus.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = {r["doc_id"] - 10**6: r["rejected"] for r in langid.predicted(docs).where(f"doc_id >= {10**6}").collect()}
+    assert got == {0: True, 1: True, 2: True, 3: False}
+
+
 def test_prediction_reads_the_text_only(corpus):
     changed = corpus.withColumn("lang", F.when(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit("xx")).otherwise(F.col("lang")))
     key = lambda df: sorted((r["doc_id"], r["lang_pred"], r["score"]) for r in df.collect())
