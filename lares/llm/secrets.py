@@ -27,16 +27,22 @@ BASE = {
     "access": (r"AKIA[A-Z0-9]+", 0, 16),
     "hex": (r"[0-9a-f]{32,}", 0, 32),
 }
-#: Kinds beyond the base: key blocks, three-part signed tokens, prefixed service tokens.
+#: What stands between the lines of a key block without END line (also quoted or escaped in one line), and the header lines of any.
+_GAP = r"""\x20\x09\x0A\x0D\\"',"""
+_HEADERS = r"(?:[\x20\x09\x0A\x0D]*[A-Z][A-Za-z0-9-]*:[^\x0A\\]*(?:\x0A|\\n)){0,9}"
+#: The body, whatever its quoting, up to the END line; without one, up to the last long run of base64 and one shorter run behind it.
+_ENDED = r"[^-]*-----END [A-Z ]*PRIVATE KEY-----"
+_OPEN = rf"(?:[A-Za-z0-9+/={_GAP}]*[A-Za-z0-9+/=]{{40,}}|[{_GAP}]*n?[A-Za-z0-9+/=]{{16,}})(?:[{_GAP}]+n?[A-Za-z0-9+/]+={{1,2}}|[\x20\x09\x0A\x0D\\]+[A-Za-z0-9+/]+)?"
+#: Kinds beyond the base: key blocks with their body, three-part signed tokens, prefixed service tokens.
 ADDED = {
-    "pem": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    "pem": (rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_HEADERS}(?:{_ENDED}|{_OPEN}))?", 0, 1),
     "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
     "forge": (r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
 }
 RULES = BASE | ADDED
 #: Every match of a kind holds one of these in its lower-cased text; others need no pattern search.
 HINTS = {"assign": ("passw", "secret", "token", "api"), "access": ("akia",), "pem": ("-----begin",), "jwt": ("eyj",), "forge": ("gh",)}
-RULES_VERSION = "1"
+RULES_VERSION = "1.1"
 LEDGER_SCHEMA = "blob string, rules string, spans array<struct<s:int,o:int,e:int>>"
 
 
