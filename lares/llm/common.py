@@ -29,3 +29,19 @@ def text_or_empty() -> Column:
 def crc_fold(folds: int, key: str = "doc_id") -> Column:
     """crc32 of the key as text, modulo ``folds``; a null key counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
+
+
+class WordHashes(dict):
+    """64-bit hashes of words; forgets all when it has grown to ``most`` words."""
+
+    def __init__(self, most: int = 500_000):
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh3_64_intdigest
+
+        if len(self) > self.most:
+            self.clear()
+        value = self[word] = xxh3_64_intdigest(word)
+        return value

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lares.llm import chat, hardneg, langid, lbl_lm, packing, permindex, quality, secrets, shards, sigtree, trie_bpe
+from lares.llm import chat, hardneg, langid, lbl_lm, packing, permindex, quality, relative_lz, secrets, shards, sigtree, trie_bpe
 from lares.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,19 @@ SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.ar, p.br ORDE
 FROM p JOIN s ON s.ar = p.ar AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
 QUALIFY row_number() OVER (PARTITION BY p.ar, p.br ORDER BY s.score DESC, s.vec_id) <= 3
 """)
+
+
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relative_lz.deduplicated(table(spark, sf_dir, "documents"))
+
+
+query(op11_substring_dedup, r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+v AS (SELECT r, doc_id, p, hash(array_to_string(w[p:p + 19], ' ')) AS h, md5(array_to_string(w[p:p + 19], ' ')) AS m FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM t WHERE len(w) >= 20)),
+d AS (SELECT r, p FROM v QUALIFY row_number() OVER (PARTITION BY h, m ORDER BY doc_id, r, p) > 1),
+c AS (SELECT DISTINCT r, p + k AS p FROM d, (SELECT unnest(range(0, 20)) AS k)),
+g AS (SELECT r, count(*) AS n, list(p) AS ps FROM c GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(g.n, 0) AS n_removed,
+       sha256(CASE WHEN g.n IS NULL THEN array_to_string(w, ' ') WHEN g.n = len(w) THEN '' ELSE array_to_string(list_filter(w, lambda x, i: NOT list_contains(g.ps, i)), ' ') END) AS kept_sha256
+FROM t LEFT JOIN g USING (r)
+""")
