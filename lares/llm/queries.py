@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lares.llm import chat, hardneg, langid, lbl_lm, packing, permindex, quality, relative_lz, secrets, shards, sigtree, trie_bpe
+from lares.llm import chat, collocations, hardneg, langid, lbl_lm, packing, permindex, quality, relative_lz, secrets, shards, sigtree, trie_bpe
 from lares.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +173,26 @@ SELECT doc_id, len(w) AS n_words, coalesce(g.n, 0) AS n_removed,
        sha256(CASE WHEN g.n IS NULL THEN array_to_string(w, ' ') WHEN g.n = len(w) THEN '' ELSE array_to_string(list_filter(w, lambda x, i: NOT list_contains(g.ps, i)), ' ') END) AS kept_sha256
 FROM t LEFT JOIN g USING (r)
 """)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mined(table(spark, sf_dir, "documents"))
+
+
+query(op12_collocations, r"""
+WITH t AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(x, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+tot AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS ph, w[i:i + k - 1] AS ws FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, ph, any_value(ws) AS ws, count(*) AS f FROM g GROUP BY lang, k, ph),
+c AS (SELECT * FROM f WHERE f >= 100 AND k > 1),
+longer AS (SELECT lang, sub, max(f) AS f FROM (SELECT lang, f, array_to_string(ws[:k - 1], ' ') AS sub FROM c WHERE k > 2 UNION ALL SELECT lang, f, array_to_string(ws[2:], ' ') FROM c WHERE k > 2) GROUP BY lang, sub),
+kept AS (SELECT c.* FROM c LEFT JOIN longer ON longer.lang = c.lang AND longer.sub = c.ph WHERE longer.f IS NULL OR 100 * c.f > 100 * longer.f),
+cuts AS (SELECT kept.lang, ph, ws, f, unnest(range(1, k)) AS j FROM kept),
+s AS (SELECT cuts.lang, cuts.ph AS phrase, cuts.f AS a, x.f AS l, y.f AS r, tot.n::BIGINT AS n, j, ((1000::HUGEINT * cuts.f * tot.n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+      FROM cuts JOIN tot ON tot.lang = cuts.lang JOIN f x ON x.lang = cuts.lang AND x.ph = array_to_string(cuts.ws[:j], ' ') JOIN f y ON y.lang = cuts.lang AND y.ph = array_to_string(cuts.ws[j + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+""")
