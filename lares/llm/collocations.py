@@ -51,7 +51,7 @@ _TABLE = bytes(ord(_BREAK) if chr(i) in ".,;:!?\n\x0b\x0c\r" else i + 32 if 65 <
 
 def pieces(text: str | None) -> list[bytes]:
     """The words of a text with a break behind each piece."""
-    return ((text or "").encode().translate(_TABLE).replace(_BREAK, b" " + _BREAK + b" ") + b" " + _BREAK).split(b" ")
+    return ((text or "").encode().translate(_TABLE).replace(_BREAK, b" " + _BREAK + b" ") + b" " + _BREAK).split()
 
 
 class _Words(WordHashes):
@@ -60,11 +60,11 @@ class _Words(WordHashes):
     def __init__(self):
         super().__init__()
         self.new: list[tuple[int, bytes]] = []
-        self[_BREAK] = self[b""] = 0
+        self[_BREAK] = 0
 
     def __missing__(self, word: bytes) -> int:
         value = super().__missing__(word) | 1
-        self[word], self[_BREAK], self[b""] = value, 0, 0
+        self[word], self[_BREAK] = value, 0
         self.new.append((value, word))
         return value
 
@@ -144,7 +144,7 @@ def _active(words: np.ndarray, keys: list[np.ndarray], reached: np.ndarray, step
             continue
         at = np.flatnonzero(inside)
         if k > 1:
-            left, right = (reached[keys[k - 2][at + d] & np.uint64(SLOTS - 1)] for d in (0, 1))
+            left, right = (reached[keys[k - 2][at + d] & np.uint64(len(reached) - 1)] for d in (0, 1))
             since = np.maximum(left, right).astype(np.int64)
             at = at[(left > 0) & (right > 0) & (step < since + shards)]
         yield k, at
@@ -156,7 +156,7 @@ _STATE = np.dtype([("key", "u8"), ("n", "i8"), ("shards", "u1"), ("first", "u1")
 
 def counted_step(spark: SparkSession, shard: DataFrame, state: DataFrame | None, reached: np.ndarray, step: int, shards: int, levels: list[int], buckets: int, least: int) -> DataFrame:
     """bucket, blob (phrases so far), fresh (slot and length of the phrases that reach ``least`` in this step). To be written."""
-    sent = spark.sparkContext.broadcast(reached)  # SLOTS bytes
+    sent, slots = spark.sparkContext.broadcast(reached), np.uint64(len(reached) - 1)  # SLOTS bytes
 
     def scan(batches):
         held, size = [], 0
@@ -210,8 +210,8 @@ def counted_step(spark: SparkSession, shard: DataFrame, state: DataFrame | None,
             out["shards"] = had | np.where(add > 0, 1 << step % shards, 0)
             fresh = out[(out["n"] >= least) & (old < least)]
             out = out[(out["n"] >= least) | (step < out["first"].astype(np.int64) + shards - 1)]
-            slots = (fresh["key"] & np.uint64(SLOTS - 1)).astype(np.int64) * 8 + fresh["k"]
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([out.tobytes()], pa.binary()), pa.array([np.unique(slots)], pa.list_(pa.int64()))], names=["bucket", "blob", "fresh"])
+            marks = (fresh["key"] & slots).astype(np.int64) * 8 + fresh["k"]
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([out.tobytes()], pa.binary()), pa.array([np.unique(marks)], pa.list_(pa.int64()))], names=["bucket", "blob", "fresh"])
 
     rows = shard.select("lang", "words").mapInArrow(scan, "bucket int, blob binary")
     if state is not None:
@@ -231,9 +231,9 @@ def _mark(reached: np.ndarray, state: DataFrame, step: int) -> set[int]:
     return lengths
 
 
-def counts(spark: SparkSession, folder: str, words: int, shards: int = SHARDS, least: int = LEAST) -> tuple[DataFrame, np.ndarray]:
+def counts(spark: SparkSession, folder: str, words: int, shards: int = SHARDS, least: int = LEAST, slots: int = SLOTS) -> tuple[DataFrame, np.ndarray]:
     """key, k, n of every phrase that occurs ``least`` times or more in its language, and the table that says so roughly."""
-    reached = np.zeros(SLOTS, np.uint8)
+    reached = np.zeros(slots, np.uint8)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // PHRASES_OF_BUCKET))
     shard_of = lambda t: spark.read.schema(_SHARD_SCHEMA).parquet(folder).where(F.col("shard") == t % shards)
     last, state, step = {}, None, 0
@@ -271,7 +271,7 @@ def occurring(spark: SparkSession, folder: str, reached: np.ndarray) -> DataFram
                 n = max(len(words) - k + 1, 0)
                 inside = inside[:n] & (words[k - 1 :] != 0)
                 at = np.flatnonzero(inside)
-                at = at[sent.value[keys[k - 1][at] & np.uint64(SLOTS - 1)] > 0]
+                at = at[sent.value[keys[k - 1][at] & np.uint64(len(sent.value) - 1)] > 0]
                 key, first = np.unique(keys[k - 1][at], return_index=True)
                 for x, p in zip(key.tolist(), at[first].tolist(), strict=True):
                     if x not in seen:

@@ -135,7 +135,7 @@ def _default_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_anchors(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def shared_anchors(docs: DataFrame, hot: int = HOT, run_words: int = RUN_WORDS) -> DataFrame:
     """key, h, shared, hot of the documents with anchors that occur twice or more, anywhere: the packed anchors, and those of them that are common. Distinct by (key, h)."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -177,7 +177,7 @@ def shared_anchors(docs: DataFrame, hot: int = HOT) -> DataFrame:
             for key, h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 held.append((key, h, _word_hashes(text)))
                 words += len(held[-1][2])
-                if words > RUN_WORDS or len(held) == MARK:
+                if words > run_words or len(held) == MARK:
                     yield out()
                     row, held, words = row + len(held), [], 0
         if held:
@@ -250,7 +250,7 @@ def _sha(words: list[bytes]) -> str:
 _STRETCH = np.dtype([("key", "i8"), ("h", "i8"), ("owner", "u2"), ("start", "i4"), ("n", "i4")])
 
 
-def stretched(docs: DataFrame, shared: DataFrame, blocks: int) -> DataFrame:
+def stretched(docs: DataFrame, shared: DataFrame, blocks: int, run_words: int = RUN_WORDS) -> DataFrame:
     """Rows of two kinds, to be written: documents (row >= 0; finished ones with their digest, others with text and the factors found in their run), and packed stretches for a block (row -1)."""
     names = ["block", "blob", "base", "row", "doc_id", "text", "n_words", "sha"]
     kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
@@ -304,7 +304,7 @@ def stretched(docs: DataFrame, shared: DataFrame, blocks: int) -> DataFrame:
                 none = shared is None
                 held.append((key, h, text, None if none else _word_hashes(text), doc_id, None if none else np.frombuffer(shared, np.int64), None if none else np.frombuffer(hot, np.int64)))
                 words += len(text) // 32 if none else len(held[-1][3])
-                if words > RUN_WORDS or len(held) == MARK:
+                if words > run_words or len(held) == MARK:
                     yield out()
                     row, held, words = row + len(held), [], 0
         if held:
@@ -382,15 +382,15 @@ def finished(waiting: DataFrame, factors: DataFrame, parts: int) -> DataFrame:
     return rows.repartition(parts, "base").sortWithinPartitions("base", "row").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def deduplicated(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def deduplicated(docs: DataFrame, hot: int = HOT, run_words: int = RUN_WORDS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: one row per row of ``docs``."""
     bounded_batches(docs.sparkSession)
     keyed = _keyed(docs)
-    shared = cut(shared_anchors(keyed, hot))
+    shared = cut(shared_anchors(keyed, hot, run_words))
     anchors = shared.agg(F.sum(F.octet_length("shared"))).first()[0] or 0
     parts = _default_partitions(docs.sparkSession)
     blocks = max(parts, -(-(anchors // 8 * (WINDOW - ANCHOR)) // WINDOWS_OF_BLOCK))
-    both = cut(stretched(keyed, shared, blocks))
+    both = cut(stretched(keyed, shared, blocks, run_words))
     done = both.where("row >= 0 AND sha IS NOT NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
     factors = block_factors(both.where("row < 0"), blocks)
     return done.unionByName(finished(both.where("row >= 0 AND sha IS NULL"), factors, max(parts, blocks)))
