@@ -28,8 +28,12 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
+import zlib
+
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -93,8 +97,6 @@ def folder_of(docs: DataFrame, shards: int = SHARDS) -> str:
 
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), text.alias("text"), F.pmod(F.xxhash64("doc_id", text), F.lit(shards)).cast("int").alias("shard"))
-    import uuid
-
     path = f"{shared_dir(spark)}/lares-phrases-{uuid.uuid4().hex}"
     rows.mapInArrow(run, "lang string, words array<long>, n long, hash long, word string, shard int").write.option("parquet.block.size", 16 << 20).option("parquet.dictionary.page.size", 4 << 20).partitionBy("shard").parquet(path)
     return path
@@ -154,12 +156,20 @@ def _active(words: np.ndarray, keys: list[np.ndarray], reached: np.ndarray, step
 _STATE = np.dtype([("key", "u8"), ("n", "i8"), ("shards", "u1"), ("first", "u1"), ("k", "u1")])
 
 
-def counted_step(spark: SparkSession, shard: DataFrame, state: DataFrame | None, reached: np.ndarray, step: int, shards: int, levels: list[int], buckets: int, least: int) -> DataFrame:
+def _sent(spark: SparkSession, reached: np.ndarray) -> Broadcast:
+    """The table as a broadcast: SLOTS bytes at most, far fewer while most are 0."""
+    return spark.sparkContext.broadcast(zlib.compress(reached.tobytes(), 1))
+
+
+def _received(sent: Broadcast) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(sent.value), np.uint8)
+
+
+def counted_step(shard: DataFrame, state: DataFrame | None, sent: Broadcast, slots: int, step: int, shards: int, levels: list[int], buckets: int, least: int) -> DataFrame:
     """bucket, blob (phrases so far), fresh (slot and length of the phrases that reach ``least`` in this step). To be written."""
-    sent, slots = spark.sparkContext.broadcast(reached), np.uint64(len(reached) - 1)  # SLOTS bytes
 
     def scan(batches):
-        held, size = [], 0
+        held, size, reached = [], 0, _received(sent)
 
         def out():
             key, k, which = np.concatenate([x for x, _, _ in held]), np.concatenate([np.full(len(x), k, np.uint8) for x, k, _ in held]), np.concatenate([n for _, _, n in held])
@@ -178,7 +188,7 @@ def counted_step(spark: SparkSession, shard: DataFrame, state: DataFrame | None,
         for b in batches:
             words, seeds = _joined(b)
             keys = phrase_keys(words, seeds, max(levels))
-            for k, at in _active(words, keys, sent.value, step, shards, levels):
+            for k, at in _active(words, keys, reached, step, shards, levels):
                 if len(at):
                     key, n = np.unique(keys[k - 1][at], return_counts=True)
                     held.append((key, k, n))
@@ -210,7 +220,7 @@ def counted_step(spark: SparkSession, shard: DataFrame, state: DataFrame | None,
             out["shards"] = had | np.where(add > 0, 1 << step % shards, 0)
             fresh = out[(out["n"] >= least) & (old < least)]
             out = out[(out["n"] >= least) | (step < out["first"].astype(np.int64) + shards - 1)]
-            marks = (fresh["key"] & slots).astype(np.int64) * 8 + fresh["k"]
+            marks = (fresh["key"] & np.uint64(slots - 1)).astype(np.int64) * 8 + fresh["k"]
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([out.tobytes()], pa.binary()), pa.array([np.unique(marks)], pa.list_(pa.int64()))], names=["bucket", "blob", "fresh"])
 
     rows = shard.select("lang", "words").mapInArrow(scan, "bucket int, blob binary")
@@ -241,7 +251,9 @@ def counts(spark: SparkSession, folder: str, words: int, shards: int = SHARDS, l
         levels = [k for k in range(1, LONGEST + 1) if (step < shards if k == 1 else k - 1 in last and step <= last[k - 1] + shards)]
         if not levels:
             break
-        state = cut(counted_step(spark, shard_of(step), state, reached, step, shards, levels, buckets, least))
+        sent = _sent(spark, reached)
+        state = cut(counted_step(shard_of(step), state, sent, slots, step, shards, levels, buckets, least))
+        sent.destroy()  # what it was for is written
         for k in _mark(reached, state, step):
             last[k] = step
         step += 1
@@ -258,10 +270,10 @@ def counts(spark: SparkSession, folder: str, words: int, shards: int = SHARDS, l
 
 def occurring(spark: SparkSession, folder: str, reached: np.ndarray) -> DataFrame:
     """key, lang, k, words, left, right of the phrases of two words or more that may have reached the threshold: word hashes, names of all beginnings and all ends."""
-    sent = spark.sparkContext.broadcast(reached)  # SLOTS bytes
+    sent = _sent(spark, reached)
 
     def run(batches):
-        seen: set[int] = set()
+        seen, reached = set(), _received(sent)
         for b in batches:
             words, seeds = _joined(b)
             keys = phrase_keys(words, seeds, LONGEST)
@@ -271,7 +283,7 @@ def occurring(spark: SparkSession, folder: str, reached: np.ndarray) -> DataFram
                 n = max(len(words) - k + 1, 0)
                 inside = inside[:n] & (words[k - 1 :] != 0)
                 at = np.flatnonzero(inside)
-                at = at[sent.value[keys[k - 1][at] & np.uint64(len(sent.value) - 1)] > 0]
+                at = at[reached[keys[k - 1][at] & np.uint64(len(reached) - 1)] > 0]
                 key, first = np.unique(keys[k - 1][at], return_index=True)
                 for x, p in zip(key.tolist(), at[first].tolist(), strict=True):
                     if x not in seen:
