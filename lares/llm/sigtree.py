@@ -19,7 +19,9 @@ exact: pruning only removes pairs that can't reach the similarity.
    of a tree whose nodes hold the OR of the leaves' token bitmaps, the range of sizes and the class
    if it is one. Two trees are traversed together, level by level; a pair of nodes is dropped when
    its sizes can't match, when all leaves are of one class, or when the bitmaps leave too small a
-   maximum overlap. Pairs of leaves that remain are verified on the whole sets.
+   maximum overlap. Only leaves with a pair left get their whole sets; the cell is traversed again and
+   verifies pairs of classes that aren't joined yet, so it gives fewer edges than it has leaves. A pair
+   that meets in several groups is the smallest one's, as far as both leaves show their groups.
 
 Equal sets (exact copies) are one node from the start, so copies never meet.
 
@@ -44,8 +46,8 @@ from lares.operators.graph import components
 from lares.session import cut
 
 WORDS, PER_CENT = 5, 75
-#: Bits of a signature, children of a tree node, leaves of a block.
-BITS, FANOUT, BLOCK = 2048, 8, 2048
+#: Bits of a signature, children of a tree node, leaves and tokens of a block, tokens by which a leaf shows its groups.
+BITS, FANOUT, BLOCK, BLOCK_TOKENS, SHOWN = 2048, 8, 2048, 2_000_000, 16
 #: Bits of the filter that spares documents without partner a second computation; the exact join follows.
 FILTER_BITS = 1 << 24
 #: Head shingles that a task gathers before it hands them on; documents among them are numbered in 16 bits.
@@ -122,7 +124,8 @@ def heads(docs: DataFrame) -> DataFrame:
     """doc_id, n, digest, hits of every row of ``docs``: how many shingles of the head of its set are in the head of another row."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (6 * HELD_TOKENS)))  # a head is a part of its text's shingles, of six bytes or more each
     buckets = 4 * parts
     # rows of two kinds: documents (with a digest), and packed postings or hits of a run of documents that begins at ``base``
     names = ["blob", "base", "row", "doc_id", "n", "digest", "hits"]
@@ -327,13 +330,11 @@ def traverse(x: Tree, y: Tree, same: bool, chunk: int = 1 << 14):
         stack.append((k - 1, a[good], b[good]))
 
 
-def tree_pairs(posted: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) distinct: pairs of sets of different classes in a group that the trees can't rule out."""
-    rows = posted.select("token", "node", "n").join(classes.withColumnRenamed("component", "cls"), "node")
-    mixed = rows.groupBy("token").agg(F.min("cls").alias("_a"), F.max("cls").alias("_b")).where("_a <> _b").select("token")
-    rows = rows.join(mixed, "token", "left_semi").withColumn("c", F.floor(F.log("n") / F.log(F.lit(100 / PER_CENT)) + 1e-9).cast("int"))
+def _blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` (token, node, n, cls) of each group with the cell of every two blocks that can hold a link: _cell, l, r (of its left, its right block)."""
+    rows = rows.withColumn("c", F.floor(F.log("n") / F.log(F.lit(100 / PER_CENT)) + 1e-9).cast("int"))
     # linked sets are of one size class or of two neighbours; classes of a group are cut into salted blocks
-    blocks = rows.groupBy("token", "c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("b"))
+    blocks = rows.groupBy("token", "c").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_TOKENS)).cast("int").alias("b"))
     near = lambda d, name: blocks.select("token", (F.col("c") + d).alias("c"), F.col("b").alias(name))
     size = blocks.join(near(-1, "up"), ["token", "c"], "left").join(near(1, "down"), ["token", "c"], "left").na.fill(0, ["up", "down"])
     placed = rows.join(size, ["token", "c"]).withColumn("k", F.pmod(F.xxhash64("node"), F.col("b")).cast("int"))
@@ -341,34 +342,106 @@ def tree_pairs(posted: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFr
         transform(sequence(0, b - 1), x -> struct(c AS c1, least(k, x) AS k1, c AS c2, greatest(k, x) AS k2)),
         CASE WHEN up > 0 THEN transform(sequence(0, up - 1), x -> struct(c AS c1, k AS k1, c + 1 AS c2, x AS k2)) ELSE array() END,
         CASE WHEN down > 0 THEN transform(sequence(0, down - 1), x -> struct(c - 1 AS c1, x AS k1, c AS c2, k AS k2)) ELSE array() END)""")
-    spread = placed.withColumn("_cell", F.explode(cells)).join(sets.select("node", "sig"), "node")
-    member = F.struct(((F.col("c") == F.col("_cell.c1")) & (F.col("k") == F.col("_cell.k1"))).alias("l"), ((F.col("c") == F.col("_cell.c2")) & (F.col("k") == F.col("_cell.k2"))).alias("r"),
-                      "n", "cls", "node", "sig")
-    # at most two blocks of leaves in a cell
-    cell = spread.groupBy("token", "_cell").agg(F.collect_list(member).alias("m")).where("size(m) > 1").select("m")
+    spread = placed.withColumn("_cell", F.explode(cells))
+    return spread.withColumn("l", (F.col("c") == F.col("_cell.c1")) & (F.col("k") == F.col("_cell.k1"))).withColumn("r", (F.col("c") == F.col("_cell.c2")) & (F.col("k") == F.col("_cell.k2")))
+
+
+class _Cell:
+    """At most two blocks of leaves of one group, with their trees."""
+
+    def __init__(self, members):
+        n, cls = members.field("n").to_numpy(), np.unique(members.field("cls").to_numpy(), return_inverse=True)[1]
+        sig = np.frombuffer(b"".join(members.field("sig").to_pylist()), dtype=np.uint64).reshape(len(n), -1)
+        self.order = np.lexsort((n, cls))
+        n, self.cls, sig = n[self.order], cls[self.order], sig[self.order]
+        least, many = members.field("least"), members.field("token").to_pylist()
+        # the smallest tokens whose groups a leaf is in: a pair is for the group of the smallest that both show
+        self.least = [frozenset(x for x in least[i].as_py() if x < many[i]) for i in self.order.tolist()]
+        l, r = (members.field(x).to_numpy(zero_copy_only=False)[self.order] for x in "lr")
+        self.left, self.right = np.flatnonzero(l), np.flatnonzero(r)
+        self.same = bool((l == r).all())
+        if len(self.left) and len(self.right):
+            x = Tree(sig[self.left], n[self.left], self.cls[self.left])
+            self.trees = x, x if self.same else Tree(sig[self.right], n[self.right], self.cls[self.right])
+
+    def pairs(self):
+        """Places of leaves that the trees can't rule out and that no smaller group is known to have."""
+        if not (len(self.left) and len(self.right)):
+            return
+        for i, j in traverse(*self.trees, self.same):
+            a, b = self.left[i], self.right[j]
+            new = np.fromiter((self.least[x].isdisjoint(self.least[y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)), bool, len(a))
+            yield a[new], b[new]
+
+
+def _gathered(rows: DataFrame, *more: str) -> DataFrame:
+    """token, _cell, m: the leaves of every cell (at most two blocks)."""
+    return rows.groupBy("token", "_cell").agg(F.collect_list(F.struct("token", "node", "n", "cls", "sig", "least", "l", "r", *more)).alias("m")).where("size(m) > 1")
+
+
+def open_leaves(posted: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """token, _cell, node, l, r, least: the leaves of each cell for which some pair of different classes can't be ruled out. At most one row a leaf and cell."""
+    rows = posted.select("token", "node", "n").join(classes.withColumnRenamed("component", "cls"), "node")
+    mixed = rows.groupBy("token").agg(F.min("cls").alias("_a"), F.max("cls").alias("_b")).where("_a <> _b").select("token")
+    rows = rows.join(mixed, "token", "left_semi")
+    # rows of a node in one place: its smallest tokens
+    least = rows.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("token")), 1, SHOWN).alias("least"))
+    spread = _blocks(rows).join(least, "node").join(sets.select("node", "sig"), "node")
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for token, cell, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                c, names = _Cell(m.values), m.values.field("node").to_numpy()
+                left, right = np.zeros(len(names), bool), np.zeros(len(names), bool)
+                for i, j in c.pairs():
+                    left[i] = right[j] = True
+                for x in np.flatnonzero(left | right).tolist():
+                    y = c.order[x]
+                    out.append((token, cell, int(names[y]), bool(left[x] or c.same), bool(right[x] or c.same)))
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.struct([(f, pa.int32()) for f in ("c1", "k1", "c2", "k2")]), pa.int64(), pa.bool_(), pa.bool_()), strict=True)],
+                                             names=["token", "_cell", "node", "l", "r"])
+
+    found = _gathered(spread).mapInArrow(run, "token long, _cell struct<c1: int, k1: int, c2: int, k2: int>, node long, l boolean, r boolean")
+    return found.join(least, "node")
+
+
+def tree_edges(posted: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) distinct: verified links that join all sets of different classes that link. A cell gives fewer edges than it has leaves."""
+    left = cut(open_leaves(posted, classes, sets))
+    rows = left.join(classes.withColumnRenamed("component", "cls"), "node").join(sets.select("node", "n", "sig", "tokens"), "node")
 
     def run(batches):
         for b in batches:
             lefts, rights = [], []
             for m in b.column(0):
-                v = m.values
-                n, cls = v.field("n").to_numpy(), np.unique(v.field("cls").to_numpy(), return_inverse=True)[1]
-                sig = np.frombuffer(b"".join(v.field("sig").to_pylist()), dtype=np.uint64).reshape(len(n), -1)
-                names = v.field("node").to_numpy()
-                order = np.lexsort((n, cls))
-                n, cls, sig, names = n[order], cls[order], sig[order], names[order]
-                l, r = v.field("l").to_numpy(zero_copy_only=False)[order], v.field("r").to_numpy(zero_copy_only=False)[order]
-                if not (l.any() and r.any()):
-                    continue
-                same = bool((l == r).all())
-                x = Tree(sig[l], n[l], cls[l])
-                y = x if same else Tree(sig[r], n[r], cls[r])
-                for i, j in traverse(x, y, same):
-                    lefts += names[l][i].tolist()
-                    rights += names[r][j].tolist()
+                c, names, tokens = _Cell(m.values), m.values.field("node").to_numpy(), m.values.field("tokens")
+                root = list(range(int(c.cls.max()) + 1))
+
+                def find(x):
+                    while root[x] != x:  # noqa: B023
+                        root[x] = root[root[x]]  # noqa: B023
+                        x = root[x]  # noqa: B023
+                    return x
+
+                whole = {}
+                for i, j in c.pairs():
+                    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                        p, q = find(int(c.cls[x])), find(int(c.cls[y]))
+                        if p == q:
+                            continue
+                        for z in (x, y):
+                            if z not in whole:
+                                whole[z] = tokens[int(c.order[z])].values.to_numpy()
+                        both = len(np.intersect1d(whole[x], whole[y], assume_unique=True))
+                        if 100 * both >= PER_CENT * (len(whole[x]) + len(whole[y]) - both):
+                            root[p] = q
+                            lefts.append(int(names[c.order[x]]))
+                            rights.append(int(names[c.order[y]]))
             yield pa.RecordBatch.from_arrays([pa.array(lefts, pa.int64()), pa.array(rights, pa.int64())], names=["p", "q"])
 
-    found = cell.mapInArrow(run, "p long, q long")
+    found = _gathered(rows, "tokens").select("m").mapInArrow(run, "p long, q long")
     return found.groupBy(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).agg(F.lit(1).alias("_1")).select("a", "b")
 
 
@@ -379,7 +452,7 @@ def links(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = posted.select("node").distinct()
     first = cut(verified(leader_pairs(posted, sets), sets))
     classes = cut(components(nodes, first))
-    second = cut(verified(tree_pairs(posted, classes, sets), sets))
+    second = cut(tree_edges(posted, classes, sets))
     edges = first.unionByName(second)
     return components(nodes, edges).join(sets.select("node", "digest"), "node").select("digest", "component"), edges
 
