@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lares.functions.exprs import size_band
-from lares.operators.match import size_pairs
+from lares.operators.match import window_counts
 from lares.operators.quantiles import grouped_quantiles
 from lares.params import DEFAULT, Params
 from lares.session import cut
@@ -41,11 +41,9 @@ def eligible(comps: DataFrame, p: Params = DEFAULT) -> DataFrame:
 def seasonal_sizes(counted: DataFrame, furnished: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """zone, typ, m2u, n_furnished, excluded: is the narrow size window contaminated?"""
     sizes = counted.select("zone", "typ", F.col("m2").alias("m2u")).distinct()
-    f = p.window_factors[0]
-    key = ["zone", "typ", "m2u"]
-    pool = size_pairs(sizes, counted.groupBy("zone", "typ", "m2").agg(F.sum("n").alias("k")), f, p).groupBy(*key).agg(F.sum("k").alias("pool"))
-    furn = size_pairs(sizes, furnished.withColumnRenamed("n", "k"), f, p).groupBy(*key).agg(F.sum("k").alias("n_furnished"))
-    j = pool.join(furn, key, "left").fillna({"n_furnished": 0})
+    cells = counted.groupBy("zone", "typ", "m2").agg(F.sum("n").alias("pool")).join(furnished.select("zone", "typ", "m2", F.col("n").alias("n_furnished")), ["zone", "typ", "m2"], "full")
+    at, _ = window_counts(sizes, cells, {"0": p.window_factors[0]}, ["pool", "n_furnished"], p)
+    j = at.select("zone", "typ", "m2u", *[(F.col(f"hi_0.{c}") - F.col(f"lo_0.{c}")).alias(c) for c in ("pool", "n_furnished")])
     return j.withColumn("excluded", (F.col("n_furnished") >= p.seasonal_min_count)
                         & (F.col("n_furnished") / (F.col("n_furnished") + F.col("pool")) >= p.seasonal_max))
 

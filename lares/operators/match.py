@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lares.functions.exprs import freshness_reason, implausible_reason, size_band
 from lares.operators.asof import with_rate
-from lares.operators.quantiles import grouped_quantiles, windowed_quantiles
+from lares.operators.quantiles import grouped_quantiles
+from lares.operators.ranges import joined_on, middle, positions_at, range_quantiles, running_sums
 from lares.params import DEFAULT, Params
 from lares.session import cut
 
@@ -76,16 +77,22 @@ def zone_medians(candidates: DataFrame) -> DataFrame:
 # ----------------------------------------------------------------- size lattice
 
 
-def size_pairs(queries: DataFrame, cells: DataFrame, factor: float, p: Params = DEFAULT, group=("zone", "typ")) -> DataFrame:
-    """Pairs (query size ``m2u``, cell size ``m2``) at most max(3, factor*m2u) apart.
+def window_edges(factor: float, p: Params = DEFAULT) -> tuple[tuple, tuple]:
+    """Lower and upper edge of the sizes at most max(floor, factor * m2u) from ``m2u``."""
+    width = F.greatest(F.lit(p.window_floor_m2), F.col("m2u") * factor) + _TOL
+    return (F.col("m2u") - width, False), (F.col("m2u") + width, True)
 
-    Both sides are distinct sizes per group, not listings: the pair count is bounded by the
-    square of the size lattice (sizes under 140 m2) however many listings share a size.
-    """
-    q, c = queries.alias("q"), cells.alias("c")
-    cond = [F.col(f"q.{g}") == F.col(f"c.{g}") for g in group]
-    near = F.abs(F.col("c.m2") - F.col("q.m2u")) <= F.greatest(F.lit(p.window_floor_m2), F.col("q.m2u") * factor) + _TOL
-    return q.join(c, [*cond, near], "inner").select("q.*", *[F.col(f"c.{x}") for x in cells.columns if x not in group])
+
+def window_counts(sizes: DataFrame, cells: DataFrame, factors: dict[str, float], sums: list[str], p: Params = DEFAULT, more: dict | None = None, group=("zone", "typ")) -> tuple[DataFrame, DataFrame]:
+    """Running sums of ``cells`` at the edges lo_<name>, hi_<name> of every size's windows (and at the edges ``more``), and the cells in order."""
+    edges = {}
+    for name, f in factors.items():
+        edges[f"lo_{name}"], edges[f"hi_{name}"] = window_edges(f, p)
+    return running_sums(cells, sizes, list(group), ["m2u"], "m2", sums, edges | (more or {}))
+
+
+def _inside(name: str, what: str) -> Column:
+    return F.col(f"hi_{name}.{what}") - F.col(f"lo_{name}.{what}")
 
 
 def _counted(comps: DataFrame, value: Column) -> DataFrame:
@@ -97,46 +104,35 @@ def window_stats(sizes: DataFrame, comps: DataFrame, furnished: DataFrame, p: Pa
 
     Columns n_0..n_2, m2_0..m2_2, rent_0..rent_2, furn_0..furn_2, smaller_n, smaller_m2.
     Everything a unit needs depends only on its zone, type and size, so the work is done once
-    per distinct size. Rent medians come from counted values (windowed_quantiles), never from
-    a join of units to listings.
+    per distinct size, and no size meets the sizes of its window: counts are differences of
+    running sums, median sizes are looked up by rank, and rents are read from at most
+    ``2 log2`` aligned runs of sizes per window.
     """
-    key = ["zone", "typ", "m2u"]
-    widest = max(p.window_factors)
-    freq = cut(_counted(comps, F.col("rent")))
-    sizes, furnished = cut(sizes), cut(furnished)
-    cells = freq.groupBy("zone", "typ", "m2").agg(F.sum("_n").alias("n"))
-    pairs = size_pairs(sizes, cells, widest, p)
-    dist = F.abs(F.col("m2") - F.col("m2u"))
-    inside = lambda f: dist <= F.greatest(F.lit(p.window_floor_m2), F.col("m2u") * f) + _TOL
-    first = F.coalesce(*[F.when(inside(f), F.lit(i)) for i, f in enumerate(p.window_factors)])
-    k = len(p.window_factors)
-    windows = cut(pairs.withColumn("w", F.explode(F.sequence(first, F.lit(k - 1)))))
-
-    counts = windows.groupBy(*key).pivot("w", list(range(k))).agg(F.sum("n").alias("n"))
-    counts = counts.select(*key, *[F.coalesce(F.col(str(i)), F.lit(0)).alias(f"n_{i}") for i in range(k)])
-    # median size: bounded lattice, weighted by the number of listings at each size
-    med_m2 = windows.groupBy(*key, "w").agg(F.percentile(F.col("m2"), F.lit(0.5), F.col("n")).alias("med"))
-    med_rent = windowed_quantiles(windows.select(*key, "w", "m2"), freq, ["zone", "typ"], "m2", ["m2u", "w"], {"med": 0.5})
-    wide = lambda df, name: df.groupBy(*key).agg(*[
-        F.max(F.when(F.col("w") == i, F.col("med"))).alias(f"{name}_{i}") for i in range(k)])
-
-    fpairs = size_pairs(sizes, furnished.withColumnRenamed("n", "nf"), widest, p)
-    furn = fpairs.groupBy(*key).agg(*[
-        F.sum(F.when(inside(f), F.col("nf")).otherwise(0)).alias(f"furn_{i}") for i, f in enumerate(p.window_factors)])
-
-    smaller = (
-        sizes.alias("q").join(cells.alias("c"), ["zone", "typ"])
-        .where(F.col("c.m2") <= F.col("q.m2u") * p.smaller_factor + _TOL)
-        .select(*key, "m2", "n"))
-    per_m2 = freq.withColumn("_v", F.col("_v") / F.col("m2"))
-    sm = windowed_quantiles(smaller.select(*key, "m2"), per_m2, ["zone", "typ"], "m2", ["m2u"], {"smaller_m2": 0.5})
-    sm = sm.withColumnRenamed("n_values", "smaller_n")
-
-    out = sizes
-    for part in (counts, wide(med_m2, "m2"), wide(med_rent, "rent"), furn, sm):
-        out = out.join(part, key, "left")
-    zero = {c: 0 for c in [f"n_{i}" for i in range(k)] + [f"furn_{i}" for i in range(k)] + ["smaller_n"]}
-    return out.fillna(zero)
+    key, k = ["zone", "typ", "m2u"], len(p.window_factors)
+    freq, sizes = cut(_counted(comps, F.col("rent"))), cut(sizes)
+    cells = freq.groupBy("zone", "typ", "m2").agg(F.sum("_n").alias("n")).join(furnished.select("zone", "typ", "m2", F.col("n").alias("nf")), ["zone", "typ", "m2"], "full")
+    names = {str(i): f for i, f in enumerate(p.window_factors)}
+    at, ordered = window_counts(sizes, cells, names, ["n", "nf"], p, {"small": (F.col("m2u") * p.smaller_factor + _TOL, True)})
+    at = cut(at)
+    counts = at.select(*key, *[_inside(i, "n").alias(f"n_{i}") for i in names], *[_inside(i, "nf").alias(f"furn_{i}") for i in names], F.col("small.n").alias("smaller_n"))
+    ranks = {}
+    for i in names:
+        for end, r in zip("ab", middle(_inside(i, "n")), strict=True):
+            ranks[f"{end}_{i}"] = F.when(_inside(i, "n") > 0, F.col(f"lo_{i}.n") + r).otherwise(-1)
+    size = positions_at(ordered, at, ["zone", "typ"], ["m2u"], "m2", ranks)
+    size = size.select(*key, *[((F.col(f"a_{i}") + F.col(f"b_{i}")) / 2).alias(f"m2_{i}") for i in names])
+
+    # w 0 to k-1: rents in the windows; w = k: rents per m2 of the smaller ones
+    asked = [F.struct(F.lit(i).alias("w"), F.lit(0).alias("kind"), F.col(f"lo_{i}.rank").alias("low"), F.col(f"hi_{i}.rank").alias("high")) for i in range(k)]
+    asked.append(F.struct(F.lit(k).alias("w"), F.lit(1).alias("kind"), F.lit(0).cast("bigint").alias("low"), F.col("small.rank").alias("high")))
+    ranges = at.select(*key, F.explode(F.array(*asked)).alias("_q")).select(*key, "_q.*")
+    ranked = freq.join(ordered.select("zone", "typ", "m2", "rank"), ["zone", "typ", "m2"])
+    kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("_v")), F.struct(F.lit(1).alias("kind"), (F.col("_v") / F.col("m2")).alias("_v"))))
+    values = cut(ranked.select("zone", "typ", "rank", "_n", kinds.alias("_k")).select("zone", "typ", "rank", "_k.kind", "_k._v", "_n"))
+    med = range_quantiles(ranges, values, ["zone", "typ", "kind"], ["m2u", "w"], {"med": 0.5})
+    rents = med.groupBy(*key).agg(*[F.max(F.when(F.col("w") == i, F.col("med"))).alias(name) for i, name in enumerate([*[f"rent_{i}" for i in names], "smaller_m2"])])
+    zero = [*[f"n_{i}" for i in names], *[f"furn_{i}" for i in names], "smaller_n"]
+    return joined_on([sizes, counts, size, rents], key).fillna(dict.fromkeys(zero, 0))
 
 
 def decide(stats: DataFrame, p: Params = DEFAULT, seasonal_max=None, shift_max=None, elasticity=None) -> DataFrame:
@@ -317,13 +313,9 @@ def knn_rent(sizes: DataFrame, comps: DataFrame, k: int = 8) -> DataFrame:
 
 def seasonal_share(sizes: DataFrame, comps: DataFrame, furnished: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Furnished and clean counts in the narrow window of each distinct size."""
-    f = p.window_factors[0]
-    sizes = cut(sizes)
-    cells = comps.groupBy("zone", "typ", "m2").agg(F.count("*").alias("n"))
-    key = ["zone", "typ", "m2u"]
-    a = size_pairs(sizes, cells, f, p).groupBy(*key).agg(F.sum("n").alias("n_clean"))
-    b = size_pairs(sizes, furnished, f, p).groupBy(*key).agg(F.sum("n").alias("n_furnished"))
-    out = sizes.join(a, key, "left").join(b, key, "left").fillna(0)
+    cells = comps.groupBy("zone", "typ", "m2").agg(F.count("*").alias("n")).join(furnished.select("zone", "typ", "m2", F.col("n").alias("nf")), ["zone", "typ", "m2"], "full")
+    at, _ = window_counts(sizes, cells, {"0": p.window_factors[0]}, ["n", "nf"], p)
+    out = at.select("zone", "typ", "m2u", _inside("0", "n").alias("n_clean"), _inside("0", "nf").alias("n_furnished"))
     share = F.when(F.col("n_furnished") + F.col("n_clean") > 0,
                    F.col("n_furnished") / (F.col("n_furnished") + F.col("n_clean")))
     return out.withColumn("share", share).withColumn(

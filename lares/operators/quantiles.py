@@ -8,8 +8,10 @@ may hold a third of all rows, so ranks are found in two steps instead:
 2. counts per (group, value bucket) locate the bucket that holds each wanted rank; only
    the few buckets that hold one are read again and ranked, each as its own partition key.
 
-Buckets are a monotone logarithmic map, so there are at most a few thousand per group and
-the window over them is small whatever the row count is.
+Buckets are a monotone logarithmic map, fine enough (0.02 %) that one holds few distinct values of
+ordinary data, and their number per group is bounded by the range of the values, whatever the row
+count is. Where values may crowd closer than that, ``most`` splits every bucket that holds a wanted
+rank again, between its own least and greatest value, until none holds more distinct values.
 """
 
 from __future__ import annotations
@@ -19,8 +21,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lares.session import cut
+
 _EPS = 1e-3
-_FINE, _COARSE = 64.0, 16.0  # buckets per e-fold: 1.6 % and 6 % wide
+_FINE, _COARSE = 4096.0, 16.0  # buckets per e-fold: 0.02 % and 6 % wide
+_PARTS = 4096  # of a bucket that is split again
 
 
 def value_bucket(v: Column, resolution: float = _FINE) -> Column:
@@ -42,6 +47,12 @@ def _ranks(spec, total: Column):
     return lo, F.ceil(pos), pos - lo
 
 
+def _holds(specs: dict, total: Column, before: Column, upto: Column) -> Column:
+    """Does a run of rows from ``before`` to below ``upto`` hold a wanted rank?"""
+    wanted = [r for spec in specs.values() for r in _ranks(spec, total)[:2]]
+    return reduce(lambda a, b: a | b, [(r >= before) & (r < upto) for r in wanted])
+
+
 def _pick(hist: DataFrame, keys: list[str], specs: dict) -> DataFrame:
     """Buckets that hold a wanted rank, with the count before them and the group total."""
     part = Window.partitionBy(*keys)
@@ -50,12 +61,8 @@ def _pick(hist: DataFrame, keys: list[str], specs: dict) -> DataFrame:
         .withColumn("_total", F.sum("_n").over(part))
         .withColumn("_before", F.col("_cum") - F.col("_n"))
     )
-    wanted = []
-    for spec in specs.values():
-        lo, hi, _ = _ranks(spec, F.col("_total"))
-        wanted += [lo, hi]
-    holds = reduce(lambda a, b: a | b, [(r >= F.col("_before")) & (r < F.col("_cum")) for r in wanted])
-    return h.where(holds).select(*keys, "_b", "_before", "_total")
+    more = [c for c in ("_d", "_low", "_high") if c in hist.columns]
+    return h.where(_holds(specs, F.col("_total"), F.col("_before"), F.col("_cum"))).select(*keys, "_b", "_before", "_total", *more)
 
 
 def _finish(rows: DataFrame, keys: list[str], specs: dict) -> DataFrame:
@@ -77,11 +84,30 @@ def _finish(rows: DataFrame, keys: list[str], specs: dict) -> DataFrame:
     return out.select(*keys, *cols, "n_values")
 
 
-def grouped_quantiles(df: DataFrame, keys: list[str], value: Column, specs: dict, weight: Column | None = None) -> DataFrame:
+def _crowded(rows: DataFrame, most: int) -> DataFrame:
+    return rows.where((F.col("_d") > most) & (F.col("_low") < F.col("_high")))
+
+
+def _split(rows: DataFrame, keys: list[str], specs: dict) -> DataFrame:
+    """Rows of crowded buckets (keys, _b, _before, _total, _v, _n, _low, _high), cut down to the parts of them that hold a wanted rank."""
+    part = F.least(F.lit(_PARTS - 1), F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * _PARTS)).cast("int")
+    rows = rows.withColumn("_part", part).select(*keys, "_b", "_before", "_total", "_v", "_n", "_part")
+    path = [*keys, "_b"]
+    hist = rows.groupBy(*path, "_before", "_total", "_part").agg(F.sum("_n").alias("_k"), F.count("*").alias("_d"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    upto = F.sum("_k").over(Window.partitionBy(*path).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0))
+    hist = hist.withColumn("_end", F.col("_before") + upto).withColumn("_before", F.col("_end") - F.col("_k"))
+    need = hist.where(_holds(specs, F.col("_total"), F.col("_before"), F.col("_end"))).select(*path, "_part", "_before", "_d", "_low", "_high")
+    cond = [F.col(f"r.{k}").eqNullSafe(F.col(f"q.{k}")) for k in [*path, "_part"]]
+    out = rows.alias("r").join(need.alias("q"), cond)
+    return out.select(*[F.col(f"r.{k}").alias(k) for k in keys], F.xxhash64("r._b", "r._part").alias("_b"), "q._before", "r._total", "r._v", "r._n", "q._d", "q._low", "q._high")
+
+
+def grouped_quantiles(df: DataFrame, keys: list[str], value: Column, specs: dict, weight: Column | None = None, most: int | None = None) -> DataFrame:
     """One row per group with every spec of ``specs`` ({name: probability or upper_median()}).
 
     NULL values are left out; groups without any value do not appear. ``n_values`` is the
-    number of values counted.
+    number of values counted. With ``most`` no task ranks more than so many distinct values of a
+    group, however close they lie; each round of splitting writes the rows that are left.
     """
     w = F.lit(1) if weight is None else weight
     freq = (
@@ -90,12 +116,19 @@ def grouped_quantiles(df: DataFrame, keys: list[str], value: Column, specs: dict
         .groupBy(*keys, "_v").agg(F.sum("_w").alias("_n"))
         .withColumn("_b", value_bucket(F.col("_v")))
     )
-    hist = freq.groupBy(*keys, "_b").agg(F.sum("_n").alias("_n"))
+    if most is not None:
+        freq = cut(freq)
+    hist = freq.groupBy(*keys, "_b").agg(F.sum("_n").alias("_n"), F.count("*").alias("_d"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
     need = _pick(hist, keys, specs)
     cond = [F.col(f"f.{k}").eqNullSafe(F.col(f"q.{k}")) for k in keys] + [F.col("f._b") == F.col("q._b")]
     rows = freq.alias("f").join(need.alias("q"), cond).select(
-        *[F.col(f"f.{k}").alias(k) for k in keys], F.col("f._b").alias("_b"),
-        "f._v", "f._n", "q._before", "q._total")
+        *[F.col(f"f.{k}").alias(k) for k in keys], F.col("f._b").cast("bigint").alias("_b"),
+        "q._before", "q._total", "f._v", "f._n", "q._d", "q._low", "q._high")
+    if most is not None:
+        rows = cut(rows)
+        while not _crowded(rows, most).isEmpty():
+            few = rows.where((F.col("_d") <= most) | (F.col("_low") >= F.col("_high")))
+            rows = cut(few.unionByName(_split(_crowded(rows, most), keys, specs)))
     return _finish(rows, keys, specs)
 
 
