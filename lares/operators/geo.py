@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lares.functions.exprs import distance_capped_m, distance_m
 from lares.params import DEFAULT, Params
+from lares.session import cut
 
 _POLE = 89.9  # columns are sized by their row's latitude up to here
+#: Rings beyond the first reach, the last one without limit; the finest cells are 8 ** 2 times finer than the reach.
+_RINGS, _FINEST = 5, -2
 
 
 def _row(lat: Column, reach_m: float) -> Column:
@@ -36,33 +41,90 @@ def _index(centres: DataFrame, group: list[str], reach_m: float, name: str, attr
         F.collect_list(F.struct("clat", "clon", *attrs)).alias(f"_c{name}"))
 
 
-def nearest(points: DataFrame, centres: DataFrame, group: list[str], attrs: list[str], reach_m: float = 2500.0,
-            distance=distance_m) -> DataFrame:
+def _bounds(box: Column) -> tuple[Column, Column]:
+    """Least and greatest distance that a place in ``box`` can have from the point."""
+    lat, lon, k = F.col("lat"), F.col("lon"), 111_320.0
+    scale = [F.greatest(F.cos(F.radians((lat + box[x]) / 2)), F.lit(0.0)) for x in ("s", "n")]
+    straddles = ((lat + box["s"]) <= 0) & ((lat + box["n"]) >= 0)
+    dy, dx = (F.greatest(F.lit(0.0), box[lo] - v, v - box[hi]) for v, lo, hi in ((lat, "s", "n"), (lon, "w", "e")))
+    fy, fx = (F.greatest(F.abs(v - box[lo]), F.abs(v - box[hi])) for v, lo, hi in ((lat, "s", "n"), (lon, "w", "e")))
+    far = F.when(straddles, 1.0).otherwise(F.greatest(*scale))
+    return F.hypot(dy * k, dx * k * F.least(*scale)) * (1 - 1e-9), F.hypot(fy * k, fx * k * far) * (1 + 1e-9)
+
+
+_BOX = {"s": F.min, "n": F.max, "w": F.min, "e": F.max}
+
+
+def _boxed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One box per (keys, cell _y, _x) around its centres, as an array per ``keys``: a bounded number of cells."""
+    at = {"s": "clat", "n": "clat", "w": "clon", "e": "clon"}
+    boxes = rows.groupBy(*keys, "_y", "_x").agg(*[f(at[k]).alias(k) for k, f in _BOX.items()])
+    return boxes.groupBy(*keys).agg(F.collect_list(F.struct("_y", "_x", *_BOX)).alias("_boxes"))
+
+
+def _opened(frontier: DataFrame) -> DataFrame:
+    """A row per box that can hold the nearest centre of its point (``_pid``); boxes farther than another's far side go."""
+    measured = F.transform("_boxes", lambda b: F.struct(b["_y"].alias("_y"), b["_x"].alias("_x"), _bounds(b)[0].alias("near"), _bounds(b)[1].alias("far")))
+    rows = frontier.withColumn("_m", measured).withColumn("_far", F.array_min(F.transform("_m", lambda b: b["far"])))
+    rows = rows.withColumn("_far", F.min("_far").over(Window.partitionBy("_pid")))
+    some = F.filter("_m", lambda b: b["near"] <= F.col("_far"))
+    return rows.withColumn("_m", F.explode(some)).drop("_y", "_x", "_boxes", "_far").select("*", "_m._y", "_m._x").drop("_m").distinct()
+
+
+def _ring(points: DataFrame, centres: DataFrame, group: list[str], reach_m: float, k: int, last: bool) -> DataFrame:
+    """_pid, _best: the nearest centre in the cells around each point at the ``k``-th reach (in the whole group at the last).
+
+    From cells of an eighth of that reach the search goes down, eightfold finer each time. At each
+    level only boxes around the centres of a cell are looked at, and only those that can hold the
+    nearest; centres themselves are met in the finest cells.
+    """
+    side = lambda level: reach_m * 8.0 ** level
+    inner = lambda level: dict(zip(("_y", "_x"), _cell(F.col("clat"), F.col("clon"), side(level)), strict=True))
+    pts = points.select("_pid", "lat", "lon", *group)
+    if last:
+        frontier = pts.join(_boxed(centres.withColumns(inner(k - 1)), group), group)
+    else:
+        rows = centres.withColumn("_cy", F.explode(F.array(*[_row(F.col("clat"), side(k)) + d for d in (-1, 0, 1)])))
+        rows = rows.withColumn("_cx", F.explode(F.array(*[_column(F.col("clon"), F.col("_cy"), side(k)) + d for d in (-1, 0, 1)])))
+        y, x = _cell(F.col("lat"), F.col("lon"), side(k))
+        keys = [*group, "_cy", "_cx"]
+        frontier = pts.withColumn("_cy", y).withColumn("_cx", x).join(_boxed(rows.withColumns(inner(k - 1)), keys), keys).drop("_cy", "_cx")
+    frontier = _opened(frontier)
+    for level in range(k - 2, _FINEST - 1, -1):
+        y, x = _cell(F.col("clat"), F.col("clon"), side(level + 1))
+        below = _boxed(centres.withColumn("_cy", y).withColumn("_cx", x).withColumns(inner(level)), [*group, "_cy", "_cx"])
+        frontier = _opened(frontier.withColumnsRenamed({"_y": "_cy", "_x": "_cx"}).join(below, [*group, "_cy", "_cx"]).drop("_cy", "_cx"))
+    met = frontier.join(centres.withColumns(inner(_FINEST)), [*group, "_y", "_x"])
+    return met.groupBy("_pid").agg(F.min(F.struct(distance_m(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon")).alias("distance_m"), "_a")).alias("_best"))
+
+
+def nearest(points: DataFrame, centres: DataFrame, group: list[str], attrs: list[str], reach_m: float = 2500.0, most: int = 256) -> DataFrame:
     """Adds ``distance_m`` and the ``attrs`` of the nearest centre of the point's group (ties by attrs).
 
-    Exact search on a grid: a centre at most ``reach_m`` away lies in the point's cell or a
-    neighbouring one. Points without one look at a coarser grid, and only then at all centres
-    of their group. Points are never multiplied and never shuffled by id: each joins one row
-    per level, and the minimum is taken inside that row's array.
+    Exact. A centre at most ``reach_m`` away lies in the point's grid cell or a neighbouring one, so
+    nearly all points are settled by one join with a cell's centres, inside that row's array. Only
+    points without such a centre, or with more than ``most`` around them, go on: to rings of eight
+    times the reach each, until their nearest centre is within the ring. Nothing ever gathers the
+    centres of a group. The result is written.
     """
-    levels = [("a", reach_m), ("b", reach_m * 12)]
-    out = points
-    best = []
-    rank = lambda arr: F.array_min(F.transform(arr, lambda c: F.struct(
-        distance(F.col("lat"), F.col("lon"), c["clat"], c["clon"]).alias("distance_m"), *[c[a].alias(a) for a in attrs])))
-    for name, reach in levels:
-        idx = _index(centres, group, reach, name, attrs)
-        y, x = _cell(F.col("lat"), F.col("lon"), reach)
-        out = out.withColumn(f"_y{name}", y).withColumn(f"_x{name}", x).join(idx, [*group, f"_y{name}", f"_x{name}"], "left")
-        b = rank(F.col(f"_c{name}"))
-        best.append((b, reach))
-    whole = centres.groupBy(*group).agg(F.collect_list(F.struct("clat", "clon", *attrs)).alias("_all"))
-    out = out.join(whole, group, "left")
-    pick = rank(F.col("_all"))
-    for b, reach in reversed(best):
-        pick = F.when(b["distance_m"] <= reach, b).otherwise(pick)
-    out = out.withColumn("_best", pick)
-    return out.select("*", "_best.*").drop("_best", "_all", *[f"_{k}{n}" for n, _ in levels for k in "yxc"])
+    one = cut(centres.where("clat IS NOT NULL AND clon IS NOT NULL").groupBy(*group, "clat", "clon").agg(F.min(F.struct(*attrs)).alias("_a")))
+    idx = _index(one, group, reach_m, "a", ["_a"]).where(F.size("_ca") <= most)
+    y, x = _cell(F.col("lat"), F.col("lon"), reach_m)
+    best = F.array_min(F.transform("_ca", lambda c: F.struct(distance_m(F.col("lat"), F.col("lon"), c["clat"], c["clon"]).alias("distance_m"), c["_a"].alias("_a"))))
+    rows = points.withColumn("_pid", F.monotonically_increasing_id()).withColumn("_ya", y).withColumn("_xa", x).join(idx, [*group, "_ya", "_xa"], "left")
+    rows = cut(rows.withColumn("_best", best).withColumn("_best", F.when(F.col("_best.distance_m") <= reach_m, F.col("_best"))).drop("_ya", "_xa", "_ca"))
+    open_ = "_best IS NULL AND lat IS NOT NULL AND lon IS NOT NULL"
+    parts, left = [rows.where(f"NOT ({open_})")], rows.where(open_)
+    for k in range(1, _RINGS + 1):
+        if left.isEmpty():
+            break
+        last = k == _RINGS
+        tried = cut(left.drop("_best").join(_ring(left, one, group, reach_m, k, last), "_pid", "left"))
+        found = F.lit(True) if last else F.coalesce(F.col("_best.distance_m") <= reach_m * 8.0 ** k, F.lit(False))
+        parts.append(tried.where(found))
+        left = tried.where(~found)
+    out = reduce(DataFrame.unionByName, parts)
+    return out.select(*points.columns, "_best.distance_m", *[F.col(f"_best._a.{a}").alias(a) for a in attrs])
 
 
 def nearest_within(points: DataFrame, centres: DataFrame, group: list[str], attrs: list[str], cap_m: float = DEFAULT.zone_max_distance_m) -> DataFrame:

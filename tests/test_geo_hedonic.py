@@ -205,3 +205,24 @@ def test_components_on_chains_stars_and_singles(spark):
         parent[max(ra, rb)] = min(ra, rb)
     got = {r.node: r.component for r in graph.components(spark.createDataFrame([(n,) for n in nodes], "node string"), spark.createDataFrame(edges, "a string, b string")).collect()}
     assert got == {n: find(n) for n in nodes}
+
+
+def test_nearest_in_a_group_of_many_centres(spark):
+    """A hundred thousand centres in one group, dense ones, far points, ties and points without a place: equal to brute force."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    n = 100_000
+    lat, lon = np.round(r.uniform(-34, -33, n), 4), np.round(r.uniform(-71, -70, n), 4)
+    lat[:20_000], lon[:20_000] = np.round(r.normal(-33.4, 0.003, 20_000), 6), np.round(r.normal(-70.5, 0.003, 20_000), 6)
+    centres = spark.createDataFrame(list(zip(["g"] * n, [f"z{i:06d}" for i in range(n)], lat.tolist(), lon.tolist())) + [("h", "only", 60.0, 100.0)], "g string, zone string, clat double, clon double")
+    pts = [(-33.4, -70.5), (-33.41, -70.49), (-33.5, -70.2), (-30.0, -70.5), (10.0, 20.0), (80.0, 170.0), (-33.9999, -70.0001), (-36.0, -69.0), (float(lat[7]), float(lon[7]))]
+    pts += list(zip(r.uniform(-34.2, -32.8, 200).tolist(), r.uniform(-71.2, -69.8, 200).tolist()))
+    rows = [(i, "g", a, b) for i, (a, b) in enumerate(pts)] + [(1000, "h", -33.0, -70.0), (1001, "none", -33.0, -70.0), (1002, "g", None, -70.0), (1003, None, -33.0, -70.0)]
+    got = {x.id: (x.zone, x.distance_m) for x in G.nearest(spark.createDataFrame(rows, "id int, g string, lat double, lon double"), centres, ["g"], ["zone"]).collect()}
+    assert len(got) == len(rows)
+    for i, (a, b) in enumerate(pts):
+        d = np.hypot((a - lat) * 111_320.0, (b - lon) * np.cos(np.radians((a + lat) / 2)) * 111_320.0)
+        at = np.flatnonzero(d <= d.min() * (1 + 1e-13))
+        assert abs(got[i][1] - d.min()) < 1e-6 and got[i][0] in {f"z{j:06d}" for j in at}
+    assert got[1000][0] == "only" and [got[i] for i in (1001, 1002, 1003)] == [(None, None)] * 3
