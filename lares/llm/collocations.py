@@ -124,6 +124,13 @@ def phrase_keys(words: np.ndarray, seeds: np.ndarray, longest: int) -> list[np.n
     return keys
 
 
+def phrase_keys_of(words: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Names of the beginnings of phrases [phrase][word]; the last is the phrase's own."""
+    n, k = words.shape
+    flat = phrase_keys(words.ravel(), np.repeat(seeds, k), k) if n else []
+    return np.stack([flat[j][::k][:n] if n else np.empty(0, np.uint64) for j in range(k)], 1)
+
+
 def _joined(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all rows of a batch (lang, words) behind one another, a break behind each, and the seed of each one's language."""
     flat = b.column(1).flatten().to_numpy().view(np.uint64)
@@ -156,6 +163,20 @@ def _active(words: np.ndarray, keys: list[np.ndarray], reached: np.ndarray, step
 _STATE = np.dtype([("key", "u8"), ("n", "i8"), ("shards", "u1"), ("first", "u1"), ("k", "u1")])
 
 
+def packed(s: np.ndarray) -> bytes:
+    """Phrases in the order of their names, byte by byte of the distances between names and of each field: Spark's codecs then store little but the distances."""
+    gaps = np.diff(s["key"], prepend=np.uint64(0))
+    return b"".join(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(s), -1).T).tobytes() for x in (gaps, s["n"], s["shards"], s["first"], s["k"]))
+
+
+def unpacked(blob) -> np.ndarray:
+    data = np.frombuffer(blob, np.uint8).reshape(_STATE.itemsize, -1)
+    s = np.empty(data.shape[1], _STATE)
+    field = lambda a, kind: np.ascontiguousarray(data[a : a + 8].T).view(kind).ravel()
+    s["key"], s["n"], s["shards"], s["first"], s["k"] = np.cumsum(field(0, np.uint64), dtype=np.uint64), field(8, np.int64), data[16], data[17], data[18]
+    return s
+
+
 def _sent(spark: SparkSession, reached: np.ndarray) -> Broadcast:
     """The table as a broadcast: SLOTS bytes at most, far fewer while most are 0."""
     return spark.sparkContext.broadcast(zlib.compress(reached.tobytes(), 1))
@@ -182,7 +203,7 @@ def counted_step(shard: DataFrame, state: DataFrame | None, sent: Broadcast, slo
             order = np.argsort(bucket, kind="stable")
             state = state[order]
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            some = [(i, state[a:b].tobytes()) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+            some = [(i, packed(state[a:b])) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
             return pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary())], names=["bucket", "blob"])
 
         for b in batches:
@@ -204,7 +225,7 @@ def counted_step(shard: DataFrame, state: DataFrame | None, sent: Broadcast, slo
         by: dict[int, list[np.ndarray]] = {}
         for b in batches:
             for bucket, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                by.setdefault(bucket, []).append(np.frombuffer(blob.as_buffer(), _STATE).copy())
+                by.setdefault(bucket, []).append(unpacked(blob.as_buffer()))
         for bucket in list(by):
             s = np.concatenate(by.pop(bucket))
             s = s[np.lexsort((s["first"], s["key"]))]
@@ -221,7 +242,7 @@ def counted_step(shard: DataFrame, state: DataFrame | None, sent: Broadcast, slo
             fresh = out[(out["n"] >= least) & (old < least)]
             out = out[(out["n"] >= least) | (step < out["first"].astype(np.int64) + shards - 1)]
             marks = (fresh["key"] & np.uint64(slots - 1)).astype(np.int64) * 8 + fresh["k"]
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([out.tobytes()], pa.binary()), pa.array([np.unique(marks)], pa.list_(pa.int64()))], names=["bucket", "blob", "fresh"])
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([packed(out)], pa.binary()), pa.array([np.unique(marks)], pa.list_(pa.int64()))], names=["bucket", "blob", "fresh"])
 
     rows = shard.select("lang", "words").mapInArrow(scan, "bucket int, blob binary")
     if state is not None:
@@ -229,20 +250,24 @@ def counted_step(shard: DataFrame, state: DataFrame | None, sent: Broadcast, slo
     return rows.repartition(buckets, "bucket").mapInArrow(merge, "bucket int, blob binary, fresh array<long>")
 
 
-def _mark(reached: np.ndarray, state: DataFrame, step: int) -> set[int]:
-    """Enters the phrases that have just reached the threshold; their lengths. The driver gets a bit map of at most SLOTS bits."""
-    fresh = state.select(F.explode("fresh").alias("_f"))
-    lengths = {r["k"] for r in fresh.select((F.col("_f") % 8).alias("k")).distinct().collect()}
-    slot = fresh.select(F.shiftright("_f", 3).alias("_s"))
+def _entered(table: np.ndarray, slots: DataFrame, value: int) -> None:
+    """Enters ``value`` at the ``slots`` (one column). The driver gets a bit map of at most SLOTS bits."""
+    slot = slots.toDF("_s")
     words = slot.groupBy(F.shiftright("_s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, (_s % 64)::int))").alias("b")).toArrow()
     bits = np.unpackbits(words.column("b").to_numpy().view(np.uint8), bitorder="little").reshape(-1, 64)
     row, bit = np.nonzero(bits)
-    reached[words.column("w").to_numpy()[row] * 64 + bit] = step + 1
-    return lengths
+    table[words.column("w").to_numpy()[row] * 64 + bit] = value
+
+
+def _mark(reached: np.ndarray, state: DataFrame, step: int) -> set[int]:
+    """Enters the phrases that have just reached the threshold; their lengths."""
+    fresh = state.select(F.explode("fresh").alias("_f"))
+    _entered(reached, fresh.select(F.shiftright("_f", 3)), step + 1)
+    return {r["k"] for r in fresh.select((F.col("_f") % 8).alias("k")).distinct().collect()}
 
 
-def counts(spark: SparkSession, folder: str, words: int, shards: int = SHARDS, least: int = LEAST, slots: int = SLOTS) -> tuple[DataFrame, np.ndarray]:
-    """key, k, n of every phrase that occurs ``least`` times or more in its language, and the table that says so roughly."""
+def counts(spark: SparkSession, folder: str, words: int, shards: int = SHARDS, least: int = LEAST, slots: int = SLOTS) -> DataFrame:
+    """key, k, n of every phrase that occurs ``least`` times or more in its language."""
     reached = np.zeros(slots, np.uint8)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // PHRASES_OF_BUCKET))
     shard_of = lambda t: spark.read.schema(_SHARD_SCHEMA).parquet(folder).where(F.col("shard") == t % shards)
@@ -261,42 +286,90 @@ def counts(spark: SparkSession, folder: str, words: int, shards: int = SHARDS, l
     def unpack(batches):
         for b in batches:
             for blob in b.column(0):
-                s = np.frombuffer(blob.as_buffer(), _STATE)
+                s = unpacked(blob.as_buffer())
                 s = s[s["n"] >= least]
                 yield pa.RecordBatch.from_arrays([pa.array(s["key"].view(np.int64) if len(s) else np.empty(0, np.int64)), pa.array(s["k"].astype(np.int32)), pa.array(s["n"].astype(np.int64))], names=["key", "k", "n"])
 
-    return state.select("blob").mapInArrow(unpack, "key long, k int, n long"), reached
+    return state.select("blob").mapInArrow(unpack, "key long, k int, n long")
 
 
-def occurring(spark: SparkSession, folder: str, reached: np.ndarray) -> DataFrame:
-    """key, lang, k, words, left, right of the phrases of two words or more that may have reached the threshold: word hashes, names of all beginnings and all ends."""
-    sent = _sent(spark, reached)
+def _occurring(shard: DataFrame, sent: Broadcast, parts: int) -> DataFrame:
+    """key, lang, k, words, left, right of the phrases of two words or more whose slot is taken: word hashes, names of all beginnings and all ends. Distinct by key."""
 
-    def run(batches):
-        seen, reached = set(), _received(sent)
+    def find(batches):
+        seen, wanted = np.empty(0, np.uint64), _received(sent)
         for b in batches:
             words, seeds = _joined(b)
             keys = phrase_keys(words, seeds, LONGEST)
-            langs = dict(zip((int(_lang_seed(x)) for x in set(b.column(0).to_pylist())), set(b.column(0).to_pylist()), strict=True))
-            inside, out = words != 0, []
+            inside, rows = words != 0, []
             for k in range(2, LONGEST + 1):
                 n = max(len(words) - k + 1, 0)
                 inside = inside[:n] & (words[k - 1 :] != 0)
                 at = np.flatnonzero(inside)
-                at = at[reached[keys[k - 1][at] & np.uint64(len(reached) - 1)] > 0]
+                at = at[wanted[keys[k - 1][at] & np.uint64(len(wanted) - 1)] > 0]
                 key, first = np.unique(keys[k - 1][at], return_index=True)
-                for x, p in zip(key.tolist(), at[first].tolist(), strict=True):
-                    if x not in seen:
-                        if len(seen) > 2_000_000:
-                            seen.clear()
-                        seen.add(x)
-                        signed = lambda v: v.view(np.int64).tolist()
-                        out.append((x - (1 << 64) if x >> 63 else x, langs[int(seeds[p])], k, signed(words[p : p + k]), [int(keys[j][p].view(np.int64)) for j in range(k - 1)], [int(keys[k - 2 - j][p + 1 + j].view(np.int64)) for j in range(k - 1)]))
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32(), *[pa.list_(pa.int64())] * 3), strict=True)], names=["key", "lang", "k", "words", "left", "right"])
+                new = ~np.isin(key, seen)
+                at, key = at[first[new]], key[new]
+                row = np.zeros((len(at), LONGEST + 2), np.uint64)
+                row[:, 0], row[:, 1] = key, seeds[at]
+                for j in range(k):
+                    row[:, 2 + j] = words[at + j]
+                rows.append(row)
+            row = np.concatenate(rows)
+            seen = np.union1d(seen if len(seen) < GATHER else seen[:0], row[:, 0])
+            bucket = ((row[:, 0] >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[order], np.arange(parts + 1))
+            some = [(i, row[order[x:y]].tobytes()) for i, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if y > x]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary())], names=["bucket", "blob"])
+
+    def once(batches):
+        seen = np.empty(0, np.uint64)
+        for b in batches:
+            row = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64).reshape(-1, LONGEST + 2) for x in b.column(1)])
+            key, first = np.unique(row[:, 0], return_index=True)
+            row = row[first[~np.isin(key, seen)]]
+            seen = np.union1d(seen, key)
+            out = []
+            length = np.count_nonzero(row[:, 2:], axis=1)
+            for k in range(2, LONGEST + 1):
+                r = row[length == k]
+                ends = [phrase_keys_of(r[:, 2 + j : 2 + k], r[:, 1]) for j in range(k)]
+                left, right = np.stack([ends[0][:, j] for j in range(k - 1)], 1), np.stack([ends[j][:, -1] for j in range(1, k)], 1)
+                out.append((r, k, left, right))
+            cols = [[x for r, *_ in out for x in r[:, 0].view(np.int64).tolist()], [x for r, *_ in out for x in r[:, 1].view(np.int64).tolist()], [k for r, k, *_ in out for _ in r],
+                    [x for r, k, *_ in out for x in r[:, 2 : 2 + k].view(np.int64).tolist()], [x for *_, le, _ in out for x in le.view(np.int64).tolist()], [x for *_, ri in out for x in ri.view(np.int64).tolist()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * 3), strict=True)], names=["key", "seed", "k", "words", "left", "right"])
+
+    found = shard.select("lang", "words").mapInArrow(find, "bucket int, blob binary")
+    return found.repartition(parts, "bucket").mapInArrow(once, "key long, seed long, k int, words array<long>, left array<long>, right array<long>")
+
+
+def phrases(spark: SparkSession, folder: str, frequent: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
+    """key, seed, k, words, left, right, a of the phrases of ``frequent`` (key, k, n) with two words or more.
+
+    A frequent phrase nearly always occurs in the first shard; the others are looked through only for what is still missing.
+    """
+    missing, found = cut(frequent.where("k > 1").select("key", F.col("n").alias("a"))), None
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for t in range(shards):
+        if found is not None and missing.isEmpty():
+            break
+        wanted = np.zeros(slots, np.uint8)
+        _entered(wanted, missing.select(F.col("key").bitwiseAND(F.lit(slots - 1))), 1)
+        sent = _sent(spark, wanted)
+        shard = spark.read.schema(_SHARD_SCHEMA).parquet(folder).where(F.col("shard") == t)
+        here = cut(_occurring(shard, sent, parts).join(missing, "key"))
+        sent.destroy()
+        found = here if found is None else found.unionByName(here)
+        missing = cut(missing.join(here.select("key"), "key", "left_anti"))
+    return found
+
 
-    shards = spark.read.schema(_SHARD_SCHEMA).parquet(folder).where("shard >= 0")
-    return shards.select("lang", "words").mapInArrow(run, "key long, lang string, k int, words array<long>, left array<long>, right array<long>").dropDuplicates(["key"])
+def _seeds(batches):
+    for b in batches:
+        seeds = [int(_lang_seed(x).view(np.int64)) for x in b.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(seeds, pa.int64())], names=["lang", "seed"])
 
 
 def mined(docs: DataFrame, shards: int = SHARDS, least: int = LEAST, first: int = FIRST) -> DataFrame:
@@ -306,9 +379,10 @@ def mined(docs: DataFrame, shards: int = SHARDS, least: int = LEAST, first: int
     everything = spark.read.schema(_SHARD_SCHEMA).parquet(folder)
     total = cut(everything.where("shard >= 0").groupBy("lang").agg(F.sum("n").alias("n")))
     words = total.agg(F.sum("n")).first()[0] or 0
-    frequent, reached = counts(spark, folder, words, shards, least)
-    frequent = cut(frequent)
-    found = cut(occurring(spark, folder, reached).join(frequent.select("key", F.col("n").alias("a")), "key"))
+    frequent = cut(counts(spark, folder, words, shards, least))
+    # languages are few; their names are hashed once to meet the seeds
+    seeds = total.select("lang").mapInArrow(_seeds, "lang string, seed long")
+    found = cut(phrases(spark, folder, frequent, shards).join(seeds, "seed").drop("seed"))
     # a phrase goes when one that is longer by a word occurs as often; longer ones can't without such a one between
     longer = found.where("k > 2").select(F.explode(F.array(F.element_at("left", -1), F.element_at("right", 1))).alias("key"), "a").groupBy("key").agg(F.max("a").alias("_longer"))
     kept = cut(found.join(longer, "key", "left").where("_longer IS NULL OR 100 * a > 100 * _longer").select("key", "lang", "words", "a", "left", "right"))

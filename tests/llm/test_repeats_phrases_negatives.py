@@ -147,7 +147,7 @@ def test_collocations_with_few_slots(spark):
     rows = _prose(7, 60)
     docs = spark.createDataFrame([(i, x, t) for i, (x, t) in enumerate(rows)], "doc_id long, lang string, text string").repartition(2)
     folder = collocations.folder_of(docs, 3)
-    frequent, _ = collocations.counts(spark, folder, 1, 3, 8, 64)
+    frequent = collocations.counts(spark, folder, 1, 3, 8, 64)
     f = Counter()
     import re
 
