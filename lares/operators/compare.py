@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lares.operators import invest as I
 from lares.operators import match as M
+from lares.operators.order import numbered
 from lares.params import DEFAULT, Params
 from lares.session import cut
 
@@ -41,11 +42,6 @@ def top_diff(old: DataFrame, new: DataFrame) -> DataFrame:
         F.coalesce("a.unit_key", "b.unit_key").alias("unit_key"), F.col("a.price").alias("before"), F.col("b.price").alias("after"), state.alias("state"))
 
 
-def save_snapshot(top: DataFrame, path: str, run_date: str) -> None:
-    """One snapshot per run date; a rerun of the day replaces it."""
-    top.withColumn("run_date", F.lit(run_date)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date").parquet(path)
-
-
 def collapse_effect(with_collapse: DataFrame, without: DataFrame, big: float = 0.10) -> DataFrame:
     """Effect of collapsing relistings on the assigned rents (both: unit_key, rent)."""
     a, b = without.alias("a"), with_collapse.alias("b")
@@ -93,14 +89,9 @@ def catalyst_sweep(live: DataFrame, catalysts: DataFrame, base_factor: float, sh
                                    F.avg("catalyst").alias("mean_catalyst"))
 
 
-def positions_by(scored: DataFrame, group: str, buckets_per_unit: float = 1000.0) -> DataFrame:
-    """Position by descending score inside each parameter set, through score buckets."""
-    b = scored.withColumn("_b", F.floor(F.round("score", 9) * buckets_per_unit))
-    counts = b.groupBy(group, "_b").agg(F.count("*").alias("_n"))
-    above = Window.partitionBy(group).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_above", F.coalesce(F.sum("_n").over(above), F.lit(0))).drop("_n")
-    inside = Window.partitionBy(group, "_b").orderBy(F.desc(F.round("score", 9)), "unit_key")
-    return b.withColumn("_r", F.row_number().over(inside)).join(offsets, [group, "_b"]).withColumn("position", F.col("_above") + F.col("_r"))
+def positions_by(scored: DataFrame, group: str) -> DataFrame:
+    """Position by descending score inside each parameter set."""
+    return numbered(scored, [F.round("score", 9).desc(), F.col("unit_key").asc()], [group])
 
 
 def reconfirm_state(top: DataFrame, visited: DataFrame, today) -> DataFrame:

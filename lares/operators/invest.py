@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lares.functions import finance as fin
+from lares.operators.order import numbered
 from lares.params import DEFAULT, Params
 from lares.session import cut, settle
 
@@ -286,21 +287,9 @@ def top_n(scored: DataFrame, n: int, by: str = "score") -> DataFrame:
     return best.withColumn("position", F.row_number().over(Window.orderBy(key, "unit_key")))
 
 
-def global_position(scored: DataFrame, by: str = "score", buckets_per_unit: float = 1000.0) -> DataFrame:
-    """Position of every row by descending score without sorting everything in one task.
-
-    Rows are numbered inside score buckets; the offset of a bucket is the count above it.
-    A score lies in [0, 100], so there are at most 100 001 buckets.
-    """
-    key = F.round(by, 9)
-    b = scored.withColumn("_b", F.floor(key * buckets_per_unit))
-    counts = b.groupBy("_b").agg(F.count("*").alias("_n"))
-    above = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_above", F.coalesce(F.sum("_n").over(above), F.lit(0))).drop("_n")
-    inside = Window.partitionBy("_b").orderBy(key.desc(), "unit_key")
-    return (
-        b.withColumn("_r", F.row_number().over(inside)).join(offsets, "_b")
-        .withColumn("position", F.col("_above") + F.col("_r")).drop("_b", "_r", "_above"))
+def global_position(scored: DataFrame, by: str = "score") -> DataFrame:
+    """Position of every row by descending score, ties by key."""
+    return numbered(scored, [F.round(by, 9).desc(), F.col("unit_key").asc()])
 
 
 def score_drivers(scored: DataFrame, k: int = 2) -> DataFrame:

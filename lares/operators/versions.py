@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lares.functions.exprs import lit_or
 from lares.operators.asof import rate_by_day
 from lares.operators.ordered import with_neighbour
+from lares.operators.ranges import _running
 from lares.params import DEFAULT, Params
 from lares.session import cut as written
 
@@ -85,6 +86,56 @@ def canonical_versions(captures: DataFrame, canonical: str = "card") -> DataFram
     return versions(one_per_instant(chosen)).join(attrs, "unit_key")
 
 
+#: Microseconds of a day: the slice of time in which lookups of a unit's versions meet.
+_DAY = 86_400_000_000.0
+
+
+def fold_batch(open_: DataFrame, batch: DataFrame, attrs: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One batch of a source with a single surface folded into its state: (closed versions, open versions, counts).
+
+    ``open_`` is the state, a row per unit: unit_key, price, valid_from, fetched_at and ``attrs``;
+    ``batch``: unit_key, captured, price, event_id and ``attrs``. A capture older than the start of
+    its unit's open version changes nothing and is counted, as is one without a price. The same
+    price confirms the version and fills attributes that are still missing, never ones that are
+    there; another price closes it and opens the next, with the capture's own attributes. Captures
+    of a batch are taken in the order of time. The state is all that is kept between batches.
+    """
+    cols = ["unit_key", "captured", "price", "event_id", *attrs]
+    known = open_.select("unit_key", F.col("price").alias("_p"), F.col("valid_from").alias("_f"))
+    rows = written(one_per_instant(batch.where("price IS NOT NULL").select(*cols)).join(known, "unit_key", "left"))
+    late = (F.col("captured") < F.col("_f")) | ((F.col("captured") == F.col("_f")) & (F.col("price") != F.col("_p")))
+    kept = rows.where(~F.coalesce(late, F.lit(False)))
+    own = open_.select("unit_key", F.col("valid_from").alias("captured"), "price", F.lit(None).cast("bigint").alias("event_id"), *attrs)
+    # what the open version began with stands for all that was seen of it; a capture of that very instant only fills attributes
+    line = written(own.unionByName(kept.where("_f IS NULL OR captured > _f").select(*cols)))
+    day, seen = F.to_date("captured"), F.struct("captured", "price")
+    before = with_neighbour(line, ["unit_key"], day, "captured", seen, "_prev")
+    starts = written(before.where(F.col("_prev").isNull() | (F.col("_prev.price") != F.col("price"))).drop("_prev"))
+    spans = with_neighbour(starts, ["unit_key"], day, "captured", F.struct("captured"), "_next", previous=False)
+
+    at = F.unix_micros(F.col("captured").cast("timestamp")).cast("double")
+    cells = starts.select("unit_key", at.alias("_x"), at.alias("start"))
+    every = own.unionByName(kept.select(*cols)).withColumn("_row", F.monotonically_increasing_id())
+    every = written(every)
+    asks = every.select("unit_key", at.alias("_x"), F.lit(2).alias("_o"), "_row", F.lit("at").alias("_e"))
+    found = _running(cells, asks, ["unit_key"], ["_row"], ["start"], _DAY, keep_greatest=True).where("_e IS NOT NULL").select("_row", "start")
+    # the state's own row comes first: attributes that are there stay
+    order = F.struct("captured", F.col("event_id").isNotNull(), "event_id")
+    facts = every.join(found, "_row").groupBy("unit_key", "start").agg(
+        F.max("captured").alias("_seen"), *[F.min_by(F.col(a), F.when(F.col(a).isNotNull(), order)).alias(a) for a in attrs])
+    v = spans.drop(*attrs).withColumn("start", at).join(facts, ["unit_key", "start"]).select(
+        "unit_key", "price", F.col("captured").alias("valid_from"), F.col("_next.captured").alias("valid_to"), F.col("_seen").alias("fetched_at"), *attrs)
+    # an open version that nothing confirmed keeps the time it was last seen
+    v = v.join(open_.select("unit_key", F.col("valid_from").alias("_f"), F.col("fetched_at").alias("_was")), "unit_key", "left")
+    v = written(v.withColumn("fetched_at", F.when(F.col("valid_from") == F.col("_f"), F.greatest("fetched_at", "_was")).otherwise(F.col("fetched_at"))).drop("_f", "_was"))
+    closed = v.where("valid_to IS NOT NULL")
+    counts = batch.agg(F.count_if(F.col("price").isNull()).alias("no_price")).crossJoin(rows.agg(F.count_if(late).alias("out_of_order"), F.count("*").alias("_all")))
+    counts = counts.crossJoin(v.join(open_.select("unit_key", F.col("valid_from").alias("_f")), "unit_key", "left").agg(
+        F.count_if(F.col("_f").isNull() | (F.col("valid_from") > F.col("_f"))).alias("_opened"), F.countDistinct(F.when(F.col("_f").isNull(), F.col("unit_key"))).alias("new_units")))
+    counts = counts.select("no_price", "out_of_order", "new_units", (F.col("_opened") - F.col("new_units")).alias("new_versions"), (F.col("_all") - F.col("out_of_order") - F.col("_opened")).alias("confirmed"))
+    return closed, v.where("valid_to IS NULL").drop("valid_to"), counts
+
+
 def overlaps(v: DataFrame) -> DataFrame:
     """Versions whose interval reaches into the next one (should be empty)."""
     w = with_neighbour(v, ["unit_key"], F.to_date("valid_from"), "valid_from", F.struct("valid_from"), "_n", previous=False)

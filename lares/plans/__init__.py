@@ -2,7 +2,7 @@
 
 from importlib import import_module, util
 
-MODULES = ("q_rent", "q_match", "q_quality", "q_versions", "q_invest", "q_geo", "q_hedonic", "q_sources", "q_text", "q_ranking", "q_compare", "q_status")
+MODULES = ("q_rent", "q_match", "q_quality", "q_versions", "q_invest", "q_geo", "q_hedonic", "q_sources", "q_text", "q_ranking", "q_compare", "q_status", "q_upkeep")
 
 
 def load_all() -> None:
