@@ -120,7 +120,7 @@ def training(docs: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Centroids | None:
     rows = training(docs)
     total = rows.groupBy("lang").agg(F.count("*").alias("_n"))
-    order = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(5))
+    order = F.xxhash64("doc_id", "text", F.lit(5))  # of the whole row: rows that share an id, or have none, don't stand or fall together
     share = F.pmod(order, F.lit(1_000_000)) < 1_000_000 * (3.0 * per_language) / F.col("_n")
     # the languages are as many as the model has; thinned to about three times the bound, then cut exactly
     thin = rows.join(F.broadcast(total), "lang").where(share).select("lang", "doc_id", "text", order.alias("_o"))
@@ -145,8 +145,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Centroids | None:
     return Centroids(samples) if samples else None
 
 
-def predicted(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, rejected: one row per row of ``docs``."""
+def predicted(docs: DataFrame, per_language: int = PER_LANGUAGE, row: str = "doc_id") -> DataFrame:
+    """doc_id (or the column ``row`` in its place), held_out, lang_pred, score, rejected: one row per row of ``docs``."""
     bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, per_language))  # languages x CENTROIDS x DIMS
 
@@ -165,5 +165,5 @@ def predicted(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected)],
                                              names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_fold(FOLDS) == HELD_OUT).alias("held_out"), "text")
+    rows = docs.select(F.col(row).cast("long").alias("doc_id"), (crc_fold(FOLDS) == HELD_OUT).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")

@@ -47,9 +47,11 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def pick_pivots(rows: DataFrame, pivots: int = PIVOTS) -> np.ndarray:
-    some = rows.orderBy(F.xxhash64("v"), "v").limit(16 * pivots).select("v").collect()  # a bounded number of rows
-    seen = list(dict.fromkeys(tuple(r["v"]) for r in some))
-    return np.array(seen[:pivots])
+    """The ``pivots`` distinct vectors of smallest hash, however often each occurs."""
+    h = F.xxhash64("v")
+    least = [r["h"] for r in rows.select(h.alias("h")).distinct().orderBy("h").limit(pivots).collect()]
+    some = rows.where(h.isin(least)).groupBy(h.alias("h")).agg(F.min("v").alias("v")).orderBy("h").collect()
+    return np.array([tuple(r["v"]) for r in some])
 
 
 def orders(x: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarray:
