@@ -1,10 +1,9 @@
 """From raw documents to packed training sequences, as five stages.
 
 Each stage works on everything its predecessor kept and returns the columns of ``documents``; the
-last returns the pieces of the packed sequences. A document is named by its doc_id: rows that
-share one are kept or dropped together (the near-duplicate stage leaves one of them), and null
-doc_ids count as one name that is never a duplicate. Null texts have no words and go in the first
-stage. Empty tables pass through.
+last returns the pieces of the packed sequences. The stages that drop documents number the rows
+first and decide by row, so rows that share a doc_id, or have none, are documents of their own.
+Null texts have no words and go in the first stage. Empty tables pass through.
 """
 
 from __future__ import annotations
@@ -16,32 +15,42 @@ from lares.llm import langid, packing, quality, secrets, sigtree
 from lares.llm.common import table
 from lares.session import cut
 
-_NO_ID = -(1 << 63)
+#: The number of a row; a name that no column of documents has.
+_ROW = "_row_of_stage"
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``ids`` (null is a name too)."""
-    key = F.coalesce(F.col("doc_id"), F.lit(_NO_ID))
-    return docs.withColumn("_id", key).join(ids.select(key.alias("_id")).distinct(), "_id", "left_semi").select(*docs.columns)
+def _rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number for every row, written so that the numbers stay."""
+    return cut(docs.withColumn(_ROW, F.monotonically_increasing_id()))
+
+
+def _as_documents(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col(_ROW).alias("doc_id"), "text", "lang", "source")
+
+
+def _kept(rows: DataFrame, numbers: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.join(numbers.toDF(_ROW), _ROW, "left_semi").select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule or a fence of their language and source go."""
-    return _keep(docs, quality.judged(docs).where("kept"))
+    rows = _rows(docs)
+    return _kept(rows, quality.judged(_as_documents(rows)).where("kept").select("doc_id"), docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or out of reach of every language's centroids, go."""
-    return _keep(docs, langid.predicted(docs).where("NOT rejected"))
+    rows = _rows(docs)
+    return _kept(rows, langid.predicted(rows, row=_ROW).where("NOT rejected").select("doc_id"), docs)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest doc_id stays."""
-    found = sigtree.joined(docs).where("doc_id <=> component_id")
-    kept = _keep(docs, found)
-    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
-    return kept
+    """Of each component of near-duplicates the document with the smallest doc_id stays (null last, then the first row)."""
+    rows = _rows(docs)
+    found = sigtree.joined(_as_documents(rows)).select(F.col("doc_id").alias(_ROW), "component_id")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", _ROW)
+    first = rows.select(_ROW, "doc_id").join(found, _ROW).groupBy("component_id").agg(F.min_by(_ROW, place).alias(_ROW))
+    return _kept(rows, first.select(_ROW), docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
