@@ -15,7 +15,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +26,8 @@ from lares.params import DEFAULT, Params
 from lares.session import cut
 
 STATS = ["n", "sx", "sy", "sxx", "sxy"]
-MAX_TYPES = 200
+#: Entries of the type-by-type matrices of the exams that are solved together.
+STACK = 4_000_000
 
 
 # ----------------------------------------------------------------- observations
@@ -165,11 +166,8 @@ class TypeSums:
 
 
 def type_sums(cells: DataFrame) -> TypeSums:
-    """Collects only type-by-type sums (bounded by the number of types squared), never cells."""
-    types = [r.typ for r in cells.select("typ").distinct().orderBy("typ").limit(MAX_TYPES + 1).collect()]
-    if len(types) > MAX_TYPES:
-        raise ValueError(f"more than {MAX_TYPES} types: the type list is expected to be a short enumeration")
-    s = TypeSums(types)
+    """Collects only type-by-type sums (the number of types squared, an enumeration), never cells."""
+    s = TypeSums([r.typ for r in cells.select("typ").distinct().orderBy("typ").collect()])
     zone = cells.groupBy("zone").agg(F.sum("n").alias("nz"), F.sum("sy").alias("syz"))
     c = cells.join(zone, "zone")
     multi, n = F.col("n") >= 2, F.col("n")
@@ -211,8 +209,7 @@ def train(cells: DataFrame, p: Params = DEFAULT) -> tuple[DataFrame, DataFrame,
         [(t, float(fit["beta_typ"][i]), float(fit["t"][i] * fit["n_typ"][i] / (fit["n_typ"][i] + k)), float(fit["t"][i]),
           float(fit["n_typ"][i]), int(comp[i])) for i, t in enumerate(sums.types)],
         "typ string, beta double, effect double, raw double, n_typ double, comp int")
-    # at most MAX_TYPES rows
-    j = cells.join(F.broadcast(types), "typ")
+    j = cells.join(types, "typ")  # a row per type; the optimizer broadcasts it while it is small
     r = (F.col("sy") - F.col("beta") * F.col("sx")) - F.col("n") * (F.lit(fit["mu"]) + F.col("raw"))
     z = j.groupBy("zone").agg(F.sum("n").alias("n_zone"), (F.sum(r) / F.sum("n")).alias("raw"), F.min(F.when(F.col("n") >= 2, F.col("comp"))).alias("comp"))
     z = cut(z)
@@ -226,7 +223,7 @@ def train(cells: DataFrame, p: Params = DEFAULT) -> tuple[DataFrame, DataFrame,
 def residuals(obs: DataFrame, model, p: Params = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """(q25, q75 of the training residuals as one row, shrunken adjustment per observed cell)."""
     types, zones, s = model
-    e = obs.join(F.broadcast(types.select("typ", "beta", F.col("effect").alias("_t"))), "typ").join(
+    e = obs.join(types.select("typ", "beta", F.col("effect").alias("_t")), "typ").join(
         zones.select("zone", F.col("effect").alias("_z")), "zone")
     e = e.withColumn("e", F.col("y") - F.col("beta") * F.col("x") - F.lit(s["mu"]) - F.col("_t") - F.col("_z"))
     q = grouped_quantiles(e.withColumn("_all", F.lit(1)), ["_all"], F.col("e"), {"q25": 0.25, "q75": 0.75}, F.col("n")).drop("_all", "n_values")
@@ -311,43 +308,121 @@ def exams(comps: DataFrame, furnished: DataFrame, p: Params = DEFAULT) -> tuple[
     return loco.unionByName(small), cells
 
 
-def run_exams(rows: DataFrame, cells: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """zone, typ, variant, n_own, real, model, state; every exam is reported, none dropped."""
-    base = type_sums(cells)
+class ExamStack:
+    """Type sums of many exams at once: a row per exam, each the base with one zone taken out and put back as trained."""
 
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                s = base.copy()
-                s.add_zone([dict(c) for c in r.cells], -1.0)
-                trained = [dict(c) for c in r.trained]
-                s.add_zone(trained)
-                out.append(_exam(s, trained, r.typ, float(r.m2), p))
-            yield pd.DataFrame({
-                "zone": pdf.zone, "typ": pdf.typ, "variant": pdf.variant, "n_own": pdf.n_own, "real": pdf.real,
-                "model": [o[0] for o in out], "state": [o[1] for o in out]})
+    def __init__(self, base: TypeSums, out: np.ndarray, back: np.ndarray):
+        """``out``, ``back``: [exam][statistic][type] of the zone as it is and as trained."""
+        gone, new = self._zone(out), self._zone(back)
+        self.v = {c: base.vec[c] - gone[0][c] + new[0][c] for c in base.vec}
+        self.nn, self.nx, self.adj = (b - g + a for b, g, a in zip((base.nn, base.nx, base.adj), gone[1:4], new[1:4], strict=True))
+        self.cells = base.cells - gone[4] + new[4]
+        self.back = back
 
-    schema = "zone string, typ string, variant string, n_own long, real double, model double, state string"
-    done = rows.repartition("zone", "typ", "variant").mapInPandas(solve, schema)
-    return done.withColumn("error", (F.col("model") - F.col("real")) / F.col("real"))
-
-
-def _exam(s: TypeSums, trained: list[dict], typ: str, m2: float, p: Params) -> tuple[float | None, str]:
-    """Prediction of one held-out cell from type sums that already exclude it."""
-    fit = s.fit(p)
-    if fit is None:
-        return None, "no_model"
-    i = s.at[typ]
-    n_typ, n_zone = fit["n_typ"][i], sum(c["n"] for c in trained)
-    label = s.components()
-    linked = any(c["n"] >= 2 and label[s.at[c["typ"]]] == label[i] for c in trained)
-    if n_typ < p.hedonic_min_support or n_zone < p.hedonic_min_support or not linked:
-        return None, "not_predictable"
-    z = sum(c["sy"] - fit["beta_typ"][s.at[c["typ"]]] * c["sx"] - c["n"] * (fit["mu"] + fit["t"][s.at[c["typ"]]]) for c in trained) / n_zone
-    k = p.hedonic_shrink
-    y = (fit["mu"] + fit["beta_typ"][i] * math.log(m2) + fit["t"][i] * n_typ / (n_typ + k) + z * n_zone / (n_zone + k))
-    return round(math.exp(y), 4), "scored"
+    @staticmethod
+    def _zone(m: np.ndarray):
+        n, sx, sy, sxx, sxy = (m[:, i] for i in range(5))
+        total = n.sum(axis=1)
+        safe_total = np.where(total > 0, total, 1.0)[:, None]
+        multi, safe = n >= 2, np.where(n > 0, n, 1.0)
+        vec = {"n": n, "sx": sx, "sy": sy, "wxx": np.where(multi, sxx - sx * sx / safe, 0.0), "wxy": np.where(multi, sxy - sx * sy / safe, 0.0),
+               "wn": np.where(multi, n, 0.0), "yz": n * (sy.sum(axis=1)[:, None] / safe_total)}
+        outer = lambda a, b: a[:, :, None] * b[:, None, :]
+        return vec, outer(n, n) / safe_total[:, :, None], outer(n, sx) / safe_total[:, :, None], outer(multi, multi).astype(float), (n > 0).sum(axis=1)
+
+    def fit(self, p: Params) -> dict:
+        """The fits of all exams, ``ok`` where the model is determined. Each stops at its own step, as if it were alone."""
+        v, n = self.v, np.round(self.v["n"], 6)
+        live, total = n > 0, n.sum(axis=1)
+        wxx, wxy = v["wxx"].sum(axis=1), v["wxy"].sum(axis=1)
+        beta = wxy / np.where(wxx > 1e-9, wxx, 1.0)
+        ok = (total >= p.hedonic_min_obs) & (self.cells >= p.hedonic_min_cells) & (wxx > 1e-9) & (beta > 0) & (beta <= 1)
+        own = (v["wn"] >= p.hedonic_min_obs_typ - 1e-6) & (v["wxx"] > 1e-9)
+        bt = np.where(own, v["wxy"] / np.where(own, v["wxx"], 1.0), beta[:, None])
+        bt = np.where((bt > 0) & (bt <= 1), bt, beta[:, None])
+        nt, safe_total = np.where(live, n, 1.0), np.where(total > 0, total, 1.0)
+        mean_t = (v["sy"] - bt * v["sx"]) / nt
+        zone_part = (v["yz"] - np.einsum("etu,eu->et", self.nx, bt)) / nt
+        mu = (v["sy"] - bt * v["sx"]).sum(axis=1) / safe_total
+        centred = lambda t, at: np.where(live[at], t - ((t * n[at]).sum(axis=1) / safe_total[at])[:, None], 0.0)
+        t = centred(np.where(live, mean_t - mu[:, None], 0.0), slice(None))
+        going = np.flatnonzero(ok)
+        for _ in range(2, p.hedonic_max_iter + 1):
+            if not len(going):
+                break
+            new = centred(np.where(live[going], mean_t[going] - zone_part[going] + np.einsum("etu,eu->et", self.nn[going], t[going]) / nt[going], 0.0), going)
+            change = np.abs(new - t[going]).max(axis=1)
+            t[going] = new
+            going = going[change >= p.hedonic_tol]
+        ok[going] = False
+        return {"ok": ok, "bt": bt, "t": t, "mu": mu, "n": n}
+
+    def linked(self, typ: np.ndarray) -> np.ndarray:
+        """Is the exam's type in one component with a type of which its trained zone holds two rows?"""
+        link = np.round(self.adj) > 0
+        at = np.arange(len(typ))
+        reach = np.zeros(link.shape[:2], bool)
+        reach[at, typ] = True
+        for _ in range(link.shape[1]):
+            more = reach | np.einsum("et,etu->eu", reach.astype(float), link.astype(float)).astype(bool)
+            if (more == reach).all():
+                break
+            reach = more
+        return (reach & (self.back[:, 0] >= 2)).any(axis=1)
+
+    def models(self, typ: np.ndarray, m2: np.ndarray, shrinks: list[float], p: Params) -> tuple[np.ndarray, np.ndarray]:
+        """([exam][shrinkage] rents, states)."""
+        f, at = self.fit(p), np.arange(len(typ))
+        n, sx, sy = (self.back[:, i] for i in range(3))
+        n_typ, n_zone = f["n"][at, typ], n.sum(axis=1)
+        can = (n_typ >= p.hedonic_min_support) & (n_zone >= p.hedonic_min_support) & self.linked(typ)
+        z = (sy - f["bt"] * sx - n * (f["mu"][:, None] + f["t"])).sum(axis=1) / np.where(n_zone > 0, n_zone, 1.0)
+        level, effect = f["mu"] + f["bt"][at, typ] * np.log(m2), f["t"][at, typ]
+        y = np.stack([level + effect * n_typ / (n_typ + k) + z * n_zone / (n_zone + k) for k in shrinks], axis=1)
+        state = np.where(~f["ok"], "no_model", np.where(can, "scored", "not_predictable"))
+        return np.where((state == "scored")[:, None], np.round(np.exp(np.where((state == "scored")[:, None], y, 0.0)), 4), np.nan), state
+
+
+def run_exams(rows: DataFrame, cells: DataFrame, p: Params = DEFAULT, shrinks: list[float] | None = None) -> DataFrame:
+    """zone, typ, variant, n_own, real, model, state, error; every exam is reported, none dropped.
+
+    The exams of a batch are solved as one stack of matrices. With ``shrinks`` each exam is a row per
+    shrinkage (column ``shrink``): the fit doesn't depend on it, so a sweep costs one pass.
+    """
+    base, ks = type_sums(cells), shrinks or [p.hedonic_shrink]
+    some = max(1, STACK // max(1, len(base.types)) ** 2)
+
+    def dense(column: pa.ListArray) -> np.ndarray:
+        out = np.zeros((len(column), len(STATS), len(base.types)))
+        v = column.flatten()
+        row = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+        at = np.array([base.at[t] for t in v.field("typ").to_pylist()], np.int64)
+        for i, c in enumerate(STATS):
+            out[row, i, at] = v.field(c).to_numpy(zero_copy_only=False)
+        return out
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, some):
+                b = whole.slice(start, some)
+                col = {c: b.column(i) for i, c in enumerate(b.schema.names)}
+                stack = ExamStack(base, dense(col["cells"]), dense(col["trained"]))
+                model, state = stack.models(np.array([base.at[t] for t in col["typ"].to_pylist()], np.int64), col["m2"].to_numpy(zero_copy_only=False).astype(float), ks, p)
+                for j, k in enumerate(ks):
+                    yield pa.RecordBatch.from_arrays([*(col[c] for c in ("zone", "typ", "variant", "n_own", "real")), pa.array(model[:, j], from_pandas=True), pa.array(state.tolist(), pa.string()), pa.array(np.full(b.num_rows, float(k)))],
+                                                     names=["zone", "typ", "variant", "n_own", "real", "model", "state", "shrink"])
+
+    schema = "zone string, typ string, variant string, n_own long, real double, model double, state string, shrink double"
+    done = rows.repartition("zone", "typ", "variant").mapInArrow(solve, schema)
+    done = done.withColumn("error", (F.col("model") - F.col("real")) / F.col("real"))
+    return done if shrinks else done.drop("shrink")
+
+
+def shrinkage_sweep(done: DataFrame) -> DataFrame:
+    """Per shrinkage: exams with a model, median and upper quartile of the absolute error."""
+    n = done.groupBy("shrink").agg(F.count("error").alias("n"))
+    q = grouped_quantiles(done, ["shrink"], F.abs("error"), {"median_abs": 0.5, "p75_abs": 0.75}).drop("n_values")
+    return n.join(q, "shrink", "left")
 
 
 def backtest_summary(done: DataFrame, p: Params = DEFAULT) -> DataFrame:

@@ -156,6 +156,18 @@ def summary_q(t):
     return s.select("n", "not_predictable", *rd(["median_abs", "p75_abs", "q25", "q75"], 5), "passes")
 
 
+SHRINKS = [4.0, 8.0, 16.0]
+
+
+@query("shrinkage_sweep", sql_with(*LOCO, f"""
+swept AS (SELECT k AS shrink, (round(exp(mu + bt*ln(e.m2) + t.raw*t.nt/(t.nt+k) + z.raw*z.nz/(z.nz+k)),4) - e.real)/e.real AS error FROM ex e, (SELECT unnest({SHRINKS})::DOUBLE AS k) LEFT JOIN x_te t ON t.exam=e.exam AND t.typ=e.typ LEFT JOIN x_ze z ON z.exam=e.exam AND z.zone=e.zone LEFT JOIN x_mu m ON m.exam=e.exam WHERE nt >= 8 AND nz >= 8)""",
+    final="SELECT shrink, count(error) AS n, round(quantile_cont(abs(error),0.5),5)+0.0 AS median_abs, round(quantile_cont(abs(error),0.75),5)+0.0 AS p75_abs FROM swept GROUP BY 1"))
+def sweep_q(t):
+    """Back-test errors at three strengths of shrinkage, from one pass over the exams."""
+    rows, cells = H.exams(comps_of(t), R.furnished_sizes(t.rents, t.now), P)
+    return H.shrinkage_sweep(H.run_exams(rows, cells, P, SHRINKS)).select("shrink", "n", *rd(["median_abs", "p75_abs"], 5))
+
+
 P60 = P.with_(min_comparables=60)
 THIN_SQL = """
 nd AS (SELECT min(unit_key) AS unit_key, zone, typ, m2, price FROM matched WHERE match_reason = 'no_comparables' AND price <= 6000 GROUP BY 2,3,4,5),

@@ -104,19 +104,21 @@ def price_drop_q(t):
     return d.select("unit_key", "before", "after", ts("valid_to").alias("valid_to"), rnd(F.col("change")).alias("change"))
 
 
-FEW_SQL = """
-lasts AS (SELECT unit_key, max(captured) AS _m FROM captures GROUP BY 1),
-few AS (SELECT captures.* FROM captures JOIN lasts USING (unit_key) WHERE CAST(substr(unit_key, 2) AS BIGINT) % 3 <> 0 OR captured = _m)"""
+EARLY_SQL = """
+firsts0 AS (SELECT min(captured) AS f FROM captures GROUP BY unit_key),
+cutoff AS (SELECT epoch_us(min(f)) + (epoch_us(max(f)) - epoch_us(min(f))) // 10 AS at FROM firsts0),
+early AS (SELECT captures.* FROM captures, cutoff WHERE epoch_us(captured) <= at)"""
 
 
-@query("new_units_antijoin", sql_with(CAPTURES_SQL, CAPT_RATES_SQL, FEW_SQL, islands("few", "vers"), final=f"""
+@query("new_units_antijoin", sql_with(CAPTURES_SQL, CAPT_RATES_SQL, EARLY_SQL, islands("early", "vers"), final=f"""
 SELECT unit_key, {ts_sql('valid_from')} AS valid_from FROM vers v WHERE valid_to IS NULL AND valid_from >= TIMESTAMP '2024-01-01' AND fetched_at >= TIMESTAMP '2024-01-01'
 AND NOT EXISTS (SELECT 1 FROM vers h WHERE h.unit_key = v.unit_key AND h.valid_to IS NOT NULL)"""))
 def new_units_q(t):
-    """Units without history; of every third unit only the last capture is known here, so there are some."""
-    last = t.captures.groupBy("unit_key").agg(F.max("captured").alias("_m"))
-    few = t.captures.join(last, "unit_key").where((F.substring("unit_key", 2, 18).cast("bigint") % 3 != 0) | (F.col("captured") == F.col("_m"))).drop("_m")
-    v = V.new_units(V.versions(V.one_per_instant(few), ["zone"]), F.lit("2024-01-01").cast("timestamp_ntz"))
+    """Units without history as of the time when a tenth of the span of first sightings had passed: then some have one version only."""
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    first = t.captures.groupBy("unit_key").agg(F.min("captured").alias("_f")).agg(F.min(us("_f")).alias("_lo"), F.max(us("_f")).alias("_hi"))
+    early = t.captures.crossJoin(F.broadcast(first)).where(us("captured") <= F.expr("_lo + (_hi - _lo) div 10")).drop("_lo", "_hi")  # one row
+    v = V.new_units(V.versions(V.one_per_instant(early), ["zone"]), F.lit("2024-01-01").cast("timestamp_ntz"))
     return v.select("unit_key", ts("valid_from").alias("valid_from"))
 
 
