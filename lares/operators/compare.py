@@ -118,3 +118,12 @@ def dossiers(units: DataFrame, reasons: DataFrame, matched: DataFrame, positions
         .join(reasons.select("unit_key", "row_reason"), "unit_key", "left").join(m, "unit_key", "left")
         .join(positions.select("unit_key", "position", "score"), "unit_key", "left")
         .withColumn("state", F.coalesce("row_reason", "match_reason", F.when(F.col("position").isNotNull(), "ranked"), F.when(F.col("match").isNotNull(), "not_ranked"), F.lit("not_priced"))))
+
+
+def price_history(versions: DataFrame, most: int = 12) -> DataFrame:
+    """unit_key, n_versions, history: the latest ``most`` versions of each unit, newest first, as an array of intervals."""
+    count = versions.groupBy("unit_key").agg(F.count("*").alias("n_versions"))
+    newest = F.row_number().over(Window.partitionBy("unit_key").orderBy(F.desc("valid_from")))
+    some = versions.withColumn("_r", newest).where(F.col("_r") <= most)
+    line = F.transform(F.array_sort(F.collect_list(F.struct("_r", "valid_from", "valid_to", "price_uf", "price_clp"))), lambda x: x.dropFields("_r"))  # at most ``most``
+    return count.join(some.groupBy("unit_key").agg(line.alias("history")), "unit_key")

@@ -9,15 +9,17 @@ from pyspark.sql import functions as F
 from lares.functions.exprs import rnd
 from lares.operators import compare as C
 from lares.operators import rent as R
+from lares.operators import quality as Q
+from lares.operators import selftest as T
 from lares.operators import versions as V
 from lares.operators.order import numbered
 from lares.operators.quantiles import grouped_quantiles
-from lares.plans.bindings import CAPTURES_SQL, PART_SQL
+from lares.plans.bindings import CAPTURES_SQL, PART_SQL, UNITS_SQL
 from lares.plans.q_rent import BANDS, CELLS_SQL, COMPS, comps_of
 from lares.plans.q_versions import VER_COLS_SQL, islands, show, ts, ts_sql, versions_of
 from lares.plans.registry import query, sql_with
 from lares.session import cut, shared_dir
-from lares.sources import replay
+from lares.sources import feeds, pages, replay
 from lares.sources.store import TableStore
 from lares.streaming import captures as S
 
@@ -207,3 +209,88 @@ def price_quantiles_q(t):
 def size_positions_q(t):
     """Position of every unit by size in its district: few sizes, so long runs of equal ones."""
     return numbered(t.part_dims, [F.col("p_size").asc(), F.col("p_partkey").asc()], ["district"]).select("p_partkey", F.col("position").cast("bigint").alias("position"))
+
+
+# ----------------------------------------------------------------- self-test and gate
+
+SELF_SQL = """
+tested AS (
+ SELECT 'required_fields' AS "check", CASE WHEN count(*) FILTER (zone IS NOT NULL AND price_uf IS NOT NULL) >= 0.95 * count(*) AND count(*) > 0 THEN 'OK' ELSE 'FAIL' END AS severity, count(*) - count(*) FILTER (zone IS NOT NULL AND price_uf IS NOT NULL) AS affected FROM good
+ UNION ALL SELECT 'plausible_ranges', CASE WHEN count(*) FILTER (price_uf NOT BETWEEN 1 AND 9) > 0 THEN 'FAIL' ELSE 'OK' END, count(*) FILTER (price_uf NOT BETWEEN 1 AND 9) FROM good
+ UNION ALL SELECT 'stable_count', CASE WHEN (SELECT count(*) FROM captures) - count(*) > 0.3 * (SELECT count(*) FROM captures) THEN 'FAIL' ELSE 'OK' END, (SELECT count(*) FROM captures) - count(*) FROM good
+ UNION ALL SELECT 'duplicates: not evaluable', 'MARK', count(*) FROM good HAVING count(*) > 0)"""
+
+
+def self_test_of(t):
+    """Findings on the replayed captures; their address, part of the duplicates' key, is in no source."""
+    rows, findings = T.written_and_observed(replayed_of(t)[0], ["unit_key", "captured", "zone", "price_uf"], {"price_uf": (1, 9)}, t.captures.count())
+    rows = rows.withColumn("address", F.lit(None).cast("string")).withColumn("day", F.to_date("captured"))
+    key = ["address", "price_uf"]
+    return findings.unionByName(T.duplicates_finding(rows, key, Q.duplicates_within(rows, key, "day")))
+
+
+@query("extractor_selftest", sql_with(CAPTURES_SQL, BLOBS_SQL, SELF_SQL, final="SELECT * FROM tested"))
+def selftest_q(t):
+    """Required fields, plausible ranges and stable count from the extractor's own write, and duplicates that can't be judged."""
+    return self_test_of(t)
+
+
+@query("gate_overall", sql_with(PART_SQL, UNITS_SQL, CAPTURES_SQL, BLOBS_SQL, SELF_SQL, final="""
+, f AS (SELECT severity, affected FROM tested UNION ALL
+  SELECT CASE WHEN good::DOUBLE/n < 0.8 THEN 'ALERT' ELSE 'OK' END, CAST(CASE WHEN good::DOUBLE/n < 0.8 THEN n-good ELSE 0 END AS BIGINT) FROM (SELECT count(*) AS n, count(*) FILTER (price_uf <> 0 AND zone IS NOT NULL AND evidence IN ('V','D')) AS good FROM units))
+SELECT CASE WHEN count(*) FILTER (severity = 'FAIL') > 0 THEN 'RED' WHEN count(*) FILTER (severity = 'ALERT') > 0 THEN 'PARTIAL' ELSE 'GREEN' END AS status, count(*) FILTER (severity = 'OK') AS n_ok, count(*) FILTER (severity = 'MARK') AS n_mark,
+ count(*) FILTER (severity = 'ALERT') AS n_alert, count(*) FILTER (severity = 'FAIL') AS n_fail, CAST(sum(affected) AS BIGINT) AS affected FROM f"""))
+def gate_overall_q(t):
+    """One status over the extractor's self-test, duplicates and the coverage of units."""
+    return Q.gate_status([self_test_of(t), Q.coverage_check(t.units)])
+
+
+# ----------------------------------------------------------------- stops, developer sites, dossiers
+
+STOP_SQL = """
+stops AS (SELECT c_custkey AS id, 'E'||(c_custkey % 40) AS name, CASE WHEN c_custkey % 3 > 0 THEN 'l'||(c_custkey % 3) END AS line, -33.4 + (c_custkey % 40) * 0.01 + (c_custkey % 7) * 0.0011 AS lat,
+  -70.6 + (c_custkey % 11) * 0.0013 AS lon, CASE WHEN c_custkey % 4 = 0 THEN 2001 END AS opening_year FROM customer)"""
+
+
+@query("station_stops", sql_with(STOP_SQL, final="""
+SELECT id FROM stops a WHERE NOT EXISTS (SELECT 1 FROM stops b WHERE a.name = b.name AND a.line IS NOT DISTINCT FROM b.line AND abs(a.lat - b.lat) < 0.003 AND abs(a.lon - b.lon) < 0.003
+  AND (b.opening_year IS NULL, b.id) < (a.opening_year IS NULL, a.id))"""))
+def station_stops_q(t):
+    """Physical stops: of stations with one name, line and state within some 300 m the dated, then the first one."""
+    k = F.col("c_custkey")
+    s = t("customer").select(
+        k.alias("id"), F.concat(F.lit("E"), (k % 40).cast("string")).alias("name"), F.lit("metro").alias("network"), F.when(k % 3 > 0, F.concat(F.lit("l"), (k % 3).cast("string"))).alias("line"), F.lit("open").alias("status"),
+        (-33.4 + (k % 40) * 0.01 + (k % 7) * 0.0011).alias("lat"), (-70.6 + (k % 11) * 0.0013).alias("lon"), F.when(k % 4 == 0, 2001).alias("opening_year"), F.lit("station").alias("outcome"))
+    return feeds.collapse_stations(s).select("id")
+
+
+@query("developer_site", """
+SELECT c_custkey AS page_id, CASE WHEN c_custkey % 3 < 2 THEN -33.0 - (c_custkey % 900)/1000.0 END AS lat, CASE WHEN c_custkey % 3 < 2 THEN -70.125 END AS lon, CASE WHEN c_custkey % 4 > 0 THEN 30.5 + c_custkey % 20 END AS size_low, CASE WHEN c_custkey % 4 > 0 THEN 90.0::DOUBLE END AS size_high,
+ 'comuna '||c_nationkey AS place_slug, CASE WHEN c_custkey % 5 > 0 THEN 'en-verde' END AS status, CAST(1 + c_custkey % 4 AS INTEGER) AS beds FROM customer""")
+def developer_site_q(t):
+    """Developer pages: coordinates inside the country, size range and class tags."""
+    k = F.col("c_custkey")
+    dec = lambda x, n: F.format_string(f"%.{n}f", x)
+    lat = dec(-33.0 - (k % 900) / 1000.0, 3)
+    place = F.when(k % 3 == 0, F.concat(F.lit("<iframe src='m?!2d10.000!3d50.000!2d-70.125!3d"), lat, F.lit("'>"))).when(k % 3 == 1, F.concat(F.lit("<a href='https://waze.com/ul?ll="), lat, F.lit("%2C-70.125'>"))).otherwise("<a href='https://waze.com/ul?ll=48.1,11.5'>")
+    size = F.when(k % 4 > 0, F.concat(F.lit("Desde "), F.replace(dec(30.5 + k % 20, 1), F.lit("."), F.lit(",")), F.lit(" | hasta 90 m²"))).otherwise("desde 5 hasta 3 m²")
+    rows = t("customer").select(k.alias("page_id"), F.concat(F.lit("<html>"), place, size, F.lit("</html>")).alias("html"), F.array(
+        F.lit("post"), F.concat(F.lit("comuna-comuna "), F.col("c_nationkey").cast("string")), F.when(k % 5 > 0, "estado-en-verde").otherwise("otra"), F.lit("estado-vendido"), F.concat(F.lit("tag-"), (1 + k % 4).cast("string"), F.lit("-dormitorios"))).alias("classes"))
+    rows = rows.withColumn("classes", F.when(F.col("page_id") % 5 > 0, F.col("classes")).otherwise(F.filter("classes", lambda c: ~c.startswith("estado-"))))
+    (la, lo), (a, b), tags = pages.coordinates_from_html(F.col("html")), pages.size_range_from_html(F.col("html")), pages.tags_from_classes(F.col("classes"))
+    return rows.select("page_id", la.alias("lat"), lo.alias("lon"), a.alias("size_low"), b.alias("size_high"), *[tags[c].alias(c) for c in ("place_slug", "status", "beds")])
+
+
+@query("dossier_history", sql_with(PART_SQL, CAPTURES_SQL, islands("captures", "vers"), final="""
+, k AS (SELECT *, 'u'||lpad(substr(unit_key, 2), 9, '0') AS key, row_number() OVER (PARTITION BY unit_key ORDER BY valid_from DESC) AS r, count(*) OVER (PARTITION BY unit_key) AS n FROM vers),
+h AS (SELECT key, max(n) AS n_versions, string_agg(strftime(valid_from, '%Y-%m-%d')||'='||coalesce(CAST(price_uf AS BIGINT)||' UF', CAST(price_clp AS BIGINT)||' CLP', '-'), '; ' ORDER BY r) AS history FROM k WHERE r <= 6 GROUP BY key)
+SELECT 'u'||lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS unit_key, typ, p_size, coalesce(n_versions, 0) AS n_versions, history FROM part_dims LEFT JOIN h ON key = 'u'||lpad(CAST(p_partkey AS VARCHAR), 9, '0')"""))
+def dossier_history_q(t):
+    """Every unit with the number of its versions and its latest six prices, newest first."""
+    h = C.price_history(versions_of(t), 6)
+    key = F.concat(F.lit("u"), F.lpad(F.substring("unit_key", 2, 18), 9, "0"))
+    price = lambda x: F.coalesce(F.concat(x["price_uf"].cast("bigint").cast("string"), F.lit(" UF")), F.concat(x["price_clp"].cast("bigint").cast("string"), F.lit(" CLP")), F.lit("-"))
+    line = F.array_join(F.transform("history", lambda x: F.concat(F.date_format(x["valid_from"], "yyyy-MM-dd"), F.lit("="), price(x))), "; ")
+    h = h.select(key.alias("unit_key"), "n_versions", line.alias("history"))
+    units = t.part_dims.select(F.concat(F.lit("u"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("unit_key"), "typ", "p_size")
+    return units.join(h, "unit_key", "left").fillna({"n_versions": 0})

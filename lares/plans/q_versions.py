@@ -106,8 +106,8 @@ def price_drop_q(t):
 
 EARLY_SQL = """
 firsts0 AS (SELECT min(captured) AS f FROM captures GROUP BY unit_key),
-cutoff AS (SELECT epoch_us(min(f)) + (epoch_us(max(f)) - epoch_us(min(f))) // 10 AS at FROM firsts0),
-early AS (SELECT captures.* FROM captures, cutoff WHERE epoch_us(captured) <= at)"""
+cutoff AS (SELECT epoch_us(min(f)) + (epoch_us(max(f)) - epoch_us(min(f))) // 10 AS until_us FROM firsts0),
+early AS (SELECT captures.* FROM captures, cutoff WHERE epoch_us(captured) <= until_us)"""
 
 
 @query("new_units_antijoin", sql_with(CAPTURES_SQL, CAPT_RATES_SQL, EARLY_SQL, islands("early", "vers"), final=f"""

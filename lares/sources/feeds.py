@@ -130,7 +130,11 @@ def classify_stations(elements: DataFrame, now: Column, lines_building: list[str
     network = F.when(low(tag("network")).contains("biotr"), "biotren").when(eq("train", "yes") | low(tag("network")).contains("melipilla"), "efe").otherwise("metro-santiago")
     outcome = (F.when((F.col("type") == "relation") & has("route"), "route").when(~on_network, "off_network").when(~known, "unclassified")
                .when(tag("name").isNull() | F.col("lat").isNull() | F.col("lon").isNull(), "unnamed").otherwise("station"))
-    return elements.dropDuplicates(["type", "id"]).select(
+    # of an element that came twice the row of the smallest name, place and tags counts
+    rest = [c for c in elements.columns if c not in ("type", "id")]
+    first = F.min_by(F.struct(*rest), F.struct("lat", "lon", F.array_sort(F.map_entries("tags"))))
+    once = elements.groupBy("type", "id").agg(first.alias("_e")).select("type", "id", "_e.*")
+    return once.select(
         "id", "type", tag("name").alias("name"), network.alias("network"), line.alias("line"), status.alias("status"), "lat", "lon",
         year.alias("opening_year"), outcome.alias("outcome"))
 
@@ -138,13 +142,20 @@ def classify_stations(elements: DataFrame, now: Column, lines_building: list[str
 def collapse_stations(stations: DataFrame, degrees: float = 0.003) -> DataFrame:
     """One row per physical stop: a twin (same name, network, line, status within ~300 m) is dropped.
 
-    A dated row is preferred to an undated one, then the smaller id. The anti join emits no pairs.
+    A dated row is preferred to an undated one, then the smaller id. Stations meet only in a grid
+    cell of that width and its neighbours, so a name that many stops share costs its neighbourhoods.
     """
-    s = stations.where("outcome = 'station'").withColumn("_p", F.struct(F.col("opening_year").isNull().alias("undated"), "id"))
-    a, b = s.alias("a"), s.select("name", "network", "line", "status", "lat", "lon", "_p").alias("b")
-    same = (F.col("a.name") == F.col("b.name")) & (F.col("a.network") == F.col("b.network")) & (F.col("a.status") == F.col("b.status"))
-    same = same & F.col("a.line").eqNullSafe(F.col("b.line")) & (F.abs(F.col("a.lat") - F.col("b.lat")) < degrees) & (F.abs(F.col("a.lon") - F.col("b.lon")) < degrees)
-    return a.join(b, same & (F.col("b._p") < F.col("a._p")), "left_anti").drop("_p")
+    s = stations.where("outcome = 'station'")
+    cell = lambda c: F.floor(F.col(c) / degrees)
+    keys = ["name", "network", "status", F.coalesce("line", F.lit("")).alias("_line"), F.col("line").isNull().alias("_no_line")]
+    rank = F.struct(F.col("opening_year").isNull().alias("undated"), "id")
+    b = s.select(*keys, cell("lat").alias("_y"), cell("lon").alias("_x"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), rank.alias("_better"))
+    near = F.array(*[F.struct((cell("lat") + i).alias("_y"), (cell("lon") + j).alias("_x")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    a = s.select("id", *keys, "lat", "lon", rank.alias("_own"), F.explode(near).alias("_c")).select("*", "_c._y", "_c._x").drop("_c")
+    on = ["name", "network", "status", "_line", "_no_line", "_y", "_x"]
+    twin = a.alias("a").join(b.alias("b"), [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on] + [
+        F.abs(F.col("a.lat") - F.col("b._lat")) < degrees, F.abs(F.col("a.lon") - F.col("b._lon")) < degrees, F.col("b._better") < F.col("a._own")], "left_semi")
+    return s.join(twin.select("id").distinct(), "id", "left_anti")
 
 
 # ----------------------------------------------------------------- crawl permission rules
