@@ -102,17 +102,20 @@ def nearest(points: DataFrame, centres: DataFrame, group: list[str], attrs: list
     """Adds ``distance_m`` and the ``attrs`` of the nearest centre of the point's group (ties by attrs).
 
     Exact. A centre at most ``reach_m`` away lies in the point's grid cell or a neighbouring one, so
-    nearly all points are settled by one join with a cell's centres, inside that row's array. Only
-    points without such a centre, or with more than ``most`` around them, go on: to rings of eight
-    times the reach each, until their nearest centre is within the ring. Nothing ever gathers the
-    centres of a group. The result is written.
+    nearly all points are settled by a join with a cell's centres, inside that row's array, or with
+    those of a coarser cell. Only points without such a centre, or with more than ``most`` around
+    them, go on: to rings of eight times the reach each, until their nearest centre is within the
+    ring. Nothing ever gathers the centres of a group. The result is written.
     """
     one = cut(centres.where("clat IS NOT NULL AND clon IS NOT NULL").groupBy(*group, "clat", "clon").agg(F.min(F.struct(*attrs)).alias("_a")))
-    idx = _index(one, group, reach_m, "a", ["_a"]).where(F.size("_ca") <= most)
-    y, x = _cell(F.col("lat"), F.col("lon"), reach_m)
-    best = F.array_min(F.transform("_ca", lambda c: F.struct(distance_m(F.col("lat"), F.col("lon"), c["clat"], c["clon"]).alias("distance_m"), c["_a"].alias("_a"))))
-    rows = points.withColumn("_pid", F.monotonically_increasing_id()).withColumn("_ya", y).withColumn("_xa", x).join(idx, [*group, "_ya", "_xa"], "left")
-    rows = cut(rows.withColumn("_best", best).withColumn("_best", F.when(F.col("_best.distance_m") <= reach_m, F.col("_best"))).drop("_ya", "_xa", "_ca"))
+    rows = points.withColumn("_pid", F.monotonically_increasing_id()).withColumn("_best", F.lit(None))
+    for reach in (reach_m, 12 * reach_m):
+        idx = _index(one, group, reach, "a", ["_a"]).where(F.size("_ca") <= most)
+        y, x = _cell(F.col("lat"), F.col("lon"), reach)
+        best = F.array_min(F.transform("_ca", lambda c: F.struct(distance_m(F.col("lat"), F.col("lon"), c["clat"], c["clon"]).alias("distance_m"), c["_a"].alias("_a"))))
+        rows = rows.withColumn("_ya", y).withColumn("_xa", x).join(idx, [*group, "_ya", "_xa"], "left").withColumn("_new", best)
+        rows = rows.withColumn("_best", F.coalesce("_best", F.when(F.col("_new.distance_m") <= reach, F.col("_new")))).drop("_ya", "_xa", "_ca", "_new")
+    rows = cut(rows)
     open_ = "_best IS NULL AND lat IS NOT NULL AND lon IS NOT NULL"
     parts, left = [rows.where(f"NOT ({open_})")], rows.where(open_)
     for k in range(1, _RINGS + 1):

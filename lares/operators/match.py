@@ -289,9 +289,10 @@ def gaps(units, rents_cells: DataFrame, rates, now=None, scope=None, p: Params =
 def knn_rent(sizes: DataFrame, comps: DataFrame, k: int = 8) -> DataFrame:
     """Median rent of the k comparables nearest in size, per distinct (zone, typ, m2u).
 
-    Ties in distance are taken by lower rent. Size cells nearer than the deciding distance
-    hold fewer than k listings in total, and the deciding distance contributes at most k, so
-    keeping the k cheapest of each size loses nothing.
+    Ties in distance are taken by lower rent. Every size that occurs holds a listing, so the k
+    nearest are within the k sizes on either side, which are met by their rank. Sizes nearer than
+    the deciding distance hold fewer than k listings in total, and the deciding distance
+    contributes at most k, so keeping the k cheapest of each size loses nothing.
     """
     from pyspark.sql import Window
     comps = cut(comps.select("zone", "typ", "m2", "rent"))
@@ -299,7 +300,9 @@ def knn_rent(sizes: DataFrame, comps: DataFrame, k: int = 8) -> DataFrame:
     head = comps.withColumn("_r", F.row_number().over(per_size)).where(F.col("_r") <= k).select("zone", "typ", "m2", "rent")
     counts = comps.groupBy("zone", "typ", "m2").agg(F.count("*").alias("n"))
     key = ["zone", "typ", "m2u"]
-    pairs = sizes.join(counts, ["zone", "typ"]).withColumn("d", F.abs(F.col("m2") - F.col("m2u")))
+    at, ordered = running_sums(counts, sizes, ["zone", "typ"], ["m2u"], "m2", ["n"], {"here": (F.col("m2u"), True)})
+    beside = at.select(*key, F.explode(F.sequence(F.col("here.rank") - k, F.col("here.rank") + k - 1)).alias("rank"))
+    pairs = cut(beside.join(ordered.select("zone", "typ", "rank", "m2", "n"), ["zone", "typ", "rank"]).drop("rank").withColumn("d", F.abs(F.col("m2") - F.col("m2u"))))
     rings = pairs.groupBy(*key, "d").agg(F.sum("n").alias("n"))
     cum = rings.withColumn("_before", F.sum("n").over(
         Window.partitionBy(*key).orderBy("d").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))

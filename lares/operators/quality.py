@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lares.functions.exprs import freshness_reason, implausible_reason, lit_or, pii_kinds
 from lares.operators.asof import with_rate
-from lares.operators.quantiles import grouped_quantiles, upper_median, windowed_quantiles
+from lares.operators.quantiles import grouped_quantiles, upper_median
+from lares.operators.ranges import range_quantiles, running_sums
 from lares.params import DEFAULT, PROVENANCE_COLUMNS, Params
 from lares.session import cut
 
@@ -63,9 +64,11 @@ def promo_clusters(values: DataFrame, p: Params = DEFAULT) -> DataFrame:
     peers = values.join(in_cluster, ["zone", "rent_clp"], "left_anti")
     freq = cut(peers.groupBy("zone", "m2", F.col("per_m2").alias("_v")).agg(F.count("*").alias("_n")))
     sizes = size.select("zone", "size").distinct()
-    cells = freq.select("zone", "m2").distinct()
-    windows = sizes.join(cells, "zone").where(F.abs(F.col("m2") - F.col("size")) <= F.col("size") * p.promo_peer_band)
-    ref = windowed_quantiles(windows.select("zone", "size", "m2"), freq, ["zone"], "m2", ["size"], {"reference": upper_median()})
+    cells = freq.groupBy("zone", "m2").agg(F.sum("_n").alias("n"))
+    reach = F.col("size") * p.promo_peer_band
+    at, ordered = running_sums(cells, sizes, ["zone"], ["size"], "m2", ["n"], {"lo": (F.col("size") - reach, False), "hi": (F.col("size") + reach, True)})
+    ranges = at.select("zone", "size", F.col("lo.rank").alias("low"), F.col("hi.rank").alias("high"))
+    ref = range_quantiles(ranges, cut(freq.join(ordered.select("zone", "m2", "rank"), ["zone", "m2"])), ["zone"], ["size"], {"reference": upper_median()})
     ref = ref.where(F.col("n_values") >= p.promo_min_peers).select("zone", "size", "reference", F.col("n_values").alias("peers"))
     return (
         clusters.join(size, ["zone", "rent_clp"]).join(level, ["zone", "rent_clp"]).join(ref, ["zone", "size"])

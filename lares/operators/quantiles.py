@@ -130,28 +130,3 @@ def grouped_quantiles(df: DataFrame, keys: list[str], value: Column, specs: dict
             few = rows.where((F.col("_d") <= most) | (F.col("_low") >= F.col("_high")))
             rows = cut(few.unionByName(_split(_crowded(rows, most), keys, specs)))
     return _finish(rows, keys, specs)
-
-
-def windowed_quantiles(windows: DataFrame, freq: DataFrame, group: list[str], cell: str, query: list[str], specs: dict) -> DataFrame:
-    """Quantiles of overlapping windows over cells, without joining windows to rows.
-
-    ``windows``: group columns + query columns + ``cell``: which cells each query covers
-    (cells are distinct sizes, so this table is bounded by the square of the size lattice).
-    ``freq``: group columns + ``cell`` + ``_v`` + ``_n``: counted values per cell.
-    Step one works on bucket histograms of the cells; step two reads only the values of the
-    buckets that hold a wanted rank. Coarser buckets than for plain groups keep the expanded
-    histogram small; one bucket still is a small part of a window.
-    """
-    keys = group + query
-    freq = freq.withColumn("_b", value_bucket(F.col("_v"), _COARSE))
-    cell_hist = freq.groupBy(*group, cell, "_b").agg(F.sum("_n").alias("_n"))
-    hist = windows.join(cell_hist, group + [cell]).groupBy(*keys, "_b").agg(F.sum("_n").alias("_n"))
-    need = _pick(hist, keys, specs)
-    cells_needed = need.join(windows, keys)
-    rows = (
-        cells_needed.join(freq, group + [cell, "_b"])
-        .groupBy(*keys, "_b", "_before", "_total", "_v").agg(F.sum("_n").alias("_n"))
-    )
-    return _finish(rows, keys, specs)
-
-

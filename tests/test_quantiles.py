@@ -4,7 +4,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lares.operators.ordered import with_neighbour
-from lares.operators.quantiles import grouped_quantiles, upper_median, windowed_quantiles
+from lares.operators.quantiles import grouped_quantiles, upper_median
+from lares.operators.ranges import range_quantiles, running_sums
 
 
 def test_grouped_quantiles_match_numpy_with_a_hot_group(spark):
@@ -38,8 +39,11 @@ def test_windowed_quantiles_match_brute_force(spark):
     comps = spark.createDataFrame(rows, "g string, m double, _v double")
     freq = comps.groupBy("g", "m", "_v").agg(F.count("*").alias("_n"))
     q = spark.createDataFrame([("z", 25.0), ("z", 40.0), ("z", 58.0)], "g string, q double")
-    win = q.join(freq.select("g", "m").distinct(), "g").where("abs(m - q) <= 5")
-    out = {r.q: (r.med, r.n_values) for r in windowed_quantiles(win, freq, ["g"], "m", ["q"], {"med": 0.5}).collect()}
+    cells = freq.groupBy("g", "m").agg(F.sum("_n").alias("n"))
+    at, ordered = running_sums(cells, q, ["g"], ["q"], "m", ["n"], {"lo": (F.col("q") - 5, False), "hi": (F.col("q") + 5, True)})
+    ranges = at.select("g", "q", F.col("lo.rank").alias("low"), F.col("hi.rank").alias("high"))
+    found = range_quantiles(ranges, freq.join(ordered.select("g", "m", "rank"), ["g", "m"]), ["g"], ["q"], {"med": 0.5})
+    out = {r.q: (r.med, r.n_values) for r in found.collect()}
     for x in (25.0, 40.0, 58.0):
         vs = [v for _, m, v in rows if abs(m - x) <= 5]
         assert out[x] == (float(np.median(vs)), len(vs))
