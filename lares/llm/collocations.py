@@ -266,6 +266,11 @@ def _mark(reached: np.ndarray, state: DataFrame, step: int) -> set[int]:
     return {r["k"] for r in fresh.select((F.col("_f") % 8).alias("k")).distinct().collect()}
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def counts(spark: SparkSession, folder: str, words: int, shards: int = SHARDS, least: int = LEAST, slots: int = SLOTS) -> DataFrame:
     """key, k, n of every phrase that occurs ``least`` times or more in its language."""
     reached = np.zeros(slots, np.uint8)
@@ -277,8 +282,13 @@ def counts(spark: SparkSession, folder: str, words: int, shards: int = SHARDS, l
         if not levels:
             break
         sent = _sent(spark, reached)
-        state = cut(counted_step(shard_of(step), state, sent, slots, step, shards, levels, buckets, least))
+        step_folder = f"{folder}-states/{step}"
+        next_state = counted_step(shard_of(step), state, sent, slots, step, shards, levels, buckets, least)
+        next_state.write.parquet(step_folder)
         sent.destroy()  # what it was for is written
+        state = spark.read.schema(next_state.schema).parquet(step_folder)
+        if step:
+            _delete(spark, f"{folder}-states/{step - 1}")  # nothing reads it any more
         for k in _mark(reached, state, step):
             last[k] = step
         step += 1
