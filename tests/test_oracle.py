@@ -12,7 +12,8 @@ from oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = ["comparables", "comparable_discards", "rent_cells", "match_discards", "suspicious_rent", "scd2_build", "market_delta", "permanence", "unit_metrics", "irr", "score", "nearest_in_group",
-          "zone_risk", "hedonic_loco", "page_extract", "pii_redact", "url_policy_match", "json_field_tiers", "search_overlap", "dup_within_window"]
+          "zone_risk", "hedonic_loco", "page_extract", "pii_redact", "url_policy_match", "json_field_tiers", "search_overlap", "dup_within_window",
+          "replay_versions", "snapshot_changes", "scd_incremental", "stream_versions", "price_quantiles", "size_positions", "station_stops", "extractor_selftest"]
 KEYS = sorted(entry.queries()) if os.environ.get("LARES_FULL") else SAMPLE
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="tables not present")
