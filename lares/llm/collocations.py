@@ -98,7 +98,7 @@ def folder_of(docs: DataFrame, shards: int = SHARDS) -> str:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), text.alias("text"), F.pmod(F.xxhash64("doc_id", text), F.lit(shards)).cast("int").alias("shard"))
     path = f"{shared_dir(spark)}/lares-phrases-{uuid.uuid4().hex}"
-    rows.mapInArrow(run, "lang string, words array<long>, n long, hash long, word string, shard int").write.option("parquet.block.size", 16 << 20).option("parquet.dictionary.page.size", 4 << 20).partitionBy("shard").parquet(path)
+    rows.mapInArrow(run, "lang string, words array<long>, n long, hash long, word string, shard int").write.option("compression", "zstd").option("parquet.block.size", 16 << 20).option("parquet.dictionary.page.size", 4 << 20).partitionBy("shard").parquet(path)
     return path
 
 
@@ -284,7 +284,7 @@ def counts(spark: SparkSession, folder: str, words: int, shards: int = SHARDS, l
         sent = _sent(spark, reached)
         step_folder = f"{folder}-states/{step}"
         next_state = counted_step(shard_of(step), state, sent, slots, step, shards, levels, buckets, least)
-        next_state.write.parquet(step_folder)
+        next_state.write.option("compression", "zstd").parquet(step_folder)
         sent.destroy()  # what it was for is written
         state = spark.read.schema(next_state.schema).parquet(step_folder)
         if step:
