@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import json
 from array import array
+from os.path import commonprefix
 
 import pyarrow as pa
 import regex
@@ -35,7 +36,8 @@ from lares.llm.tokens import Recent, default_vocabulary
 #: The most pairs of tokens whose seam is remembered.
 SEAMS = 2_000_000
 
-BYTES = [bytes((i,)) for i in range(256)]
+#: Longer words (in characters) are not remembered.
+LONG = 1_000
 
 #: White space and the byte-level split of texts in words.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -49,6 +51,27 @@ def _byte_alphabet() -> dict[str, int]:
     return out | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(own))}
 
 
+def _trie(words: list[str]) -> dict[int, tuple[bytes, dict]]:
+    """Edges by first byte: (label, node below); an edge is as long as no word ends or branches off inside. ``-1`` holds the word that ends at a node."""
+    root: dict = {}
+    for w in words:
+        rest, node = w.encode(), root
+        while rest:
+            label, below = node.get(rest[0], (b"", None))
+            if below is None:
+                node[rest[0]] = (rest, below := {})
+                node, rest = below, b""
+            elif rest.startswith(label):
+                node, rest = below, rest[len(label) :]
+            else:
+                same = len(commonprefix([label, rest]))
+                middle = {label[same]: (label[same:], below)}
+                node[rest[0]] = (label[:same], middle)
+                node, rest = middle, rest[same:]
+        node[-1] = w
+    return root
+
+
 class TrieEncoder:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -78,7 +101,7 @@ class TrieEncoder:
             if not (a in self.rank and b in self.rank and self._seam(a, b, self.rank[t])):
                 del self.id_of[self.bytes_of[t]]
         self.seams.clear()
-        self.packed_id = {t: t.to_bytes(4, "little") for t in self.id_of.values()}
+        self.longest = max(map(len, self.id_of))
         #: every suffix of a token: the token it is, or -1
         self.ends: dict[bytes, int] = {b[k:]: -1 for b in self.id_of for k in range(1, len(b))} | self.id_of
         self.known = Recent()
@@ -102,49 +125,53 @@ class TrieEncoder:
                 limit, right = b + 1, self.parts[right][0]
 
     def _learn(self, words: list[str]) -> None:
-        """Encode new words: one trie, one depth-first walk."""
-        root: dict = {}
-        for w in words:
-            node = root
-            for byte in w.encode():
-                child = node.get(byte)
-                if child is None:
-                    child = node[byte] = {}
-                node = child
-            node[-1] = w
-        ends, seams, packed_id, known = self.ends, self.seams, self.packed_id, self.known.now
+        """Encode new words: one trie, one depth-first walk. Time and memory are linear in the bytes of the trie."""
+        seams, known, longest = self.seams, self.known.now, self.longest
         if len(seams) > SEAMS:
             seams.clear()
-        last, packed = [-1], [b""]  # states of the nodes on the present path
-        stack = [(bytes((byte,)), child) for byte, child in root.items()]
+        ends = self.ends
+        last, begins = array("i", [-1]), array("i", [0])  # states of the places on the present path: last token, where it begins
+        stack = [(0, b"", edge) for edge in _trie(words).values()]
         while stack:
-            prefix, node = stack.pop()
-            depth = len(prefix)
-            del last[depth:], packed[depth:]
-            # tokens that end here: longer and longer suffixes, while some token has them at its end
-            fitting = []
-            for begin in range(depth - 1, -1, -1):
-                token = ends.get(prefix[begin:])
-                if token is None:
+            depth, tail, (label, node) = stack.pop()
+            del last[depth + 1 :], begins[depth + 1 :]
+            path = tail + label  # as much of the path as a token can reach back
+            before = depth - len(tail)
+            for end in range(len(tail) + 1, len(path) + 1):
+                # tokens that end here: longer and longer suffixes, while some token has them at its end
+                fitting = []
+                for begin in range(end - 1, -1, -1):
+                    token = ends.get(path[begin:end])
+                    if token is None:
+                        break
+                    if token >= 0:
+                        fitting.append((before + begin, token))
+                for begin, token in reversed(fitting):
+                    if begin:
+                        pair = (last[begin], token)
+                        fits = seams.get(pair)
+                        if fits is None:
+                            fits = seams[pair] = self._seam(*pair)
+                        if not fits:
+                            continue
+                    last.append(token)
+                    begins.append(begin)
                     break
-                if token >= 0:
-                    fitting.append((begin, token))
-            for begin, token in reversed(fitting):
-                if begin:
-                    pair = (last[begin], token)
-                    fits = seams.get(pair)
-                    if fits is None:
-                        fits = seams[pair] = self._seam(*pair)
-                    if not fits:
-                        continue
-                last.append(token)
-                packed.append(packed[begin] + packed_id[token])
-                break
-            for byte, child in node.items():
+            depth, tail = before + len(path), path[-longest:]
+            for byte, edge in node.items():
                 if byte == -1:
-                    known[child] = packed[depth]
+                    known[edge] = self._ids(last, begins, depth)
                 else:
-                    stack.append((prefix + BYTES[byte], child))
+                    stack.append((depth, tail, edge))
+
+    @staticmethod
+    def _ids(last: array, begins: array, at: int) -> bytes:
+        """The ids of the path up to ``at``, by stepping back over last tokens."""
+        out = []
+        while at:
+            out.append(last[at])
+            at = begins[at]
+        return array("I", out[::-1]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text."""
@@ -162,7 +189,11 @@ class TrieEncoder:
             known[m] = i.to_bytes(4, "little")
         if new:
             self._learn(new)
-        return [b"".join(map(known.__getitem__, p)) for p in pieces]
+        out = [b"".join(map(known.__getitem__, p)) for p in pieces]
+        for w in new:
+            if len(w) > LONG:
+                del known[w]
+        return out
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes_of.__getitem__, array("I", ids))).decode("utf-8", "replace")

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from array import array
 from collections import defaultdict
@@ -34,6 +35,34 @@ def test_trie_encoding_equals_library():
         assert ours.decode(ids) == lib.decode(want, skip_special_tokens=False)
 
 
+def _long_words(n):
+    r = random.Random(5)
+    letters = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    return [letters, letters + "x", letters[: n // 2] + "Q", "a" * n, "-" * (n // 8), "".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(n // 3)), "é" * n]
+
+
+def test_long_words_cost_what_their_length_is():
+    """Runs of letters, unspaced ideographs and long words that share a beginning: equal to the library, memory linear, none remembered."""
+    lib, ours, texts = _library("byte_bpe_50k.json"), trie_bpe.TrieEncoder(default_vocabulary("byte_bpe_50k.json")), _long_words(30_000)
+    for text, ids in zip(texts, ours.encode(texts), strict=True):
+        assert list(array("I", ids)) == lib.encode(text, add_special_tokens=False).ids
+    assert not set(texts) & set(ours.known.now)
+    tracemalloc.start()
+    ours.encode(_long_words(150_000)[:1])
+    assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    tracemalloc.stop()
+
+
+def test_trie_branches_anywhere():
+    """Words that are beginnings of others, and control characters on both sides of a branch."""
+    words = ["\x01\x01", "\x01", "\x01\x00", "\x00", "\x00\x01\x01", "!!", "!", "!!!\x01", "abc", "ab", "abd", "a", "abcde"]
+    lib = _library("byte_bpe_50k.json")
+    for order in (words, words[::-1], sorted(words)):
+        ours = trie_bpe.TrieEncoder(default_vocabulary("byte_bpe_50k.json"))
+        ours._learn(order)
+        assert {w: list(array("I", ours.known.now[w])) for w in words} == {w: lib.encode(w, add_special_tokens=False).ids for w in words}
+
+
 def test_trie_memory_is_bounded(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE", 50)
     lib, ours, texts = _library("byte_bpe_50k.json"), trie_bpe.TrieEncoder(default_vocabulary("byte_bpe_50k.json")), _texts(60)
