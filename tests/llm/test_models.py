@@ -1,5 +1,6 @@
 """Language ID, language model and nearest neighbours against brute force and held-out rows."""
 
+import math
 import random
 import zlib
 from collections import Counter
@@ -48,6 +49,74 @@ def test_long_texts_can_be_rejected(spark, corpus):
     assert got == {0: True, 1: True, 2: True, 3: False}
 
 
+def _plain_trigrams(text):
+    """Hashed trigram counts, a byte at a time."""
+    folded = []
+    for b in f" {text.lower()} ".encode():
+        b = b if 97 <= b <= 122 or b >= 128 else 32
+        if not (b == 32 and folded and folded[-1] == 32):
+            folded.append(b)
+    out = {}
+    for x, y, z in zip(folded, folded[1:], folded[2:], strict=False):
+        h = ((x << 16 | y << 8 | z) * 2654435761 % 2**32) // (2**32 // langid.DIMS)
+        out[h] = out.get(h, 0) + 1
+    return out
+
+
+def _plain_unit(v):
+    norm = math.sqrt(sum(x * x for x in v.values()))
+    return {k: x / norm for k, x in v.items()} if norm else v
+
+
+def _plain_mean(vs):
+    out = {}
+    for v in vs:
+        for k, x in v.items():
+            out[k] = out.get(k, 0.0) + x / len(vs)
+    return out
+
+
+def _cosine(v, c):
+    return sum(x * c.get(k, 0.0) for k, x in v.items())
+
+
+def _plain_centroids(vs, k):
+    centres = [_plain_unit(_plain_mean(vs))]
+    while len(centres) < min(k, len(vs)):
+        centres.append(min(vs, key=lambda v: max(_cosine(v, c) for c in centres)))
+    for _ in range(10):
+        mine = [max(range(len(centres)), key=lambda j: _cosine(v, centres[j])) for v in vs]  # noqa: B023
+        centres = [_plain_unit(_plain_mean([v for v, m in zip(vs, mine, strict=True) if m == j])) if j in mine else c for j, c in enumerate(centres)]
+    return centres
+
+
+def test_language_id_equals_brute_force(corpus):
+    """Counts, weights, clusters and cosines again in plain Python, on every document of the smallest table."""
+    docs = corpus.select("doc_id", "text", "lang").collect()
+    train = {}
+    for r in docs:
+        if r.text is not None and r.lang is not None and not _held(r.doc_id, langid.FOLDS) and any(c.isalpha() for c in r.text):
+            train.setdefault(r.lang, []).append(_plain_trigrams(r.text))
+    assert max(map(len, train.values())) <= langid.PER_LANGUAGE  # all of them train
+    every = [v for vs in train.values() for v in vs]
+    df = {}
+    for v in every:
+        for k in v:
+            df[k] = df.get(k, 0) + 1
+    weighted = lambda v: _plain_unit({k: math.log1p(n) * (math.log((1 + len(every)) / (1 + df.get(k, 0))) + 1) for k, n in v.items()})
+    centres = {lang: _plain_centroids([weighted(v) for v in vs], langid.CENTROIDS) for lang, vs in train.items()}
+    got = {r.doc_id: r for r in langid.predicted(corpus).collect()}
+    assert len(got) == len(docs)
+    for r in docs:
+        if r.text is None or not any(c.isalpha() for c in r.text):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == (langid.UND, 0.0)
+            continue
+        v = weighted(_plain_trigrams(r.text))
+        best = {lang: max(_cosine(v, c) for c in cs) for lang, cs in centres.items()}
+        top = max(best.values())
+        assert abs(got[r.doc_id].score - top) < 1e-4 and best[got[r.doc_id].lang_pred] > top - 1e-4
+
+
 def test_prediction_reads_the_text_only(corpus):
     changed = corpus.withColumn("lang", F.when(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit("xx")).otherwise(F.col("lang")))
     key = lambda df: sorted((r["doc_id"], r["lang_pred"], r["score"]) for r in df.collect())
