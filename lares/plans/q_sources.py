@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lares.functions.exprs import rnd
-from lares.plans.bindings import NOW, PART_SQL, exact_avg
+from lares.plans.bindings import NOW, PART_SQL, dealt, exact_avg
 from lares.plans.registry import query, sql_with
 from lares.sources import feeds, landing, pages
 
@@ -142,8 +142,7 @@ def listing_pages(t):
         F.when(k % 5 == 0, '<span class="poly-component__float-highlight">PUBLICADO HOY</span>').otherwise(""), F.lit("</div>"))
     twice = F.when(k % 13 == 0, F.concat(card, card)).otherwise(card)
     g = t.part_dims.groupBy("district", F.floor(k / 240).alias("block")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), twice.alias("h")))), lambda x: x["h"]), "").alias("cards"))
-    # derived pages are costly to parse: dealt by page instead of all in one task
-    return g.repartition("district", "block").select(F.concat_ws("-", "district", F.col("block").cast("string")).alias("page_id"),
+    return dealt(g, "district", "block").select(F.concat_ws("-", "district", F.col("block").cast("string")).alias("page_id"),
                     F.concat(F.lit("https://x.example/venta/departamento/propiedades-usadas/"), "district", F.lit("-metropolitana_Desde_1")).alias("url"),
                     F.concat(F.lit("<html><body><section>"), "cards", F.lit("</section></body></html>")).alias("html"))
 
@@ -190,7 +189,7 @@ def detail_pages(t):
         crumb(op), crumb(F.lit("Departamentos")), crumb(F.lit("Propiedades usadas")), crumb(F.concat(F.lit("Comuna "), "district")), crumb(F.concat(F.lit("Barrio "), F.col("brand").cast("string"))), F.lit("</ol>"), money,
         F.lit('<table class="andes-table">'), row("Superficie útil", F.concat((F.col("p_size") + 14).cast("string"), F.lit(" m²"))), row("Dormitorios", F.when(k % 8 == 0, F.lit("1 a 2")).otherwise((k % 4).cast("string"))),
         row("Baños", F.lit("2")), row("Antiguedad", F.concat((k % 40).cast("string"), F.lit(" años"))), F.lit("</table></body></html>"))
-    parts = t.part_dims.repartition("p_partkey")
+    parts = dealt(t.part_dims, "p_partkey")
     return parts.select(k.cast("string").alias("page_id"), F.concat(F.lit("https://x.example/MLC-"), k.cast("string"), F.lit("-x")).alias("url"), html.alias("html"))
 
 

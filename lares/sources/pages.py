@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from lares.functions.exprs import (in_kind_range, is_new_from_path, location_split, parse_number, publish_bounds,
                                    safe_short_text, slugify, typology, url_sanitize)
 from lares.params import DEFAULT, Params
+from lares.session import settle
 
 # --- fixed values: class names and labels of the listing pages
 CARD_CLASS = "poly-card"
@@ -34,6 +35,8 @@ CRUMB_NOISE = ("arriendo", "venta", "departamentos", "...", "propiedades usadas"
 USED_CRUMB = "propiedades usadas"
 NEW_CRUMBS = ("propiedades nuevas", "proyectos nuevos", "proyectos")
 BASE_URL = "https://www.portalinmobiliario.com"
+#: Pages (and bytes of them) handed to an extractor at a time; with its rows they bound a worker's memory.
+BATCH_PAGES, BATCH_BYTES = 256, 8 << 20
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
@@ -44,12 +47,15 @@ class _Walker(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, list[str]]] = []
+        self.within: dict[str, int] = {}  # open elements per class
 
     def handle_starttag(self, tag, attrs):
-        a = {k: v or "" for k, v in attrs}
-        classes = a.get("class", "").split()
+        a = {k: v or "" for k, v in attrs} if attrs else {}
+        classes = a["class"].split() if "class" in a else []
         if tag not in _VOID:
             self.stack.append((tag, classes))
+            for c in set(classes):
+                self.within[c] = self.within.get(c, 0) + 1
         self.opened(tag, classes, a)
 
     def handle_startendtag(self, tag, attrs):
@@ -57,15 +63,19 @@ class _Walker(HTMLParser):
         self.opened(tag, a.get("class", "").split(), a)
 
     def handle_endtag(self, tag):
-        names = [t for t, _ in self.stack]
-        if tag not in names:
+        if not (self.stack and self.stack[-1][0] == tag) and tag not in [t for t, _ in self.stack]:
             return
         while self.stack:
-            t, c = self.stack.pop()
+            t, classes = self.stack.pop()
+            for c in set(classes):
+                self.within[c] -= 1
             self.closed(t, len(self.stack))
             if t == tag:
                 break
 
+    def updatepos(self, i, j):  # nobody asks for line numbers
+        return j
+
     def opened(self, tag, classes, attrs): ...
 
     def closed(self, tag, depth): ...
@@ -151,6 +161,10 @@ def card_extractor(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def run_extractor(pages: DataFrame, extractor: Callable, schema: str) -> DataFrame:
+    """Rows of an extractor; pages come in small batches, since a page of cards is large and its rows are larger."""
+    conf = pages.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_PAGES))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return pages.mapInPandas(extractor, schema)
 
 
@@ -180,10 +194,11 @@ def parse_cards(cards: DataFrame, p: Params = DEFAULT) -> DataFrame:
     place, hood = location_split(c("location"), place_from_url(c("url")))
     exact, since = publish_bounds(c("fetched_at"), c("highlight"))
     clean_url = F.split(F.split("href", "#")[0], r"\?")[0]
+    # values are fixed before others are derived from them, else each use repeats the parsing
+    rows = settle(rows.withColumns({"currency": currency, "amount": amount, "beds": beds, "baths": baths, "m2": m2, "place": place, "hood": hood}))
     out = rows.select(
-        "page_id", "listing_id", "operation", currency.alias("currency"), amount.alias("amount"), beds.alias("beds"), baths.alias("baths"),
-        typology(beds, baths).alias("typ"), m2.alias("m2"), place.alias("place"), hood.alias("hood"),
-        F.when(place.isNotNull() & hood.isNotNull(), F.concat(slugify(place), F.lit("/"), slugify(hood))).alias("zone"),
+        "page_id", "listing_id", "operation", "currency", "amount", "beds", "baths", typology(c("beds"), c("baths")).alias("typ"), "m2", "place", "hood",
+        F.when(c("place").isNotNull() & c("hood").isNotNull(), F.concat(slugify(c("place")), F.lit("/"), slugify(c("hood")))).alias("zone"),
         url_sanitize(clean_url, c("listing_id"), BASE_URL).alias("listing_url"), safe_short_text(c("title")).alias("title"),
         F.when(c("project_text"), "E").otherwise("V").alias("evidence"), is_new_from_path(c("url")).alias("is_new"),
         exact.alias("published_on"), since.alias("published_since"))
@@ -206,6 +221,9 @@ DETAIL_SCHEMA = (
     "fraction string, cents string, specs map<string,string>, length int, error string")
 
 
+MONEY_CLASSES = {"andes-money-amount__currency-symbol": "symbol", "andes-money-amount__fraction": "fraction", "andes-money-amount__cents": "cents"}
+
+
 class _Detail(_Walker):
     def __init__(self):
         super().__init__()
@@ -215,7 +233,7 @@ class _Detail(_Walker):
         self.row: dict[str, str] = {}
 
     def _inside(self, cls):
-        return any(cls in c for _, c in self.stack)
+        return self.within.get(cls, 0) > 0
 
     def opened(self, tag, classes, attrs):
         depth = len(self.stack) - 1
@@ -226,8 +244,8 @@ class _Detail(_Walker):
             self.open.append(("crumb", depth))
         if tag == "a" and self._inside("andes-breadcrumb__item"):
             self.paths.append(attrs.get("href", ""))
-        for cls, key in (("andes-money-amount__currency-symbol", "symbol"), ("andes-money-amount__fraction", "fraction"), ("andes-money-amount__cents", "cents")):
-            if cls in classes and self.money[key] is None:
+        for key in [MONEY_CLASSES[x] for x in MONEY_CLASSES if x in classes] if classes else ():
+            if self.money[key] is None:
                 self.money[key] = ""
                 self.open.append((key, depth))
         if self._inside("andes-table"):
@@ -247,7 +265,8 @@ class _Detail(_Walker):
                 self.money[key] += data
 
     def closed(self, tag, depth):
-        self.open = [(k, d) for k, d in self.open if d < depth]
+        if self.open:
+            self.open = [(k, d) for k, d in self.open if d < depth]
         if tag == "tr" and {"th", "td"} <= self.row.keys():
             self.specs[self.row["th"].strip()] = self.row["td"].strip()
             self.row = {}
@@ -272,30 +291,33 @@ def parse_details(raw: DataFrame, min_length: int = 100_000, p: Params = DEFAULT
     """Typed detail rows; pages too short to be a listing or without operation or price are left out."""
     c = F.col
     lid = F.regexp_extract("url", r"/(MLC-\d+)", 1)
-    low = F.transform("crumbs", lambda x: F.lower(x))
-    paths = F.array_join("crumb_paths", " ")
+    # values are fixed before others are derived from them, else each use repeats the parsing
+    rows = settle(raw.where(c("error").isNull() & (c("length") >= min_length) & (lid != "")).withColumns({
+        "_lid": lid, "_low": F.transform("crumbs", lambda x: F.lower(x)), "_paths": F.array_join("crumb_paths", " ")}))
+    lid, low, paths = c("_lid"), c("_low"), c("_paths")
     operation = (F.when(F.array_contains(low, "arriendo"), "rent").when(F.array_contains(low, "venta"), "sale")
                  .when(paths.contains("/arriendo/"), "rent").when(paths.contains("/venta/"), "sale"))
     project = (F.coalesce(c("canonical"), F.lit("")) != "") & ~F.contains("canonical", lid)
-    new = (F.when(F.array_contains(low, USED_CRUMB) | paths.contains("propiedades-usadas"), False)
-           .when(F.arrays_overlap(low, F.array(*[F.lit(x) for x in NEW_CRUMBS])) | paths.contains("propiedades-nuevas") | project, True))
     noise = F.array(*[F.lit(x) for x in CRUMB_NOISE])
     places = F.filter("crumbs", lambda x: ~F.array_contains(noise, F.lower(x)) & ~F.lower(x).contains("metropolitana"))
-    n = F.size(places)
-    place = F.when(n >= 2, F.element_at(places, -2)).when(n == 1, F.element_at(places, -1))
-    hood = F.when(n >= 2, F.element_at(places, -1))
     cents = F.regexp_replace(F.trim("cents"), r"^,", "")
     amount = parse_number(F.concat(F.trim("fraction"), F.when(c("cents").isNotNull(), F.concat(F.lit(","), F.trim(cents))).otherwise("")))
     spec = lambda *names: F.coalesce(*[F.element_at("specs", F.lit(x)) for x in names])
     number = lambda *names: parse_number(spec(*names))
-    beds, baths = number("Dormitorios").cast("int"), number("Baños", "Banos").cast("int")
-    out = raw.where(c("error").isNull() & (c("length") >= min_length) & (lid != "")).select(
-        "page_id", lid.alias("listing_id"), operation.alias("operation"), F.when(F.upper(F.coalesce("symbol", F.lit(""))).contains("UF"), "UF").otherwise("CLP").alias("currency"),
-        amount.alias("amount"), place.alias("place"), hood.alias("hood"),
+    rows = settle(rows.withColumns({
+        "_places": places, "operation": operation, "currency": F.when(F.upper(F.coalesce("symbol", F.lit(""))).contains("UF"), "UF").otherwise("CLP"), "amount": amount,
+        "m2": number("Superficie útil", "Superficie util"), "beds": number("Dormitorios").cast("int"), "baths": number("Baños", "Banos").cast("int"), "is_project": project}))
+    n = F.size("_places")
+    place = F.when(n >= 2, F.element_at("_places", -2)).when(n == 1, F.element_at("_places", -1))
+    hood = F.when(n >= 2, F.element_at("_places", -1))
+    new = (F.when(F.array_contains(low, USED_CRUMB) | paths.contains("propiedades-usadas"), False)
+           .when(F.arrays_overlap(low, F.array(*[F.lit(x) for x in NEW_CRUMBS])) | paths.contains("propiedades-nuevas") | c("is_project"), True))
+    out = rows.select(
+        "page_id", lid.alias("listing_id"), "operation", "currency", "amount", place.alias("place"), hood.alias("hood"),
         F.when(place.isNotNull() & hood.isNotNull(), F.concat(slugify(place), F.lit("/"), slugify(hood))).alias("zone"),
-        number("Superficie útil", "Superficie util").alias("m2"), beds.alias("beds"), baths.alias("baths"), typology(beds, baths).alias("typ"),
+        "m2", "beds", "baths", typology(c("beds"), c("baths")).alias("typ"),
         number("Antigüedad", "Antiguedad").cast("int").alias("age_years"), number("Gastos comunes").alias("fees_clp"),
-        new.alias("is_new"), project.alias("is_project"),
+        new.alias("is_new"), "is_project",
         url_sanitize(F.when(F.coalesce("canonical", F.lit("")) != "", c("canonical")).otherwise(c("url")), lid, BASE_URL).alias("listing_url"))
     ok = (c("operation").isNotNull() & in_kind_range(c("operation"), c("currency"), c("amount"))
           & (c("m2").isNull() | c("m2").between(*p.m2_range)) & (c("beds").isNull() | c("beds").between(0, 6)))

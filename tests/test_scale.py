@@ -6,6 +6,8 @@ from lares.operators import invest as I
 from lares.operators import order
 from lares.plans.bindings import Tables
 from lares.plans.q_invest import eval_units
+from lares.plans.q_sources import detail_pages
+from lares.sources import pages
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,3 +27,16 @@ def test_catalyst_sweep_writes_only_what_scores_need(spark, monkeypatch):
 def test_units_are_dealt_by_key_before_evaluation(spark):
     plan = eval_units(Tables(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan
+
+
+def test_extractors_get_small_batches(spark):
+    def sizes(batches):
+        for b in batches:
+            yield b.assign(n=len(b))[["n"]]
+
+    some = spark.range(0, 1000, 1, 1).selectExpr("cast(id AS string) AS page_id", "'u' AS url", "'<html>' AS html")
+    assert pages.run_extractor(some, sizes, "n long").groupBy().max("n").first()[0] <= 256
+
+
+def test_detail_pages_are_dealt_over_all_tasks(spark):
+    assert detail_pages(Tables(spark, SF)).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
