@@ -13,7 +13,7 @@ from lares.plans.bindings import SCOPE_SQL, UNITS_SQL
 from lares.plans.q_geo import GEO, NEAR_SQL, CENSUS_SQL, GEO_SQL, risk_of, RISK_SQL
 from lares.plans.q_invest import rd, rs
 from lares.plans.q_match import MATCH_SQL, P, UNIT_ROWS_SQL, WINDOW_SQL, decide_sql, inputs, scope_of
-from lares.plans.q_rent import CELLS_SQL, COMPS, comps_of
+from lares.plans.q_rent import CELLS_SQL, COMPS, comps_and_furnished_of, comps_of
 from lares.plans.registry import query, sql_with
 
 STEPS = 14
@@ -57,7 +57,7 @@ hadj AS (SELECT zone, typ, count(*) AS n_cell, sum(e)/(count(*)+8) AS adjust FRO
 
 
 def obs_of(t):
-    return H.observations(comps_of(t), R.furnished_sizes(t.rents, t.now), P)
+    return H.observations(*comps_and_furnished_of(t), P)
 
 
 def cells_of(t):
@@ -134,7 +134,7 @@ LOCO = (*COMPS, OBS_SQL, EXAM_SQL, fit_sql("xc", "x_"), SCORED_SQL)
 
 
 def exams_done(t):
-    rows, cells = H.exams(comps_of(t), R.furnished_sizes(t.rents, t.now), P)
+    rows, cells = H.exams(*comps_and_furnished_of(t), P)
     return H.run_exams(rows, cells, P)
 
 
@@ -164,7 +164,7 @@ swept AS (SELECT k AS shrink, (round(exp(mu + bt*ln(e.m2) + t.raw*t.nt/(t.nt+k)
     final="SELECT shrink, count(error) AS n, round(quantile_cont(abs(error),0.5),5)+0.0 AS median_abs, round(quantile_cont(abs(error),0.75),5)+0.0 AS p75_abs FROM swept GROUP BY 1"))
 def sweep_q(t):
     """Back-test errors at three strengths of shrinkage, from one pass over the exams."""
-    rows, cells = H.exams(comps_of(t), R.furnished_sizes(t.rents, t.now), P)
+    rows, cells = H.exams(*comps_and_furnished_of(t), P)
     return H.shrinkage_sweep(H.run_exams(rows, cells, P, SHRINKS)).select("shrink", "n", *rd(["median_abs", "p75_abs"], 5))
 
 

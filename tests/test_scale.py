@@ -1,9 +1,12 @@
 """What large tables need: narrow tables between steps, work dealt over tasks, one pass over the listings."""
 
 
+from pyspark.sql import functions as F
+
 from lares.operators import compare as C
 from lares.operators import invest as I
 from lares.operators import order
+from lares.operators import rent as R
 from lares.plans.bindings import Tables
 from lares.plans.q_invest import eval_units
 from lares.plans.q_sources import detail_pages
@@ -40,3 +43,14 @@ def test_extractors_get_small_batches(spark):
 
 def test_detail_pages_are_dealt_over_all_tasks(spark):
     assert detail_pages(Tables(spark, SF)).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_comparables_and_furnished_sizes_come_from_one_pass(spark):
+    t = Tables(spark, SF)
+    kinds = dict(t.rents.dtypes)
+    bare = t.rents.where("url LIKE '%amoblado%'").limit(40).withColumns({c: F.lit(None).cast(kinds[c]) for c in ("rent_uf", "rent_clp")})
+    rents = t.rents.unionByName(bare).localCheckpoint()
+    both = R.comparables_and_furnished(rents, t.rates, t.now)
+    for got, want in zip(both, (R.comparables(rents, t.rates, t.now), R.furnished_sizes(rents, t.now)), strict=True):
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) != []
+    assert "lineitem" not in "".join(both[0].inputFiles() + both[1].inputFiles())
