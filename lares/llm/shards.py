@@ -35,6 +35,7 @@ from lares.llm.tokens import default_vocabulary, rank_encoder
 from lares.session import shared_dir
 
 SEQUENCE, CLOSING, HEADER = 256, 50_256, 16
+CLOSING_ID = np.array([CLOSING], dtype="<u2")
 STRIDE = HEADER + 2 * SEQUENCE + 1
 #: Sequences of a shard; rounds of the permutation.
 SHARD, ROUNDS = 16_384, 4
@@ -92,7 +93,7 @@ def write(docs: DataFrame, folder: str, key: int = 1, vocabulary: str | None = N
     def count(batches):
         from pyspark import TaskContext
 
-        encode, n = rank_encoder(path).encode_ordinary, 0
+        encode, n = rank_encoder(path), 0
         for b in batches:
             n += sum(_sequences(len(encode(t)) + 1) for t in texts(b))
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n])], names=["part", "n"])
@@ -109,18 +110,18 @@ def write(docs: DataFrame, folder: str, key: int = 1, vocabulary: str | None = N
     def records(batches):
         from pyspark import TaskContext
 
-        encode = rank_encoder(path).encode_ordinary
+        encode = rank_encoder(path)
         part = TaskContext.get().partitionId()
         number, due = first[part]
         due += number
         for b in batches:
             out = []
             for doc_id, text in zip(b.column(0).to_pylist(), texts(b), strict=True):
-                short = np.array([*encode(text), CLOSING], dtype="<u2")
+                short = np.append(encode(text).astype("<u2"), CLOSING_ID).tobytes()
                 head = np.int64(NO_ID if doc_id is None else doc_id).tobytes()
-                for piece, start in enumerate(range(0, len(short), SEQUENCE)):
-                    s = short[start : start + SEQUENCE]
-                    out.append(head + piece.to_bytes(4, "little") + len(s).to_bytes(4, "little") + s.tobytes())
+                for piece, start in enumerate(range(0, len(short), 2 * SEQUENCE)):
+                    s = short[start : start + 2 * SEQUENCE]
+                    out.append(head + piece.to_bytes(4, "little") + (len(s) // 2).to_bytes(4, "little") + s)
             slots = order.slots(np.arange(number, number + len(out)))
             number += len(out)
             yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(out, pa.binary())], names=["slot", "record"])

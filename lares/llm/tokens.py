@@ -12,6 +12,7 @@ import base64
 import os
 import re
 from array import array
+from functools import partial
 
 #: Entries of one generation of a worker's memory of words or pieces.
 CACHE = 200_000
@@ -112,12 +113,17 @@ def word_encoder(path: str) -> WordEncoder:
 
 
 def rank_encoder(path: str):
-    """A tiktoken encoder of a rank file without special tokens, one per worker process."""
+    """text -> its ids as an array, by a tiktoken encoder of a rank file, one per worker process.
+
+    The library's buffer of ids becomes an array without a Python integer per id. It wants a special
+    token; none is allowed in a text, so its string is ordinary text.
+    """
     if path not in _ENCODERS:
         import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        _ENCODERS[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": max(ranks.values()) + 1})
+        _ENCODERS[path] = partial(encoding.encode_to_numpy, allowed_special=set(), disallowed_special=())
     return _ENCODERS[path]
