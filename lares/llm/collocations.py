@@ -9,13 +9,15 @@ scans end one cycle after the last phrase has reached the threshold.
 How Spark does it:
 
 * Texts are read once and written as word hashes, by shard; a scan reads one shard's folder. The
-  words themselves go to a dictionary table that only the result meets.
+  words themselves go to a dictionary table that only the result meets; their hashes are Spark's
+  ``xxhash64``, so the dictionary does without them.
 * Which phrases have reached the threshold, and when, is a table of ``SLOTS`` bytes that is
   broadcast whatever the corpus; a slot holds the last step of the phrases that share it. So a task
   counts each phrase that is active, and perhaps some that aren't. A phrase carries the set of
   shards that have counted it and takes no shard twice, so that every count is exact: what should
   be active is counted in all shards, and what shouldn't can't reach the threshold.
-* A task hands on counts of distinct phrases, packed by bucket of phrases. Buckets merge them with
+* A task hands on counts of distinct phrases, packed by bucket of phrases. A bucket is a range of
+  names, so the distances between its names shrink as buckets multiply. Buckets merge them with
   what they have; phrases that complete their cycle below the threshold are dropped.
 
 Phrases are named by 64-bit hashes while they are counted. Scores are integers in 38-digit
@@ -34,11 +36,11 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lares.llm.common import WordHashes, bounded_batches
-from lares.session import cut, shared_dir
+from lares.session import cut, shared_dir, shuffles_dropped
 
 LONGEST, LEAST, FIRST = 5, 100, 2000
 #: Shards of a cycle (at most 8), bytes of the table of phrases that have reached the threshold.
@@ -48,6 +50,7 @@ GATHER, PHRASES_OF_BUCKET = 4_000_000, 2_000_000
 
 _SEED = np.uint64(0x165667B19E3779F9)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_SHARD_SCHEMA = "lang string, words array<long>, n long, word string, shard int"
 _BREAK = b"\xff"
 #: Upper case to lower case, ends of pieces to a byte that no UTF-8 text holds, tabs to spaces.
 _TABLE = bytes(ord(_BREAK) if chr(i) in ".,;:!?\n\x0b\x0c\r" else i + 32 if 65 <= i <= 90 else 32 if i == 9 else i for i in range(256))
@@ -59,52 +62,71 @@ def pieces(text: str | None) -> list[bytes]:
 
 
 class _Words(WordHashes):
-    """Word hashes, none 0; new words are kept until they are taken."""
+    """Word hashes as ``hash_of`` gives them, none 0; new words are kept until they are taken."""
 
     def __init__(self):
         super().__init__()
-        self.new: list[tuple[int, bytes]] = []
+        self.new: list[bytes] = []
         self[_BREAK] = 0
 
     def __missing__(self, word: bytes) -> int:
-        value = super().__missing__(word) | 1
-        self[word], self[_BREAK] = value, 0
-        self.new.append((value, word))
+        from xxhash import xxh64_intdigest
+
+        if len(self) > self.most:
+            self.clear()
+        value = self[word] = xxh64_intdigest(word, 42) | 1
+        self[_BREAK] = 0
+        self.new.append(word)
         return value
 
+    def taken(self) -> pa.Array:
+        """The new words in order, so that a file holds like words together."""
+        words, self.new = sorted(self.new), []
+        return pa.array(words, pa.binary()).cast(pa.string())
+
+
+def hash_of(word: str) -> Column:
+    """A word's hash in Spark: ``xxhash64`` begins with 42."""
+    return F.xxhash64(word).bitwiseOR(F.lit(1).cast("long"))
+
 
 def folder_of(docs: DataFrame, shards: int = SHARDS) -> str:
-    """Writes lang, words (hashes, 0 between pieces), n by shard, and shard -1: hash, word."""
+    """Writes lang, words (hashes, 0 between pieces), n by shard, and shard -1: word."""
     spark = docs.sparkSession
     bounded_batches(spark)
 
     def run(batches):
         seen = _Words()
+        kinds = {"lang": pa.string(), "words": pa.list_(pa.int64()), "n": pa.int64(), "word": pa.string(), "shard": pa.int32()}
+
+        def rows(size, **columns):
+            return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(size, kind)) for c, kind in kinds.items()], names=list(kinds))
+
+        def dictionary():
+            words = seen.taken()
+            return rows(len(words), word=words, shard=pa.array(np.full(len(words), -1, np.int32)))
+
         for b in batches:
-            langs, texts, shard = (c.to_pylist() for c in b.columns)
+            langs, texts, shard = b.columns
             out = []
-            for t in texts:
+            for t in texts.to_pylist():
                 w = pieces(t)
                 h = np.fromiter(map(seen.__getitem__, w), np.uint64, len(w))
                 out.append(h[(h != 0) | np.concatenate(([False], h[:-1] != 0))].view(np.int64))  # one break between pieces
             n = [int(np.count_nonzero(x)) for x in out]
-            k = len(seen.new)
-            hashes, words = np.array([x for x, _ in seen.new], np.uint64).view(np.int64).tolist(), [x.decode() for _, x in seen.new]
-            seen.new = []
-            yield pa.RecordBatch.from_arrays([
-                pa.array(langs + [None] * k, pa.string()), pa.array([*out, *[None] * k], pa.list_(pa.int64())), pa.array(n + [None] * k, pa.int64()), pa.array([None] * len(out) + hashes, pa.int64()),
-                pa.array([None] * len(out) + words, pa.string()), pa.array(shard + [-1] * k, pa.int32())], names=["lang", "words", "n", "hash", "word", "shard"])
+            yield rows(len(out), lang=langs.cast(pa.string()), words=pa.array(out, kinds["words"]), n=pa.array(n, pa.int64()), shard=shard)
+            if len(seen.new) > seen.most:
+                yield dictionary()
+        if seen.new:
+            yield dictionary()
 
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), text.alias("text"), F.pmod(F.xxhash64("doc_id", text), F.lit(shards)).cast("int").alias("shard"))
     path = f"{shared_dir(spark)}/lares-phrases-{uuid.uuid4().hex}"
-    rows.mapInArrow(run, "lang string, words array<long>, n long, hash long, word string, shard int").write.option("compression", "zstd").option("parquet.block.size", 16 << 20).option("parquet.dictionary.page.size", 4 << 20).partitionBy("shard").parquet(path)
+    rows.mapInArrow(run, _SHARD_SCHEMA).write.option("compression", "zstd").option("parquet.block.size", 16 << 20).option("parquet.dictionary.page.size", 4 << 20).partitionBy("shard").parquet(path)
     return path
 
 
-_SHARD_SCHEMA = "lang string, words array<long>, n long, hash long, word string, shard int"
-
-
 def _lang_seed(lang: str) -> np.uint64:
     from xxhash import xxh3_64_intdigest
 
@@ -164,19 +186,26 @@ _STATE = np.dtype([("key", "u8"), ("n", "i8"), ("shards", "u1"), ("first", "u1")
 
 
 def packed(s: np.ndarray) -> bytes:
-    """Phrases in the order of their names, byte by byte of the distances between names and of each field: Spark's codecs then store little but the distances."""
+    """Phrases in the order of their names, byte by byte of the distances between names and of each field, in zstd: Spark's shuffle codec finds repeats only, and fields are few bits without repeats."""
     gaps = np.diff(s["key"], prepend=np.uint64(0))
-    return b"".join(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(s), -1).T).tobytes() for x in (gaps, s["n"], s["shards"], s["first"], s["k"]))
+    data = b"".join(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(s), x.itemsize).T).tobytes() for x in (gaps, s["n"], s["shards"], s["first"], s["k"]))
+    return len(s).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
 
 
-def unpacked(blob) -> np.ndarray:
-    data = np.frombuffer(blob, np.uint8).reshape(_STATE.itemsize, -1)
-    s = np.empty(data.shape[1], _STATE)
+def unpacked(blob: pa.Buffer) -> np.ndarray:
+    size = int.from_bytes(blob.slice(0, 8).to_pybytes(), "little")
+    data = np.frombuffer(pa.decompress(blob.slice(8), size * _STATE.itemsize, "zstd"), np.uint8).reshape(_STATE.itemsize, size)
+    s = np.empty(size, _STATE)
     field = lambda a, kind: np.ascontiguousarray(data[a : a + 8].T).view(kind).ravel()
     s["key"], s["n"], s["shards"], s["first"], s["k"] = np.cumsum(field(0, np.uint64), dtype=np.uint64), field(8, np.int64), data[16], data[17], data[18]
     return s
 
 
+def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    """Equal ranges of names, in their order."""
+    return ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
 def _sent(spark: SparkSession, reached: np.ndarray) -> Broadcast:
     """The table as a broadcast: SLOTS bytes at most, far fewer while most are 0."""
     return spark.sparkContext.broadcast(zlib.compress(reached.tobytes(), 1))
@@ -199,10 +228,7 @@ def counted_step(shard: DataFrame, state: DataFrame | None, sent: Broadcast, slo
             start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             state = np.zeros(len(start), _STATE)
             state["key"], state["k"], state["n"], state["shards"], state["first"] = key[start], k[start], np.add.reduceat(n, start), 1 << step % shards, step
-            bucket = ((state["key"] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            state = state[order]
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            edges = np.searchsorted(bucket_of(state["key"], buckets), np.arange(buckets + 1))
             some = [(i, packed(state[a:b])) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
             return pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary())], names=["bucket", "blob"])
 
@@ -284,7 +310,8 @@ def counts(spark: SparkSession, folder: str, words: int, shards: int = SHARDS, l
         sent = _sent(spark, reached)
         step_folder = f"{folder}-states/{step}"
         next_state = counted_step(shard_of(step), state, sent, slots, step, shards, levels, buckets, least)
-        next_state.write.option("compression", "zstd").parquet(step_folder)
+        with shuffles_dropped(spark):
+            next_state.write.option("compression", "zstd").parquet(step_folder)
         sent.destroy()  # what it was for is written
         state = spark.read.schema(next_state.schema).parquet(step_folder)
         if step:
@@ -405,7 +432,7 @@ def mined(docs: DataFrame, shards: int = SHARDS, least: int = LEAST, first: int
     least_cut = cuts.groupBy("key").agg(F.min_by(F.struct("l", "r", "n", "score"), F.struct("score", "_j")).alias("_b")).select("key", "_b.*")
     named = kept.select("key", F.posexplode("words").alias("_j", "hash"))
     needed = named.select("hash").distinct()
-    dictionary = everything.where("shard = -1").select("hash", "word").join(needed, "hash", "left_semi").groupBy("hash").agg(F.min("word").alias("word"))
+    dictionary = everything.where("shard = -1").select(hash_of("word").alias("hash"), "word").join(needed, "hash", "left_semi").groupBy("hash").agg(F.min("word").alias("word"))
     phrase = named.join(dictionary, "hash").groupBy("key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_j", "word"))), lambda x: x["word"]), " ").alias("phrase"))  # at most LONGEST words
     scored = kept.select("key", "lang", "a").join(least_cut, "key").join(phrase, "key")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))

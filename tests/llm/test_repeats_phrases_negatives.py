@@ -1,10 +1,12 @@
 """Substring removal, collocations and hard negatives against brute force and odd rows."""
 
+import glob
 import hashlib
 import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lares.llm import collocations, hardneg, relative_lz
@@ -158,10 +160,61 @@ def test_collocations_with_few_slots(spark):
     assert sorted((r["k"], r["n"]) for r in frequent.collect()) == sorted((len(p), a) for (_, p), a in f.items() if a >= 8)
 
 
+@pytest.mark.parametrize("size", [0, 1, 50_000])
+def test_packed_phrases_take_few_bytes(size):
+    """Names of a bucket lie close together, so a phrase takes less than its name alone."""
+    g, buckets = np.random.default_rng(1), 64
+    key = np.unique(g.integers(0, 2**64, size * buckets, np.uint64))
+    bucket = collocations.bucket_of(key, buckets)
+    assert (np.diff(bucket) >= 0).all() and (not size or set(bucket.tolist()) <= set(range(buckets)))
+    key = key[bucket == bucket[:1]]
+    s = np.zeros(len(key), collocations._STATE)
+    s["key"], s["n"], s["shards"], s["first"], s["k"] = key, g.geometric(0.8, len(key)), 1, 2, g.integers(1, 6, len(key))
+    blob = collocations.packed(s)
+    assert (collocations.unpacked(pa.py_buffer(blob)) == s).all()
+    assert size < 1000 or len(blob) < 6.5 * len(s)
+
+
+def test_dictionary_of_words_without_hashes(spark):
+    """Spark finds a word's hash from the word, so that the dictionary holds words alone."""
+    words = ["a", "größe", "漢字🙂", "\x00", "x" * 200, "new-york", "ſ", "abcd" * 8]
+    folder = collocations.folder_of(spark.createDataFrame([(1, "en", " ".join(words))], "doc_id long, lang string, text string"), 2)
+    table = spark.read.parquet(folder)
+    assert "hash" not in table.columns
+    hashes = {h for r in table.where("shard >= 0").collect() for h in r["words"]} - {0}
+    got = {r["word"]: r["h"] for r in table.where("shard = -1").select("word", collocations.hash_of("word").alias("h")).collect()}
+    assert set(got) == set(words) and set(got.values()) == hashes
+
+
+def test_shuffles_go_with_the_write(spark, tmp_path):
+    """What a step has shuffled leaves the disk when its table is written, not when the driver's memory is cleaned."""
+    from lares.session import shuffles_dropped
+
+    def held():
+        return {f for top in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString() for f in glob.glob(f"{top}/*/shuffle_*.data")}
+
+    def write(name):
+        spark.range(1000).repartition(3, "id").write.parquet(f"{tmp_path}/{name}")
+
+    before, setting = held(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    with shuffles_dropped(spark):
+        write("a")
+    assert held() <= before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+    write("b")
+    assert not held() <= before  # the files are looked for in the right place
+
+
 def test_collocations_of_nothing(spark, no_docs):
     assert collocations.mined(no_docs).count() == 0
 
 
+def test_collocations_of_rare_words(spark):
+    """Buckets whose phrases are all dropped."""
+    docs = spark.createDataFrame([(1, "en", "one"), (2, None, "two three")], "doc_id long, lang string, text string")
+    assert collocations.mined(docs, 1).count() == 0
+
+
 # ----------------------------------------------------------------- operator 13
 
 
